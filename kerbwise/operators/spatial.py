@@ -98,7 +98,7 @@ def grid_hotspots(
 
 
 def cell_counts(df: DataFrame) -> DataFrame:
-    return df.where(F.col("cell").isNotNull()).groupBy("cell").agg(F.count("*").alias("n"))
+    return df.groupBy("cell").agg(F.count("cell").alias("n")).where(F.col("n") > 0)
 
 
 def cell_density(df: DataFrame) -> DataFrame:
@@ -125,9 +125,9 @@ def cell_density(df: DataFrame) -> DataFrame:
 def cell_top(df: DataFrame, k: int = 5) -> DataFrame:
     """Busiest cells: count and mean severity to two places (half even)."""
     return (
-        df.where(F.col("cell").isNotNull())
-        .groupBy("cell")
-        .agg(F.count("*").alias("accidents"), bround2(F.avg("severity")).alias("avg_severity"))
+        df.groupBy("cell")
+        .agg(F.count("cell").alias("accidents"), bround2(F.avg("severity")).alias("avg_severity"))
+        .where(F.col("accidents") > 0)
         .orderBy(F.desc("accidents"), "cell")
         .limit(k)
     )
@@ -142,14 +142,14 @@ def city_top_cells(df: DataFrame, k: int = 5) -> DataFrame:
     order = Window.partitionBy("city").orderBy(F.desc("accident_count"), "cell")
     return (
         located(df)
-        .where(F.col("cell").isNotNull())
         .groupBy("city", "cell")
         .agg(
-            F.count("*").alias("accident_count"),
+            F.count("cell").alias("accident_count"),
             mean_degrees(F.col("latitude")).alias("latitude"),
             mean_degrees(F.col("longitude")).alias("longitude"),
             F.avg("severity").alias("avg_severity"),
         )
+        .where(F.col("accident_count") > 0)
         .withColumn("position", F.row_number().over(order))
         .where(F.col("position") <= k)
     )
@@ -164,10 +164,9 @@ def cell_profile(df: DataFrame, quantile: float = fixed.HOTSPOT_QUANTILE) -> Dat
     cells there are; both scalars are subqueries, not joins.
     """
     cells = (
-        df.where(F.col("cell").isNotNull())
-        .groupBy("cell")
+        df.groupBy("cell")
         .agg(
-            F.count("*").alias("accident_count"),
+            F.count("cell").alias("accident_count"),
             F.avg("severity").alias("avg_severity"),
             F.sum("fatalities").alias("total_fatalities"),
             F.sum("casualties").alias("total_casualties"),
@@ -177,6 +176,7 @@ def cell_profile(df: DataFrame, quantile: float = fixed.HOTSPOT_QUANTILE) -> Dat
             mean_degrees(F.col("latitude")).alias("center_lat"),
             mean_degrees(F.col("longitude")).alias("center_lon"),
         )
+        .where(F.col("accident_count") > 0)
     )
     histogram = cell_counts(df).groupBy("n").agg(F.count("*").alias("cells"))
     threshold = histogram.agg(F.percentile("n", quantile, F.col("cells"))).scalar()

@@ -63,12 +63,15 @@ def marginals(df: DataFrame, columns: list[str], within: tuple[str, ...] = ()) -
 
 
 def cell_totals(df: DataFrame) -> DataFrame:
-    """Totals of each (cell, city, state); rows without a cell are left out."""
+    """Totals of each (cell, city, state); rows without a cell are left out.
+
+    The group without a cell is dropped by its count of cells. A filter on the
+    rows would be pushed below the cell expression and compute it twice.
+    """
     return (
-        df.where(F.col("cell").isNotNull())
-        .groupBy("cell", "city", "state")
+        df.groupBy("cell", "city", "state")
         .agg(
-            F.count("*").alias("accident_count"),
+            F.count("cell").alias("accident_count"),
             F.avg("severity").alias("avg_severity"),
             F.sum("casualties").alias("total_casualties"),
             F.sum("fatalities").alias("total_fatalities"),
@@ -80,6 +83,7 @@ def cell_totals(df: DataFrame) -> DataFrame:
             mean_degrees(F.col("latitude")).alias("center_lat"),
             mean_degrees(F.col("longitude")).alias("center_lon"),
         )
+        .where(F.col("accident_count") > 0)
     )
 
 

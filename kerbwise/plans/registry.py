@@ -346,9 +346,10 @@ on_incidents("time_features", lambda df: temporal.time_features(df).select(
     cal.time_category(F.col("hour"), cal.WAREHOUSE_WINDOWS).alias("warehouse_category"),
 ))
 on_incidents("risk_level", lambda df: (
-    df.where(F.col("cell").isNotNull())
-    .groupBy("cell")
-    .agg(F.avg("severity").alias("risk_score"))
+    df.groupBy("cell")
+    .agg(F.count("cell").alias("n"), F.avg("severity").alias("risk_score"))
+    .where(F.col("n") > 0)
+    .drop("n")
     .withColumn("risk_level", risk_level(F.col("risk_score")))
 ))
 on_incidents("trip_advice", lambda df: df.select(

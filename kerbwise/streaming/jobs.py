@@ -14,6 +14,7 @@ from pyspark.sql.utils import AnalysisException
 
 from kerbwise import fixed
 from kerbwise.functions.geo import MICRO, micro_degrees, point
+from kerbwise.operators.filters import located
 from kerbwise.operators.quality import incident_defaults, with_reasons
 from kerbwise.streaming.sources import EVENT_TIME
 
@@ -87,10 +88,9 @@ def hotspot_partials(rows: DataFrame) -> DataFrame:
     """Mergeable sums of each (cell, city, state)."""
     lat, lon = F.col("latitude"), F.col("longitude")
     return (
-        rows.where(F.col("cell").isNotNull())
-        .groupBy(*PARTIAL_KEYS)
+        rows.groupBy(*PARTIAL_KEYS)
         .agg(
-            F.count("*").alias("n"),
+            F.count("cell").alias("n"),
             F.count("severity").alias("n_severity"),
             F.sum("severity").alias("severity_sum"),
             F.sum("casualties").alias("casualties_sum"),
@@ -102,6 +102,7 @@ def hotspot_partials(rows: DataFrame) -> DataFrame:
             F.min("accident_datetime").alias("first_datetime"),
             F.max("accident_datetime").alias("last_datetime"),
         )
+        .where(F.col("n") > 0)
     )
 
 
@@ -185,7 +186,7 @@ def current_hotspots(
 def daily_cells(rows: DataFrame, lateness: str) -> DataFrame:
     """Incidents of each cell and day of report; a day appears once it is closed."""
     return (
-        rows.where(F.col("cell").isNotNull())
+        located(rows)
         .withWatermark(EVENT_TIME, lateness)
         .groupBy(F.window(EVENT_TIME, "1 day"), "cell")
         .agg(F.count("*").alias("accident_count"), F.avg("severity").alias("avg_severity"))

@@ -23,7 +23,7 @@ METERS_PER_DEGREE = math.radians(1.0) * EARTH_RADIUS_M
 GRID_RADIUS_KM = 6371.0072
 GRID_PARALLEL_COS = math.cos(math.radians(20.0))
 GRID_BASE_RESOLUTION = 8
-GRID_BASE_AREA_KM2 = 0.7373276
+GRID_BASE_EDGE_KM = 0.5327  # 0.737 square kilometres
 AXIS_BITS = 28
 AXIS_SHIFT = 1 << (AXIS_BITS - 1)
 AXIS_SPAN = 1 << AXIS_BITS
@@ -32,8 +32,7 @@ RING_OFFSETS = [(0, 0), (1, 0), (-1, 0), (0, 1), (0, -1), (1, -1), (-1, 1)]
 
 def edge_km(resolution: int) -> float:
     """Hexagon edge length at a resolution."""
-    area = GRID_BASE_AREA_KM2 * 7.0 ** (GRID_BASE_RESOLUTION - resolution)
-    return math.sqrt(2.0 * area / (3.0 * math.sqrt(3.0)))
+    return GRID_BASE_EDGE_KM * math.sqrt(7.0) ** (GRID_BASE_RESOLUTION - resolution)
 
 
 def micro_degrees(degrees: Column) -> Column:
@@ -175,11 +174,15 @@ def buckets_in_band(band: Column, step_degrees: float) -> Column:
 
 
 def bucket_of(lat: Column, lon: Column, step_degrees: float) -> Column:
-    """Bucket key of a point: band in the high half, longitude bucket in the low half."""
+    """Bucket key of a point: band in the high half, longitude bucket in the low half.
+
+    -1 without a position: a key that is never null needs no null filter before
+    a join, which would compute it twice.
+    """
     band = band_of(lat, step_degrees)
     count = buckets_in_band(band, step_degrees)
     slot = F.pmod(F.floor((lon + 180.0) * count / 360.0), count.cast("long"))
-    return F.shiftleft(band.cast("long"), 32) + slot
+    return F.coalesce(F.shiftleft(band.cast("long"), 32) + slot, F.lit(-1))
 
 
 def buckets_around(lat: Column, lon: Column, radius_m: Column, step_degrees: float) -> Column:

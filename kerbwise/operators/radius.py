@@ -73,9 +73,7 @@ def radius_join(
         ),
         "centers",
     )
-    near = points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).withColumn(
-        "_bucket", bucket_of(F.col(lat), F.col(lon), step)
-    )
+    near = points.withColumn("_bucket", bucket_of(F.col(lat), F.col(lon), step))
     distance = haversine_m(F.col("center_lat"), F.col("center_lon"), F.col(lat), F.col(lon))
     return (
         near.join(spread, "_bucket")
@@ -178,8 +176,7 @@ def match_roads(
         F.col("lat0"), F.col("lon0"), F.col("lat1"), F.col("lon1"),
     )
     return (
-        df.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
-        .select("accident_id", "latitude", "longitude", *carry)
+        df.select("accident_id", "latitude", "longitude", *carry)
         .withColumn("_bucket", bucket_of(F.col("latitude"), F.col("longitude"), step))
         .join(spread, "_bucket")
         .withColumn("distance_m", distance)

@@ -13,7 +13,10 @@ from kerbwise.operators.totals import avg_severity, marginals, ranked_value
 
 def city_month_counts(df: DataFrame) -> DataFrame:
     return (
-        located(df).groupBy("city", "month").agg(F.count("*").alias("accident_count"))
+        located(df)
+        .where(F.col("city").isNotNull() & F.col("month").isNotNull())
+        .groupBy("city", "month")
+        .agg(F.count("*").alias("accident_count"))
     )
 
 
@@ -23,7 +26,7 @@ def city_risk_reports(df: DataFrame, city: str | None = None) -> DataFrame:
     The fact is scanned once for the per-city marginals and once for the cells.
     What is gathered per city is bounded: twelve months and five cells.
     """
-    rows = located(for_city(df, city))
+    rows = located(for_city(df, city)).where(F.col("city").isNotNull())
     by_value = marginals(rows, ["hour", "road_type", "vehicle_type", "month"], within=("city",))
     is_hour, is_month = F.col("factor") == "hour", F.col("factor") == "month"
     mean_order = F.struct(-avg_severity(), F.col("value"))
@@ -76,4 +79,4 @@ def city_risk_reports(df: DataFrame, city: str | None = None) -> DataFrame:
             ).alias("top_hotspots")
         )
     )
-    return base.join(hotspots, F.col("city").eqNullSafe(F.col("_city")), "left").drop("_city")
+    return base.join(hotspots, F.col("city") == F.col("_city"), "left").drop("_city")

@@ -44,7 +44,8 @@ def mean_risk_by(risk: DataFrame, column: str) -> DataFrame:
     """Unweighted mean of group risk scores. Scores are whole hundredths, summed as such."""
     hundredths = F.rint(F.col("risk_score") * 100).cast("long")
     return (
-        risk.groupBy(column)
+        risk.where(F.col(column).isNotNull())
+        .groupBy(column)
         .agg((F.avg(hundredths) / 100.0).alias("risk_score"))
         .orderBy(F.desc("risk_score"), column)
     )

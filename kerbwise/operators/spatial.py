@@ -18,6 +18,7 @@ from kerbwise.functions.geo import (
 from kerbwise.functions.rounding import bround2
 from kerbwise.operators.filters import for_city, located
 from kerbwise.operators.totals import cell_totals
+from kerbwise.session import written
 
 MIN_INCIDENTS = fixed.CLUSTER_MIN_INCIDENTS
 
@@ -77,8 +78,7 @@ def grid_hotspots(
 ) -> DataFrame:
     """Busy squares of a latitude/longitude grid."""
     return (
-        located(df)
-        .groupBy(
+        df.groupBy(
             "city",
             F.round(F.col("latitude") * cells_per_degree).cast("long").alias("lat_grid"),
             F.round(F.col("longitude") * cells_per_degree).cast("long").alias("lon_grid"),
@@ -142,6 +142,7 @@ def city_top_cells(df: DataFrame, k: int = 5) -> DataFrame:
     order = Window.partitionBy("city").orderBy(F.desc("accident_count"), "cell")
     return (
         located(df)
+        .where(F.col("city").isNotNull())
         .groupBy("city", "cell")
         .agg(
             F.count("cell").alias("accident_count"),
@@ -159,11 +160,12 @@ def cell_profile(df: DataFrame, quantile: float = fixed.HOTSPOT_QUANTILE) -> Dat
     """One row per cell for the hotspot model.
 
     Modes take the smallest value on a tie. Their buffers hold one counter per
-    distinct hour or category and are combined map-side. The quantile is taken
-    over a histogram of the counts, which has few distinct values however many
-    cells there are; both scalars are subqueries, not joins.
+    distinct hour or category and are combined map-side. The table of cells is
+    written, so the fact is read once. The quantile is taken over a histogram of
+    the counts, which has few distinct values however many cells there are; both
+    scalars are subqueries, not joins.
     """
-    cells = (
+    cells = written(
         df.groupBy("cell")
         .agg(
             F.count("cell").alias("accident_count"),
@@ -176,11 +178,12 @@ def cell_profile(df: DataFrame, quantile: float = fixed.HOTSPOT_QUANTILE) -> Dat
             mean_degrees(F.col("latitude")).alias("center_lat"),
             mean_degrees(F.col("longitude")).alias("center_lon"),
         )
-        .where(F.col("accident_count") > 0)
+        .where(F.col("accident_count") > 0),
+        "cells",
     )
-    histogram = cell_counts(df).groupBy("n").agg(F.count("*").alias("cells"))
-    threshold = histogram.agg(F.percentile("n", quantile, F.col("cells"))).scalar()
-    busiest = histogram.agg(F.max("n")).scalar()
+    histogram = cells.groupBy("accident_count").agg(F.count("*").alias("cells"))
+    threshold = histogram.agg(F.percentile("accident_count", quantile, F.col("cells"))).scalar()
+    busiest = cells.agg(F.max("accident_count")).scalar()
     return cells.withColumns(
         {
             "is_hotspot": F.when(F.col("accident_count") >= threshold, 1).otherwise(0),

@@ -11,6 +11,7 @@ from kerbwise import fixed
 from kerbwise.functions.rounding import bround2
 from kerbwise.functions.rules import infrastructure_advice
 from kerbwise.operators.totals import SUMS, avg_severity, marginals, merged, sums, totals
+from kerbwise.session import written
 
 
 def global_stats(df: DataFrame) -> DataFrame:
@@ -68,8 +69,11 @@ def insights_summary(df: DataFrame) -> DataFrame:
 
 
 def cities(df: DataFrame) -> DataFrame:
-    """Incidents and mean severity of each city and state, with the number of such rows."""
-    rows = totals(df, "city", "state")
+    """Incidents and mean severity of each city and state, with the number of such rows.
+
+    The totals are written, so that counting them does not read the fact again.
+    """
+    rows = written(totals(df, "city", "state"), "cities")
     count = rows.agg(F.count("*")).scalar()
     return rows.select(
         "city", "state", F.col("n").alias("accident_count"),
@@ -103,7 +107,7 @@ def overview_kpis(df: DataFrame, as_of: dt.datetime, days: int = 30) -> DataFram
 def city_comparison(df: DataFrame, k: int | None = None) -> DataFrame:
     """City totals, mean severity to two places (half even), largest first."""
     out = (
-        totals(df, "city")
+        totals(df.where(F.col("city").isNotNull()), "city")
         .select(
             "city",
             F.col("n").alias("total_accidents"),
@@ -118,7 +122,7 @@ def city_comparison(df: DataFrame, k: int | None = None) -> DataFrame:
 
 def city_stats(df: DataFrame) -> DataFrame:
     """Mean and sample deviation of severity, and mean casualties, of each city."""
-    return df.groupBy("city").agg(
+    return df.where(F.col("city").isNotNull()).groupBy("city").agg(
         F.avg("severity").alias("city_avg_severity"),
         F.stddev_samp("severity").alias("city_severity_std"),
         F.avg("casualties").alias("city_avg_casualties"),

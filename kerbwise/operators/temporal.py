@@ -69,13 +69,19 @@ def temporal_analysis(df: DataFrame, analysis_type: str = "hourly", city: str |
 
 
 def hourly_counts(df: DataFrame) -> DataFrame:
-    return df.groupBy("hour").agg(F.count("*").alias("count")).orderBy("hour")
+    return (
+        df.where(F.col("hour").isNotNull())
+        .groupBy("hour")
+        .agg(F.count("*").alias("count"))
+        .orderBy("hour")
+    )
 
 
 def monthly_trend(df: DataFrame) -> DataFrame:
     """Count of each month with the date of its first day."""
     return (
-        df.groupBy("year", "month")
+        df.where(F.col("year").isNotNull() & F.col("month").isNotNull())
+        .groupBy("year", "month")
         .agg(F.count("*").alias("count"))
         .withColumn("date", F.make_date("year", "month", F.lit(1)))
         .orderBy("year", "month")

@@ -88,8 +88,10 @@ on_incidents("recent_scan", filters.newest_first)
 
 @query
 def results_roundtrip(spark, sf_dir):
+    facts = new_path(spark, "incidents")
+    files.write_incident_table(wh.incidents(spark, sf_dir), facts)
     store = ResultStore(spark, new_path(spark, "results"))
-    tables = run_complete_analysis(wh.incidents(spark, sf_dir), store)
+    tables = run_complete_analysis(spark.read.parquet(facts), store)
     counts = [
         df.agg(F.count("*").alias("row_count")).select(F.lit(name).alias("table_name"), "row_count")
         for name, df in tables.items()

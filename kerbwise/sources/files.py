@@ -55,10 +55,18 @@ def write_incident_csv(df: DataFrame, path: str) -> None:
 
 
 def write_incident_table(df: DataFrame, path: str) -> None:
-    """Fact table: one folder per year, sorted by cell so row groups can be skipped."""
+    """Fact table: one folder per year, sorted by cell so row groups can be skipped.
+
+    Rows are brought together by year and one-degree square. The rebalance hint
+    lets AQE size the partitions: small squares are merged, a square that holds a
+    large share of the rows is split, and no sampling pass over the input is run.
+    """
+    square = F.floor("latitude") * 360 + F.floor("longitude")
     (
-        df.repartition("year", "month", F.pmod(F.xxhash64("accident_id"), F.lit(32)))
-        .sortWithinPartitions("cell")
+        df.withColumn("_square", square)
+        .hint("rebalance", F.col("year"), F.col("_square"))
+        .sortWithinPartitions("year", "cell")
+        .drop("_square")
         .write.mode("overwrite")
         .partitionBy("year")
         .parquet(path)

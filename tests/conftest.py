@@ -19,6 +19,7 @@ def spark():
         spark__sql__shuffle__partitions="8",
         spark__ui__enabled="false",
         spark__driver__memory="8g",
+        spark__sql__maxMetadataStringLength="10000",
         spark__checkpoint__dir=tempfile.mkdtemp(prefix="kerbwise-tests-"),
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -45,10 +45,8 @@ def time_category(
 
 def season(month: Column) -> Column:
     """Season of a month; months outside 1-12 (and nulls) have none."""
-    out = F
-    for name, months in fixed.SEASON_MONTHS.items():
-        out = out.when(month.isin(months), name)
-    return out
+    names = {m: name for name, months in fixed.SEASON_MONTHS.items() for m in months}
+    return F.get(F.array(*[F.lit(names[m]) for m in range(1, 13)]), month - 1)
 
 
 def season_or_last(month: Column) -> Column:

@@ -12,30 +12,48 @@ RANGES = {"hour": (0, 23), "day_of_week": (0, 6), "month": (1, 12), "year": (200
 REQUEST_RANGES = {"latitude": (-90, 90), "longitude": (-180, 180), "hour": (0, 23)}
 
 
-def _range_reasons(ranges: dict[str, tuple[int, int]]) -> list[Column]:
-    return [
-        F.when(~F.col(name).between(low, high), f"{name}_range") for name, (low, high) in ranges.items()
-    ]
+def _range_rules(ranges: dict[str, tuple[int, int]]) -> dict[str, Column]:
+    return {
+        f"{name}_range": ~F.col(name).between(low, high) for name, (low, high) in ranges.items()
+    }
 
 
-def incident_reasons() -> Column:
-    """Violated rules of a row, in rule order. As in SQL, a null passes a range check."""
-    missing = [F.when(F.col(name).isNull(), f"{name}_missing") for name in REQUIRED]
-    id_missing = F.when(F.col("accident_id").isNull(), "accident_id_missing")
-    severity = F.when(~F.col("severity").isin(1, 2, 3), "severity_value")
-    return F.array_compact(F.array(id_missing, *missing, *_range_reasons(RANGES), severity))
+def _missing_rules(names: tuple[str, ...]) -> dict[str, Column]:
+    return {f"{name}_missing": F.col(name).isNull() for name in names}
+
+
+def incident_rules() -> dict[str, Column]:
+    """Reason -> condition of each violation. As in SQL, a null passes a range check."""
+    return {
+        **_missing_rules(("accident_id", *REQUIRED)),
+        **_range_rules(RANGES),
+        "severity_value": ~F.col("severity").isin(1, 2, 3),
+    }
+
+
+def _reasons(rules: dict[str, Column]) -> Column:
+    return F.array_compact(F.array(*[F.when(broken, name) for name, broken in rules.items()]))
+
+
+def _broken(rules: dict[str, Column]) -> Column:
+    """Whether any rule is violated, as one plain predicate."""
+    out = F.lit(False)
+    for broken in rules.values():
+        out = out | F.coalesce(broken, F.lit(False))
+    return out
 
 
 def with_reasons(df: DataFrame) -> DataFrame:
-    return df.withColumn("reasons", incident_reasons())
+    return df.withColumn("reasons", _reasons(incident_rules()))
 
 
 def valid_rows(df: DataFrame) -> DataFrame:
-    return with_reasons(df).where(F.size("reasons") == 0).drop("reasons")
+    return df.where(~_broken(incident_rules()))
 
 
 def quarantine(df: DataFrame) -> DataFrame:
-    return with_reasons(df).where(F.size("reasons") > 0)
+    """Rejected rows with their reasons; reasons are only built for these."""
+    return with_reasons(df.where(_broken(incident_rules())))
 
 
 def violation_counts(df: DataFrame) -> DataFrame:
@@ -45,10 +63,8 @@ def violation_counts(df: DataFrame) -> DataFrame:
 
 def request_reasons(df: DataFrame) -> DataFrame:
     """Trip requests with the rules they break; a missing value is a violation here."""
-    missing = [F.when(F.col(name).isNull(), f"{name}_missing") for name in REQUEST_RANGES]
-    return df.withColumn(
-        "reasons", F.array_compact(F.array(*missing, *_range_reasons(REQUEST_RANGES)))
-    )
+    rules = {**_missing_rules(tuple(REQUEST_RANGES)), **_range_rules(REQUEST_RANGES)}
+    return df.withColumn("reasons", _reasons(rules))
 
 
 def incident_defaults(df: DataFrame) -> DataFrame:
@@ -70,12 +86,6 @@ def stamped(df: DataFrame) -> DataFrame:
     return df.withColumn("created_at", F.coalesce("created_at", now) if "created_at" in df.columns else now)
 
 
-def _version(columns: list[str], order_by: str) -> list[Column]:
-    """Order of the copies of an id: newest first, then a digest of the whole row."""
-    content = F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
-    return [F.col(order_by).alias("_at"), content.alias("_content")]
-
-
 def duplicate_keys(df: DataFrame, key: str = "accident_id", order_by: str = "accident_datetime") -> DataFrame:
     """Ids with more than one row: number of copies and time of the newest.
 
@@ -88,33 +98,38 @@ def duplicate_keys(df: DataFrame, key: str = "accident_id", order_by: str = "acc
     )
 
 
+def _newest(df: DataFrame, key: str, order_by: str) -> DataFrame:
+    """The newest row of each key with the number of its rows; the whole row breaks ties.
+
+    An aggregate, not a window over all rows of a key: a hot key is reduced to
+    one row per map task before the shuffle.
+    """
+    row = F.struct(F.col(order_by).alias("_at"), *[F.col(c) for c in df.columns])
+    return df.groupBy(F.col(key).alias("_key")).agg(
+        F.max(row).alias("_row"), F.count("*").alias("_rows")
+    )
+
+
 def deduplicate(
     df: DataFrame, key: str = "accident_id", order_by: str = "accident_datetime"
 ) -> tuple[DataFrame, DataFrame]:
     """(kept, surplus): the newest row of each key, and every other row once per content.
 
-    Identical rows are first collapsed to one with a ``copies`` count. The winner
-    of each repeated key comes from an aggregate, not from a window over all its
-    rows, so a hot key is never gathered in one task. The list of winners holds
-    repeated keys only and is written, so its real size decides how it is joined.
-    ``surplus.copies`` is the number of rows it stands for.
+    ``surplus.copies`` is the number of rows it stands for. Rows are compared with
+    the winner of their key; only keys that repeat are listed for that, and the
+    list is written, so its real size decides how it is joined.
     """
     columns = df.columns
-    at, content = _version(columns, order_by)
-    versions = df.groupBy(*columns).agg(F.count("*").alias("copies")).select("*", at, content)
-    newest = F.struct(F.col("_at"), F.col("_content"))
-    winners = written(
-        versions.groupBy(F.col(key).alias("_key"))
-        .agg(F.max(newest).alias("_winner"), F.sum("copies").alias("_rows"))
-        .where(F.col("_rows") > 1)
-        .select("_key", "_winner"),
-        "winners",
+    newest = _newest(df, key, order_by)
+    kept = newest.select(*[F.col("_row")[c].alias(c) for c in columns])
+    repeated = written(newest.where(F.col("_rows") > 1).select("_key", "_row"), "repeated")
+    versions = df.groupBy(*columns).agg(F.count("*").alias("_copies"))
+    is_winner = F.struct(*[F.col(c) for c in columns]).eqNullSafe(
+        F.struct(*[F.col("_row")[c].alias(c) for c in columns])
     )
-    joined = versions.join(winners, F.col(key).eqNullSafe(F.col("_key")), "left")
-    is_winner = F.col("_winner").isNull() | (newest == F.col("_winner"))
-    kept = joined.where(is_winner).select(columns)
     surplus = (
-        joined.withColumn("copies", F.col("copies") - F.when(is_winner, 1).otherwise(0))
+        versions.join(repeated, F.col(key).eqNullSafe(F.col("_key")))
+        .withColumn("copies", F.col("_copies") - F.when(is_winner, 1).otherwise(0))
         .where(F.col("copies") > 0)
         .select(*columns, "copies")
     )

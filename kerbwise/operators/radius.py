@@ -118,17 +118,39 @@ def hotspots_near(
     )
 
 
-def segment_distance_m(lat: Column, lon: Column, lat0: Column, lon0: Column, lat1: Column, lon1: Column) -> Column:
-    """Distance from a point to a segment in the plane that touches the point."""
-    shrink = F.cos(F.radians(lat)) * METERS_PER_DEGREE
-    x0, y0 = (lon0 - lon) * shrink, (lat0 - lat) * METERS_PER_DEGREE
-    x1, y1 = (lon1 - lon) * shrink, (lat1 - lat) * METERS_PER_DEGREE
-    dx, dy = x1 - x0, y1 - y0
-    length2 = dx * dx + dy * dy
-    along = F.coalesce(F.try_divide(-(x0 * dx + y0 * dy), length2), F.lit(0.0))
+def _flattened(roads: DataFrame) -> DataFrame:
+    """Each segment in metres, in a plane that touches the earth at its middle latitude.
+
+    All that depends on the segment alone is computed here, once per road, so the
+    expression that is evaluated for every candidate pair stays small.
+    """
+    middle = F.radians((F.col("lat0") + F.col("lat1")) / 2.0)
+    return (
+        roads.withColumn("_k", F.cos(middle) * METERS_PER_DEGREE)
+        .withColumns(
+            {
+                "_dx": (F.col("lon1") - F.col("lon0")) * F.col("_k"),
+                "_dy": (F.col("lat1") - F.col("lat0")) * METERS_PER_DEGREE,
+            }
+        )
+        .withColumn(
+            "_inverse",
+            F.coalesce(
+                F.try_divide(F.lit(1.0), F.col("_dx") * F.col("_dx") + F.col("_dy") * F.col("_dy")),
+                F.lit(0.0),
+            ),
+        )
+    )
+
+
+def _squared_distance(lat: Column, lon: Column) -> Column:
+    """Squared distance in metres from a point to a flattened segment."""
+    x = (lon - F.col("lon0")) * F.col("_k")
+    y = (lat - F.col("lat0")) * METERS_PER_DEGREE
+    along = (x * F.col("_dx") + y * F.col("_dy")) * F.col("_inverse")
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))
-    x, y = x0 + t * dx, y0 + t * dy
-    return F.sqrt(x * x + y * y)
+    off_x, off_y = x - t * F.col("_dx"), y - t * F.col("_dy")
+    return off_x * off_x + off_y * off_y
 
 
 def _segment_buckets(roads: DataFrame, max_distance_m: float, step_m: float) -> DataFrame:
@@ -136,10 +158,11 @@ def _segment_buckets(roads: DataFrame, max_distance_m: float, step_m: float) ->
     length = haversine_m(F.col("lat0"), F.col("lon0"), F.col("lat1"), F.col("lon1"))
     stations = F.greatest(F.lit(1), F.ceil(length / step_m).cast("int"))
     step = step_m / METERS_PER_DEGREE
-    share = F.col("_k") / F.col("_stations")
+    share = F.col("_station") / F.col("_stations")
     return (
-        roads.withColumn("_stations", stations)
-        .withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_stations"))))
+        _flattened(roads)
+        .withColumn("_stations", stations)
+        .withColumn("_station", F.explode(F.sequence(F.lit(0), F.col("_stations"))))
         .withColumns(
             {
                 "_lat": F.col("lat0") + (F.col("lat1") - F.col("lat0")) * share,
@@ -154,7 +177,7 @@ def _segment_buckets(roads: DataFrame, max_distance_m: float, step_m: float) ->
                 )
             ),
         )
-        .select("road_id", "lat0", "lon0", "lat1", "lon1", "_bucket")
+        .select("road_id", "lat0", "lon0", "_k", "_dx", "_dy", "_inverse", "_bucket")
         .distinct()
     )
 
@@ -171,21 +194,17 @@ def match_roads(
     step_m = max(2.0 * max_distance_m, 1000.0)
     spread = written(_segment_buckets(roads, max_distance_m, step_m), "segments")
     step = step_m / METERS_PER_DEGREE
-    distance = segment_distance_m(
-        F.col("latitude"), F.col("longitude"),
-        F.col("lat0"), F.col("lon0"), F.col("lat1"), F.col("lon1"),
-    )
     return (
         df.select("accident_id", "latitude", "longitude", *carry)
         .withColumn("_bucket", bucket_of(F.col("latitude"), F.col("longitude"), step))
         .join(spread, "_bucket")
-        .withColumn("distance_m", distance)
-        .where(F.col("distance_m") <= max_distance_m)
+        .withColumn("_d2", _squared_distance(F.col("latitude"), F.col("longitude")))
+        .where(F.col("_d2") <= max_distance_m**2)
         .groupBy("accident_id")
-        .agg(F.min(F.struct("distance_m", "road_id", *carry)).alias("nearest"))
+        .agg(F.min(F.struct("_d2", "road_id", *carry)).alias("nearest"))
         .select(
             "accident_id", "nearest.road_id",
-            round2(F.col("nearest.distance_m")).alias("distance_meters"),
+            round2(F.sqrt("nearest._d2")).alias("distance_meters"),
             *[f"nearest.{name}" for name in carry],
         )
     )

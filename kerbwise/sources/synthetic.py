@@ -51,9 +51,19 @@ def poisson_bounds(mean: int) -> list[float]:
     return bounds
 
 
-def poisson(u: Column, mean: int) -> Column:
-    """Inverse-CDF Poisson draw: how many bounds lie at or below ``u``."""
-    return sum((flag(u >= b) for b in poisson_bounds(mean)[1:]), flag(u >= poisson_bounds(mean)[0]))
+def poisson(u: Column, mean: Column) -> Column:
+    """Inverse-CDF Poisson draw for a mean of 1, 2 or 3: how many bounds lie at or below ``u``.
+
+    One comparison per count, with the bound looked up by the mean, keeps the
+    generated code small enough to be compiled.
+    """
+    tables = [poisson_bounds(m) for m in (1, 2, 3)]
+    longest = max(map(len, tables))
+    padded = [table + [1.0] * (longest - len(table)) for table in tables]
+    out = F
+    for k, bounds in enumerate(zip(*padded)):
+        out = out.when(u < F.get(F.array(*[F.lit(b) for b in bounds]), mean - 1), k)
+    return out.otherwise(longest)
 
 
 def synthesize(ids: DataFrame, id_column: str, seed: int = fixed.SAMPLE_SEED) -> DataFrame:
@@ -65,28 +75,28 @@ def synthesize(ids: DataFrame, id_column: str, seed: int = fixed.SAMPLE_SEED) ->
         F.sha2(F.concat(F.lit(f"{seed}:a:"), row_id.cast("string")), 256).alias("_a"),
         F.sha2(F.concat(F.lit(f"{seed}:b:"), row_id.cast("string")), 256).alias("_b"),
     )
-    a = [draw(F.col("_a"), k) for k in range(8)]
-    b = [draw(F.col("_b"), k) for k in range(8)]
-    even = [1.0] * len(cities)
+    base = base.select(
+        "_id",
+        *[draw(F.col("_a"), k).alias(f"_a{k}") for k in range(8)],
+        *[draw(F.col("_b"), k).alias(f"_b{k}") for k in range(6)],
+    )
+    a = [F.col(f"_a{k}") for k in range(8)]
+    b = [F.col(f"_b{k}") for k in range(6)]
     lats = [fixed.CITY_CENTRES[c][0] for c in cities]
     lons = [fixed.CITY_CENTRES[c][1] for c in cities]
     offset = fixed.SAMPLE_OFFSET_DEGREES
 
-    def scatter(centres: list[float], u: Column) -> Column:
-        return F.round(pick(a[0], centres, even) + (u * 2.0 - 1.0) * offset, 6)
+    def by_city(values: list) -> Column:
+        """Every city is equally likely."""
+        return F.get(F.array(*[F.lit(v) for v in values]), F.floor(a[0] * len(cities)).cast("int"))
 
-    def by_severity(u: Column) -> Column:
-        return (
-            F.when(F.col("severity") == 1, poisson(u, 1))
-            .when(F.col("severity") == 2, poisson(u, 2))
-            .otherwise(poisson(u, 3))
-        )
+    def scatter(centres: list[float], u: Column) -> Column:
+        return F.round(by_city(centres) + (u * 2.0 - 1.0) * offset, 6)
 
     drawn = base.select(
-        "_id",
-        "_b",
+        "_id", "_a0", "_b3", "_b4", "_b5",
         F.format_string("ACC_%06d", F.col("_id").cast("long") + 1).alias("accident_id"),
-        pick(a[0], cities, even).alias("city"),
+        by_city(cities).alias("city"),
         scatter(lats, a[1]).alias("latitude"),
         scatter(lons, a[2]).alias("longitude"),
         F.date_add(
@@ -103,7 +113,7 @@ def synthesize(ids: DataFrame, id_column: str, seed: int = fixed.SAMPLE_SEED) ->
     fatal = F.col("severity") == 3
     return drawn.withColumns(
         {
-            "state": state_expression(F.col("city")),
+            "state": by_city([fixed.CITY_STATES[c] for c in cities]),
             "accident_datetime": F.make_timestamp_ntz(
                 F.year("date"), F.month("date"), F.dayofmonth("date"),
                 F.col("hour"), F.col("_minute"), F.col("_second"),
@@ -115,9 +125,9 @@ def synthesize(ids: DataFrame, id_column: str, seed: int = fixed.SAMPLE_SEED) ->
             "severity_label": F.element_at(
                 F.array(*[F.lit(v) for v in fixed.SEVERITY_LABELS.values()]), F.col("severity")
             ),
-            "casualties": by_severity(b[3]),
+            "casualties": poisson(b[3], F.col("severity")),
             "fatalities": flag(fatal | (b[4] < fixed.SAMPLE_MINOR_FATALITY_RATE)),
-            "injured": F.greatest(F.lit(0), by_severity(b[5]) - flag(fatal)),
+            "injured": F.greatest(F.lit(0), poisson(b[5], F.col("severity")) - flag(fatal)),
         }
     ).select(INCIDENT_COLUMNS)
 

@@ -9,14 +9,22 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from kerbwise import fixed
 from kerbwise.functions.geo import haversine_m, with_cell
 from kerbwise.schema import INCIDENT_COLUMNS
 
 
+_schemas: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A warehouse table. Its schema is read from the files once per process."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 def _signed_square(value: Column) -> Column:
@@ -58,24 +66,22 @@ def incidents_from_events(events: DataFrame, spark: SparkSession, sf_dir: str) -
     vehicle_draw = (event_id * 31 + F.col("user_id")) % 100
     casualties = (F.floor("o_totalprice").cast("long") % 5).cast("int")
     roads = {
-        "click": "City Road",
-        "view": "City Road",
-        "error": "Highway",
-        "signup": "Rural Road",
-        "purchase": "Residential",
+        "City Road": ["click", "view"],
+        "Highway": ["error"],
+        "Rural Road": ["signup"],
+        "Residential": ["purchase"],
     }
     weathers = {
-        "AUTOMOBILE": "Clear",
-        "BUILDING": "Clear",
-        "FURNITURE": "Rain",
-        "HOUSEHOLD": "Fog",
-        "MACHINERY": "Night",
+        "Clear": ["AUTOMOBILE", "BUILDING"],
+        "Rain": ["FURNITURE"],
+        "Fog": ["HOUSEHOLD"],
+        "Night": ["MACHINERY"],
     }
 
-    def named(column: str, names: dict[str, str]) -> Column:
+    def named(column: str, names: dict[str, list[str]]) -> Column:
         out = F
-        for key, name in names.items():
-            out = out.when(F.col(column) == key, name)
+        for name, keys in names.items():
+            out = out.when(F.col(column).isin(keys), name)
         return out
 
     return (
@@ -113,10 +119,7 @@ def incidents_from_events(events: DataFrame, spark: SparkSession, sf_dir: str) -
 
 
 def _severity_label(severity: Column) -> Column:
-    out = F
-    for code, name in fixed.SEVERITY_LABELS.items():
-        out = out.when(severity == code, name)
-    return out
+    return F.get(F.array(*[F.lit(name) for name in fixed.SEVERITY_LABELS.values()]), severity - 1)
 
 
 def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:

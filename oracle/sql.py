@@ -226,15 +226,14 @@ def segment_distance() -> str:
     """CTEs ``near``: incident, road and their distance, for all pairs."""
     m = num(geo.METERS_PER_DEGREE)
     return f"""
-pairs AS (SELECT accident_id, road_id, severity, fatalities,
-    (lon0 - longitude) * (cos(radians(latitude)) * {m}) AS x0, (lat0 - latitude) * {m} AS y0,
-    (lon1 - longitude) * (cos(radians(latitude)) * {m}) AS x1, (lat1 - latitude) * {m} AS y1
-  FROM inc JOIN road ON abs(lat0 - latitude) < 0.1 AND abs(lon0 - longitude) < 0.1),
-dirs AS (SELECT *, x1 - x0 AS dx, y1 - y0 AS dy FROM pairs),
+flat AS (SELECT *, cos(radians((lat0 + lat1) / 2.0::DOUBLE)) * {m} AS k FROM road),
+pairs AS (SELECT accident_id, road_id, severity, fatalities, (lon1 - lon0) * k AS dx, (lat1 - lat0) * {m} AS dy,
+    (longitude - lon0) * k AS x, (latitude - lat0) * {m} AS y
+  FROM inc JOIN flat ON abs(lat0 - latitude) < 0.1 AND abs(lon0 - longitude) < 0.1),
 feet AS (SELECT *, CASE WHEN dx * dx + dy * dy = 0 THEN 0.0::DOUBLE ELSE
-    greatest(0.0::DOUBLE, least(1.0::DOUBLE, -(x0 * dx + y0 * dy) / (dx * dx + dy * dy))) END AS t FROM dirs),
+    greatest(0.0::DOUBLE, least(1.0::DOUBLE, (x * dx + y * dy) / (dx * dx + dy * dy))) END AS t FROM pairs),
 near AS (SELECT accident_id, road_id, severity, fatalities,
-    sqrt((x0 + t * dx) * (x0 + t * dx) + (y0 + t * dy) * (y0 + t * dy)) AS d FROM feet),
+    sqrt((x - t * dx) * (x - t * dx) + (y - t * dy) * (y - t * dy)) AS d FROM feet),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY accident_id ORDER BY d, road_id) AS rn
   FROM near WHERE d <= {reg.ROAD_DISTANCE_M}) WHERE rn = 1)"""
 
@@ -289,17 +288,21 @@ def synthetic_sql() -> str:
         return f"CASE severity WHEN 1 THEN {by_mean[0]} WHEN 2 THEN {by_mean[1]} ELSE {by_mean[2]} END"
 
     names = list(fixed.CITY_CENTRES)
-    even = [1.0] * len(names)
     lats = [fixed.CITY_CENTRES[c][0] for c in names]
     lons = [fixed.CITY_CENTRES[c][1] for c in names]
     a = [draw("ha", k) for k in range(8)]
     b = [draw("hb", k) for k in range(8)]
+
+    def by_city(values: list) -> str:
+        items = ", ".join(f"'{v}'" if isinstance(v, str) else num(v) for v in values)
+        return f"[{items}][CAST(floor({a[0]} * {len(names)}) AS INTEGER) + 1]"
+
     seed, off = fixed.SAMPLE_SEED, num(fixed.SAMPLE_OFFSET_DEGREES)
     return f"""WITH ids AS (SELECT event_id, sha256('{seed}:a:' || event_id) AS ha, sha256('{seed}:b:' || event_id) AS hb
   FROM events),
-drawn AS (SELECT *, {pick(a[0], names, even)} AS city,
-  round({pick(a[0], lats, even)} + ({a[1]} * 2.0 - 1.0) * {off}, 6) AS latitude,
-  round({pick(a[0], lons, even)} + ({a[2]} * 2.0 - 1.0) * {off}, 6) AS longitude,
+drawn AS (SELECT *, {by_city(names)} AS city,
+  round({by_city(lats)} + ({a[1]} * 2.0 - 1.0) * {off}, 6) AS latitude,
+  round({by_city(lons)} + ({a[2]} * 2.0 - 1.0) * {off}, 6) AS longitude,
   DATE '{fixed.SAMPLE_START}' + CAST(floor({a[3]} * {fixed.SAMPLE_DAYS}) AS INTEGER) AS date,
   {pick(a[4], list(range(24)), fixed.HOUR_WEIGHTS)} AS hour,
   CAST(floor({a[5]} * 60) AS INTEGER) AS mi, CAST(floor({a[6]} * 60) AS INTEGER) AS se,

@@ -171,7 +171,7 @@ def test_road_match_equals_all_pairs(spark):
     }
 
     def away(p, road):
-        k = math.cos(math.radians(p["latitude"])) * geo.METERS_PER_DEGREE
+        k = math.cos(math.radians((road[3] + road[5]) / 2)) * geo.METERS_PER_DEGREE
         x0, y0 = (road[4] - p["longitude"]) * k, (road[3] - p["latitude"]) * geo.METERS_PER_DEGREE
         x1, y1 = (road[6] - p["longitude"]) * k, (road[5] - p["latitude"]) * geo.METERS_PER_DEGREE
         dx, dy = x1 - x0, y1 - y0

@@ -144,30 +144,35 @@ def prepare(
 ) -> tuple[FittedModel, DataFrame]:
     """Fit encoders and scaler; return them with the written training matrix.
 
-    The matrix (id, label, features, is_train) is written once, so the joins
-    behind the features are not repeated for every tree, fold and metric.
+    The selected columns are written before anything is fitted and the matrix
+    (id, label, features, is_train) after, so the joins behind the features run
+    once, not for every statistic, tree, fold and metric.
     """
-    encoders = written(fit_encoders(rows, categories), f"{name}-encoders")
-    coded = written(
-        encode(rows, encoders, categories).select(
+    base = written(
+        rows.select(
             key, label.cast("double").alias("label"),
             *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in numeric],
-            *[f"{c}_encoded" for c in categories],
+            *categories,
         ),
-        f"{name}-coded",
+        f"{name}-rows",
     )
+    encoders = written(fit_encoders(base, categories), f"{name}-encoders")
     model = FittedModel(name, numeric, categories, encoders, {}, [])
-    model.scaler = fit_scaler(coded, model.features)
     stratum = F.col("label") if stratified else F.lit(0.0)
-    split = stratified_split(coded.withColumn("_stratum_key", stratum), key, "_stratum_key")
-    matrix = _assembled(scale(split, model.scaler), model.features).select(
+    split = stratified_split(base.withColumn("_split_by", stratum), key, "_split_by")
+    coded = encode(split, encoders, categories)
+    model.scaler = fit_scaler(coded, model.features)
+    matrix = _assembled(scale(coded, model.scaler), model.features).select(
         key, "label", "features", "is_train"
     )
     return model, written(matrix, f"{name}-matrix")
 
 
 def _train(matrix: DataFrame) -> DataFrame:
-    return matrix.where("is_train")
+    """Training rows; a matrix of fewer partitions than cores is spread over all of them."""
+    rows = matrix.where("is_train")
+    cores = matrix.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
 
 
 def _test(matrix: DataFrame) -> DataFrame:

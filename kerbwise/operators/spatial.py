@@ -73,6 +73,16 @@ def top_hotspots(hotspots: DataFrame, city: str | None = None, limit: int = 10)
     )
 
 
+def cluster_preview(clusters: DataFrame, city: str | None = None, k: int = 10) -> DataFrame:
+    """The busiest clusters, optionally of one city."""
+    return (
+        for_city(clusters, city)
+        .orderBy(F.desc("accident_count"), "cell", "city", "state")
+        .limit(k)
+        .select("city", "accident_count", "avg_severity", "total_fatalities")
+    )
+
+
 def grid_hotspots(
     df: DataFrame, cells_per_degree: int = 100, min_incidents: int = fixed.GRID_MIN_INCIDENTS
 ) -> DataFrame:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from kerbwise.operators.risk import road_risk_scores
-from kerbwise.operators.spatial import grid_hotspots, spatial_clusters
+from kerbwise.operators.spatial import grid_hotspots, hotspot_view, spatial_clusters
 from kerbwise.operators.summary import insights_summary
 from kerbwise.operators.temporal import rush_hour_patterns, seasonal_patterns
 from kerbwise.sources.results import ResultStore
@@ -33,3 +34,12 @@ def run_complete_analysis(incidents: DataFrame, store: ResultStore) -> dict[str,
     for name, df in results.items():
         store.save(df, name)
     return store.load_all()
+
+
+def refresh_hotspot_table(incidents: DataFrame, store: ResultStore) -> DataFrame:
+    """Rebuild the stored hotspot table from the fact."""
+    flat = hotspot_view(incidents).withColumns(
+        {"centroid_lat": F.col("centroid.lat"), "centroid_lon": F.col("centroid.lon")}
+    )
+    store.save(flat.drop("centroid"), "accident_hotspots")
+    return store.load("accident_hotspots")

@@ -18,7 +18,8 @@ from kerbwise.learning import features as feat
 from kerbwise.operators import (
     filters, quality, radius, reports, risk, spatial, summary, temporal,
 )
-from kerbwise.plans.analysis import run_complete_analysis
+from kerbwise.plans.analysis import refresh_hotspot_table, run_complete_analysis
+from kerbwise.plans.ingest import ingest_csv
 from kerbwise.session import new_path
 from kerbwise.sources import files, synthetic
 from kerbwise.sources import warehouse as wh
@@ -66,6 +67,24 @@ def _joined(column: str, separator: str = " | ") -> Column:
 # --- sources, sinks ----------------------------------------------------------
 
 
+@query
+def ingest_job(spark, sf_dir):
+    raw, fact, rejected = (new_path(spark, f"ingest-{part}") for part in ("raw", "fact", "rejected"))
+    files.write_incident_csv(wh.incident_reports(spark, sf_dir), raw)
+    facts, quarantine = ingest_csv(spark, [raw], fact, rejected)
+    return (
+        facts.select(F.lit("fact").alias("target"), F.lit("").alias("reason"), F.lit(1).alias("copies"))
+        .unionByName(
+            quarantine.select(
+                F.lit("quarantine").alias("target"), _joined("reasons").alias("reason"),
+                F.col("copies").cast("int").alias("copies"),
+            )
+        )
+        .groupBy("target", "reason")
+        .agg(F.sum("copies").alias("row_count"))
+    )
+
+
 @query
 def csv_roundtrip(spark, sf_dir):
     path = new_path(spark, "incident-csv")
@@ -102,6 +121,12 @@ def results_roundtrip(spark, sf_dir):
     return out
 
 
+@query
+def hotspot_refresh(spark, sf_dir):
+    store = ResultStore(spark, new_path(spark, "hotspot-table"))
+    return refresh_hotspot_table(wh.incidents(spark, sf_dir), store)
+
+
 @query
 def synthetic_incidents(spark, sf_dir):
     return synthetic.synthesize(wh.table(spark, sf_dir, "events").select("event_id"), "event_id")
@@ -231,6 +256,7 @@ on_incidents("heatmap_points", lambda df: filters.heatmap_points(df).select(
 # --- aggregations ------------------------------------------------------------
 
 on_incidents("spatial_clusters", lambda df: spatial.spatial_clusters(df).drop("cluster_center"))
+on_incidents("cluster_preview", lambda df: spatial.cluster_preview(spatial.spatial_clusters(df), CITY))
 on_incidents("hotspot_view", lambda df: spatial.hotspot_view(df).select(
     "*", F.col("centroid.lat").alias("centroid_lat"), F.col("centroid.lon").alias("centroid_lon")
 ).drop("centroid"))

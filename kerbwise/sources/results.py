@@ -48,10 +48,14 @@ class ResultStore:
 
 
 def save_jdbc(df: DataFrame, url: str, table: str, connections: int = 8, **properties: str) -> None:
-    """Replace a database table. Executors write in parallel, nothing passes the driver."""
+    """Replace a database table over a few parallel connections; nothing passes the driver.
+
+    The result is repartitioned, not coalesced, so the work before it keeps its
+    parallelism.
+    """
     (
         flatten_points(df)
-        .coalesce(connections)
+        .repartition(connections)
         .write.mode("overwrite")
         .options(batchsize="10000", **properties)
         .jdbc(url, table)

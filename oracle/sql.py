@@ -496,6 +496,13 @@ FROM road"""
         "rep AS (SELECT raw.*, l_shipdate AS reported_at, l_linenumber AS report_line, l_partkey AS report_ref "
         "FROM raw JOIN lineitem ON l_orderkey = event_id)"
     )
+    out["ingest_job"] = fact(
+        """SELECT 'fact' AS target, '' AS reason, count(DISTINCT accident_id) AS row_count FROM checked WHERE reason = ''
+UNION ALL SELECT 'quarantine', reason, count(*) FROM checked WHERE reason <> '' GROUP BY reason
+UNION ALL SELECT 'quarantine', 'accident_id_duplicate', count(*) - count(DISTINCT accident_id) FROM checked
+  WHERE reason = '' HAVING count(*) > count(DISTINCT accident_id)""",
+        reports, f"checked AS (SELECT accident_id, {VIOLATIONS} AS reason FROM rep)",
+    )
     out["dq_duplicates"] = fact(
         "SELECT accident_id, count(*) AS copies, max(reported_at) AS kept_at FROM rep "
         "GROUP BY accident_id HAVING count(*) > 1",
@@ -541,7 +548,12 @@ UNION ALL SELECT 'max_date', CAST(max(date) AS VARCHAR) FROM inc"""
         "earliest_accident, latest_accident, center_lat, center_lon FROM clusters",
         CLUSTERS,
     )
-    out["hotspot_view"] = fact(HOTSPOT_VIEW, CLUSTERS)
+    out["hotspot_view"] = out["hotspot_refresh"] = fact(HOTSPOT_VIEW, CLUSTERS)
+    out["cluster_preview"] = fact(
+        f"SELECT city, accident_count, avg_severity, total_fatalities FROM clusters WHERE city = '{reg.CITY}' "
+        "ORDER BY accident_count DESC, cell, city, state LIMIT 10",
+        CLUSTERS,
+    )
     rush = f"SELECT city, hour, count(*) AS accident_count, {AVG_SEV} AS avg_severity, "
     out["rush_hour"] = fact(f"{rush}{SPARK_CATEGORY} AS time_category FROM inc GROUP BY city, hour")
     literal = SPARK_CATEGORY.replace("hour >= 21 OR hour <= 5", "hour BETWEEN 21 AND 5")

@@ -166,3 +166,18 @@ def test_csv_export(spark, incidents):
     path = new_path(spark, "export")
     files.export_csv(make(spark, {}, {"city": "B"}, cell=False).where("city = 'B'"), path)
     assert files.read_incident_csv(spark, path).count() == 1
+
+
+def test_ingest_job_accounts_for_every_row(spark, tmp_path):
+    from kerbwise.plans.ingest import ingest_csv
+
+    df = make(
+        spark, {}, {}, {"hour": 30}, {"accident_id": "ACC_000001", "city": "Other"},
+        {"accident_id": "ACC_000001", "city": "Other"}, {"casualties": None}, cell=False,
+    )
+    raw = new_path(spark, "raw")
+    files.write_incident_csv(df, raw)
+    facts, rejected = ingest_csv(spark, [raw], new_path(spark, "fact"), new_path(spark, "rejected"))
+    assert facts.count() == 3 and facts.where("cell IS NULL OR created_at IS NULL OR casualties IS NULL").count() == 0
+    reasons = {r.reasons[0]: r.n for r in rejected.groupBy("reasons").agg(F.sum("copies").alias("n")).collect()}
+    assert reasons == {"hour_range": 1, "accident_id_duplicate": 2}

@@ -9,7 +9,7 @@ from kerbwise.session import written
 
 MISSING_LABEL = "None"
 PREFIX_CHARS = 2
-DIGEST_BUCKET_HEX = 5  # 2**20 buckets
+DIGEST_BUCKET_HEX = 4  # 65536 buckets
 
 
 def _label(column: str) -> Column:
@@ -114,7 +114,7 @@ def split_points(df: DataFrame, key: str, stratum: str, fraction: float) -> Data
     """(stratum, cut): rows whose digest is at most ``cut`` make up ``fraction`` of the stratum.
 
     Counts by digest bucket find the bucket that holds the boundary; only the rows
-    of that one bucket (about a millionth of the stratum) are ranked.
+    of that one bucket (one in 65536 of the stratum) are ranked.
     """
     bucket = F.conv(F.substring(_digest(key), 1, DIGEST_BUCKET_HEX), 16, 10).cast("int")
     rows = df.select(F.col(stratum).alias("stratum"), key, bucket.alias("bucket"))

@@ -98,37 +98,34 @@ def duplicate_keys(df: DataFrame, key: str = "accident_id", order_by: str = "acc
     )
 
 
-def _newest(df: DataFrame, key: str, order_by: str) -> DataFrame:
-    """The newest row of each key with the number of its rows; the whole row breaks ties.
-
-    An aggregate, not a window over all rows of a key: a hot key is reduced to
-    one row per map task before the shuffle.
-    """
-    row = F.struct(F.col(order_by).alias("_at"), *[F.col(c) for c in df.columns])
-    return df.groupBy(F.col(key).alias("_key")).agg(
-        F.max(row).alias("_row"), F.count("*").alias("_rows")
-    )
-
-
 def deduplicate(
     df: DataFrame, key: str = "accident_id", order_by: str = "accident_datetime"
 ) -> tuple[DataFrame, DataFrame]:
     """(kept, surplus): the newest row of each key, and every other row once per content.
 
-    ``surplus.copies`` is the number of rows it stands for. Rows are compared with
-    the winner of their key; only keys that repeat are listed for that, and the
-    list is written, so its real size decides how it is joined.
+    ``surplus.copies`` is the number of rows it stands for. Rows without a key are
+    kept. Repeated keys are found with a hash aggregate on the key alone; rows of
+    all other keys pass through untouched. Winners among the rest come from an
+    aggregate, not a window over all rows of a key, so a hot key is reduced to one
+    row per map task before the shuffle. The lists of keys and of winners are
+    written, so their real size decides how they are joined.
     """
     columns = df.columns
-    newest = _newest(df, key, order_by)
-    kept = newest.select(*[F.col("_row")[c].alias(c) for c in columns])
-    repeated = written(newest.where(F.col("_rows") > 1).select("_key", "_row"), "repeated")
-    versions = df.groupBy(*columns).agg(F.count("*").alias("_copies"))
-    is_winner = F.struct(*[F.col(c) for c in columns]).eqNullSafe(
-        F.struct(*[F.col("_row")[c].alias(c) for c in columns])
+    repeated = written(
+        duplicate_keys(df, key, order_by).where(F.col(key).isNotNull()).select(key), "repeated"
+    )
+    copies = written(df.join(repeated, key, "left_semi").select(columns), "copies")
+    row = F.struct(F.col(order_by).alias("_at"), *[F.col(c) for c in columns])
+    winners = written(
+        copies.groupBy(F.col(key).alias("_key")).agg(F.max(row).alias("_row")), "winners"
     )
+    winner = [F.col("_row")[c].alias(c) for c in columns]
+    kept = df.join(repeated, key, "left_anti").select(columns).unionByName(winners.select(winner))
+    is_winner = F.struct(*[F.col(c) for c in columns]).eqNullSafe(F.struct(*winner))
     surplus = (
-        versions.join(repeated, F.col(key).eqNullSafe(F.col("_key")))
+        copies.groupBy(*columns)
+        .agg(F.count("*").alias("_copies"))
+        .join(winners, F.col(key) == F.col("_key"))
         .withColumn("copies", F.col("_copies") - F.when(is_winner, 1).otherwise(0))
         .where(F.col("copies") > 0)
         .select(*columns, "copies")

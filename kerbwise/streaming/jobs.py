@@ -23,6 +23,11 @@ PARTIAL_SUMS = [
     "n", "n_severity", "severity_sum", "casualties_sum", "fatalities_sum", "injured_sum",
     "n_located", "lat_sum", "lon_sum",
 ]
+PARTIAL_SCHEMA = (
+    "cell long, city string, state string, n long, n_severity long, severity_sum long, "
+    "casualties_sum long, fatalities_sum long, injured_sum long, n_located long, lat_sum double, "
+    "lon_sum double, first_datetime timestamp_ntz, last_datetime timestamp_ntz"
+)
 
 
 def _start(writer: DataStreamWriter, checkpoint: str, once: bool, every: str) -> StreamingQuery:
@@ -59,12 +64,14 @@ def deduplicated(
 
     Copies are first reduced per (id, salt) and then per id. An id that makes up
     a large share of the stream is spread over ``salts`` tasks, and at most that
-    many copies of it per lateness interval reach the second step. The salt is a
-    digest of the whole row, so a replayed batch salts its rows alike.
+    many copies of it per lateness interval reach the second step. The salt is the
+    input partition, so even identical copies are spread; whatever the salts, the
+    second step decides. Copies further apart than the bound may or may not be
+    dropped, as with any deduplication by watermark.
     """
     marked = rows.withWatermark(EVENT_TIME, lateness)
     if salts > 1:
-        salt = F.pmod(F.xxhash64(*rows.columns), F.lit(salts))
+        salt = F.pmod(F.spark_partition_id(), F.lit(salts))
         marked = (
             marked.withColumn("_salt", salt)
             .dropDuplicatesWithinWatermark([key, "_salt"])
@@ -128,35 +135,52 @@ def refresh_hotspots(
     return _start(rows.writeStream.foreachBatch(write_batch), checkpoint, once, every)
 
 
-def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A stored table, or an empty one if nothing has been stored."""
     try:
-        return spark.read.parquet(path)
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as error:
-        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def _deltas(spark: SparkSession, store: str) -> DataFrame:
+    return _stored(spark, f"{store}/delta", f"{PARTIAL_SCHEMA}, batch long")
+
+
+def _merged_up_to(spark: SparkSession, store: str) -> int:
+    """Last batch of the newest finished base, -1 without one."""
+    newest = _stored(spark, f"{store}/finished", "upto long").agg(F.max("upto")).first()[0]
+    return -1 if newest is None else newest
 
 
 def _current_partials(spark: SparkSession, store: str) -> DataFrame:
-    """The newest merged base and the batches after it."""
-    deltas = spark.read.parquet(f"{store}/delta")
-    base = _stored(spark, f"{store}/base")
-    if base is None:
-        return deltas
-    merged_up_to = base.agg(F.max("upto")).first()[0]
-    return (
-        base.where(F.col("upto") == merged_up_to)
-        .drop("upto")
-        .unionByName(deltas.where(F.col("batch") > merged_up_to).drop("batch"))
-    )
+    """The newest finished base and the batches after it."""
+    upto = _merged_up_to(spark, store)
+    later = _deltas(spark, store).where(F.col("batch") > upto).drop("batch")
+    if upto < 0:
+        return later
+    base = spark.read.schema(PARTIAL_SCHEMA).parquet(f"{store}/base/upto={upto}")
+    return base.unionByName(later)
 
 
 def compact_hotspots(spark: SparkSession, store: str) -> int:
-    """Fold all batches so far into one base table; returns the last batch it covers."""
-    last = spark.read.parquet(f"{store}/delta").agg(F.max("batch")).first()[0]
+    """Fold all batches so far into one base table; returns the last batch it covers.
+
+    Readers use a base only once it is listed as finished, which is the last step,
+    so an interrupted run leaves the table as it was and can be repeated.
+    """
+    last = _deltas(spark, store).agg(F.max("batch")).first()[0]
+    done = _merged_up_to(spark, store)
+    if last is None or last <= done:
+        return done
     merge_partials(_current_partials(spark, store)).write.mode("overwrite").parquet(
         f"{store}/base/upto={last}"
     )
+    spark.range(last, last + 1, 1, 1).withColumnRenamed("id", "upto").write.mode("append").parquet(
+        f"{store}/finished"
+    )
     return last
 
 

@@ -60,8 +60,11 @@ def test_hotspots_equal_batch_for_any_split_replay_and_compaction(spark, small,
     spark.read.parquet(f"{store}/delta/batch=0").write.parquet(kept)
     spark.read.parquet(kept).write.mode("overwrite").parquet(f"{store}/delta/batch=0")
     assert hotspot_rows(jobs.current_hotspots(spark, store)) == want
+    # a base that was never finished is not used
+    spark.read.parquet(f"{store}/delta/batch=0").write.parquet(f"{store}/base/upto=9")
+    assert hotspot_rows(jobs.current_hotspots(spark, store)) == want
     last = jobs.compact_hotspots(spark, store)
-    assert last == 4 and hotspot_rows(jobs.current_hotspots(spark, store)) == want
+    assert last == 4 == jobs.compact_hotspots(spark, store) and hotspot_rows(jobs.current_hotspots(spark, store)) == want
     # batches after the base count, batches before it do not count twice
     copy = new_path(spark, "copy")
     spark.read.parquet(f"{store}/delta/batch=4").write.parquet(copy)
@@ -135,3 +138,21 @@ def test_csv_stream(spark, incidents, tmp_path):
     got = jobs.read_ingested(spark, f"{done}/out")
     assert got.count() == incidents.count()
     assert got.select("accident_id", "cell").exceptAll(incidents.select("accident_id", "cell")).count() == 0
+
+
+def test_no_hotspots_before_the_first_batch(spark):
+    store = new_path(spark, "empty")
+    assert jobs.current_hotspots(spark, store).count() == 0 and jobs.compact_hotspots(spark, store) == -1
+
+
+def test_identical_copies_of_a_hot_id(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    spark.range(0, 3000, 1, 6).select(
+        F.when(F.col("id") % 3 == 0, "HOT").otherwise(F.col("id").cast("string")).alias("accident_id"),
+        F.lit("2024-01-01").cast("timestamp").alias("reported_at"),
+    ).write.parquet(folder)
+    stream = spark.readStream.schema("accident_id string, reported_at timestamp").parquet(folder)
+    out = str(tmp_path / "out")
+    jobs.write_deduplicated(stream, out, str(tmp_path / "check"), "1 day").awaitTermination()
+    got = spark.read.parquet(out)
+    assert got.count() == 2001 and got.where("accident_id = 'HOT'").count() == 1

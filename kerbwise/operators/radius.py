@@ -104,7 +104,11 @@ def incidents_around(df: DataFrame, centers: DataFrame, key: str, radius_m: floa
 def hotspots_near(
     requests: DataFrame, hotspots: DataFrame, radius_km: float = fixed.REQUEST_RADIUS_KM
 ) -> DataFrame:
-    """Hotspots around each request: cell totals are joined, not incidents."""
+    """Hotspots around each request: cell totals are joined, not incidents.
+
+    The number of cells in a circle bounds the hotspots of a request (about 107
+    cells per city in five kilometres), so the result grows with the requests.
+    """
     centers = requests.select(
         "request_id", F.col("latitude").alias("center_lat"), F.col("longitude").alias("center_lon")
     ).where(F.col("center_lat").between(-90, 90) & F.col("center_lon").between(-180, 180))

@@ -20,7 +20,7 @@ from kerbwise.operators import (
 )
 from kerbwise.plans.analysis import refresh_hotspot_table, run_complete_analysis
 from kerbwise.plans.ingest import ingest_csv
-from kerbwise.session import new_path
+from kerbwise.session import new_path, written
 from kerbwise.sources import files, synthetic
 from kerbwise.sources import warehouse as wh
 from kerbwise.sources.results import ResultStore, flatten_points
@@ -56,6 +56,11 @@ def on_incidents(name: str, build: Callable[[DataFrame], DataFrame]) -> None:
     _registry[name] = lambda spark, sf_dir: build(wh.incidents(spark, sf_dir))
 
 
+def stored_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The incident fact as a written table, for queries that read it several times."""
+    return written(wh.incidents(spark, sf_dir), "incidents")
+
+
 def queries() -> dict[str, Query]:
     return dict(_registry)
 
@@ -203,8 +208,11 @@ def dq_duplicates(spark, sf_dir):
 
 @query
 def dq_deduplicated(spark, sf_dir):
-    versions = wh.incident_reports(spark, sf_dir).select(
-        "accident_id", "severity", "casualties", "reported_at", "report_line", "report_ref"
+    versions = written(
+        wh.incident_reports(spark, sf_dir).select(
+            "accident_id", "severity", "casualties", "reported_at", "report_line", "report_ref"
+        ),
+        "reports",
     )
     kept, surplus = quality.deduplicate(versions, order_by="reported_at")
     both = kept.select("accident_id", "reported_at", F.lit(1).alias("copies"), F.lit(True).alias("is_kept"))
@@ -325,9 +333,14 @@ on_incidents("top_hotspots", lambda df: spatial.top_hotspots(spatial.hotspot_vie
 
 # --- joins -------------------------------------------------------------------
 
-on_incidents("features", lambda df: feat.feature_table(df).withColumn(
-    "city_severity_std", F.round("city_severity_std", 6)
-))
+
+@query
+def features(spark, sf_dir):
+    return feat.feature_table(stored_incidents(spark, sf_dir)).withColumn(
+        "city_severity_std", F.round("city_severity_std", 6)
+    )
+
+
 on_incidents("neighbor_density", spatial.cell_density)
 on_incidents("within_radius", lambda df: radius.within_radius(df, *RADIUS_CENTER))
 
@@ -403,14 +416,15 @@ on_incidents("label_codes", lambda df: encoding.encode(
 
 @query
 def standardize(spark, sf_dir):
-    df = wh.incidents(spark, sf_dir)
+    df = stored_incidents(spark, sf_dir)
     scaled = encoding.scale(df, encoding.fit_scaler(df, SCALED))
     return scaled.select("accident_id", *[F.round(f"{c}_z", 6).alias(f"{c}_z") for c in SCALED])
 
 
-on_incidents("stratified_split", lambda df: encoding.stratified_split(
-    df.select("accident_id", "severity"), "accident_id", "severity"
-))
+@query
+def stratified_split(spark, sf_dir):
+    df = stored_incidents(spark, sf_dir).select("accident_id", "severity")
+    return encoding.stratified_split(df, "accident_id", "severity")
 
 
 def _guesses(df: DataFrame) -> DataFrame:
@@ -440,26 +454,26 @@ def _predictions(model: models.FittedModel, matrix: DataFrame, key: str) -> Data
 
 @query
 def severity_predictions(spark, sf_dir):
-    rows = feat.feature_table(wh.incidents(spark, sf_dir))
+    rows = feat.feature_table(stored_incidents(spark, sf_dir))
     return _predictions(*models.train_severity_model(rows, **FOREST), "accident_id")
 
 
 @query
 def severity_boosted(spark, sf_dir):
-    rows = feat.feature_table(wh.incidents(spark, sf_dir))
+    rows = feat.feature_table(stored_incidents(spark, sf_dir))
     model, matrix = models.train_severity_model(rows, "boosted", maxIter=5, maxDepth=3)
     return _predictions(model, matrix, "accident_id")
 
 
 @query
 def severity_report(spark, sf_dir):
-    rows = feat.feature_table(wh.incidents(spark, sf_dir))
+    rows = feat.feature_table(stored_incidents(spark, sf_dir))
     return models.severity_report(*models.train_severity_model(rows, **FOREST))
 
 
 @query
 def cv_results(spark, sf_dir):
-    rows = feat.feature_table(wh.incidents(spark, sf_dir))
+    rows = feat.feature_table(stored_incidents(spark, sf_dir))
     forest = RandomForestClassifier(seed=models.SEED)
     grid = [{forest.numTrees: 5, forest.maxDepth: depth} for depth in (3, 5)]
     _, _, results = models.tune_severity_model(rows, grid, forest)
@@ -476,20 +490,20 @@ def hotspot_predictions(spark, sf_dir):
 
 @query
 def casualty_predictions(spark, sf_dir):
-    rows = feat.feature_table(wh.incidents(spark, sf_dir))
+    rows = feat.feature_table(stored_incidents(spark, sf_dir))
     return _predictions(*models.train_casualty_model(rows, **FOREST), "accident_id")
 
 
 @query
 def feature_importance(spark, sf_dir):
-    rows = feat.feature_table(wh.incidents(spark, sf_dir))
+    rows = feat.feature_table(stored_incidents(spark, sf_dir))
     model, _ = models.train_severity_model(rows, **FOREST)
     return model.importance()
 
 
 @query
 def score_batch(spark, sf_dir):
-    facts = wh.incidents(spark, sf_dir)
+    facts = stored_incidents(spark, sf_dir)
     past = feat.history(temporal.time_features(filters.model_base(facts)))
     model, _ = models.train_severity_model(feat.feature_table(facts, past), **FOREST)
     scored = scoring.score_requests(wh.trip_requests(spark, sf_dir), model, past, AS_OF.date())
@@ -505,7 +519,7 @@ def score_batch(spark, sf_dir):
 
 @query
 def scoring_features(spark, sf_dir):
-    past = feat.history(filters.model_base(wh.incidents(spark, sf_dir)))
+    past = feat.history(filters.model_base(stored_incidents(spark, sf_dir)))
     rows = scoring.request_features(wh.trip_requests(spark, sf_dir), past, AS_OF.date())
     return rows.select(
         "request_id", "cell_density", F.round("neighbor_density", 6).alias("neighbor_density"),

@@ -49,6 +49,11 @@ def export_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def export_json(df: DataFrame, path: str) -> None:
+    """Write rows as JSON lines."""
+    df.write.mode("overwrite").json(path)
+
+
 def write_incident_csv(df: DataFrame, path: str) -> None:
     """Write the twenty incident columns in file order."""
     export_csv(df.select(INCIDENT_COLUMNS), path)

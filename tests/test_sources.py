@@ -181,3 +181,12 @@ def test_ingest_job_accounts_for_every_row(spark, tmp_path):
     assert facts.count() == 3 and facts.where("cell IS NULL OR created_at IS NULL OR casualties IS NULL").count() == 0
     reasons = {r.reasons[0]: r.n for r in rejected.groupBy("reasons").agg(F.sum("copies").alias("n")).collect()}
     assert reasons == {"hour_range": 1, "accident_id_duplicate": 2}
+
+
+def test_json_export(spark, incidents):
+    from kerbwise.operators.temporal import temporal_analysis
+
+    path = new_path(spark, "json")
+    hourly = temporal_analysis(incidents)
+    files.export_json(hourly, path)
+    assert spark.read.schema(hourly.schema).json(path).exceptAll(hourly).count() == 0

@@ -31,8 +31,8 @@ from kerbwise.llm.ragged import KeyedRows, gather
 from kerbwise.llm.words import binaries, mixed, range_hashes, slices, utf8
 
 SPACE = 0x2581
-RATE, SEED, VARIANTS = 0.1, 20_240, 8
-_SLICE_BYTES = 2 << 20
+RATE, SEED, VARIANTS = 0.1, 20_240, 4
+_SLICE_BYTES = 4 << 20
 _LONG = 64
 _NONE = np.int64(1) << 62
 _STEP = np.uint64(0xD6E8FEB86659FD93)

@@ -100,15 +100,21 @@ def shingles(word_hashes: np.ndarray, word_offsets: np.ndarray, k: int = 5) -> t
     return value, offsets
 
 
+def sorted_by_row(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The values with each row's own in ascending order."""
+    values = values.copy()
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        values[a:b].sort()
+    return values
+
+
 def unique_by_row(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct values of each row, ascending, and their offsets."""
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    order = np.lexsort((values, row))
-    values, row = values[order], row[order]
+    values = sorted_by_row(values, offsets)
     keep = np.ones(len(values), bool)
-    keep[1:] = (values[1:] != values[:-1]) | (row[1:] != row[:-1])
-    counts = np.bincount(row[keep], minlength=len(offsets) - 1)
-    return values[keep], np.concatenate(([0], np.cumsum(counts)))
+    keep[1:] = values[1:] != values[:-1]
+    keep[offsets[:-1][np.diff(offsets) > 0]] = True
+    return values[keep], np.concatenate(([0], np.cumsum(keep)))[offsets]
 
 
 def binaries(values: np.ndarray, offsets: np.ndarray) -> pa.Array:

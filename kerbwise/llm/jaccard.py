@@ -9,8 +9,9 @@ words the whole sequence is one). Two documents link when 100 * |a and b| >= 80
    prefix. Documents with the same prefix and size are one group.
 3. Groups meet in the list of each shingle of their prefixes. Of each list the most central group
    (the one that holds the shingle earliest) is paired with the others that pass the size
-   and position filters, and the members of a group are paired with its first one; the pairs are
-   verified on their whole sets, and linked ones join into components.
+   and position filters, and the members of a group are paired with its first one; the pairs pass a
+   filter on parity bits, are verified on their whole sets, and linked ones join into components.
+   Parity bits: each shingle flips one of at least 2n bits; sets cannot differ in fewer shingles than in bits.
 4. What is left are pairs of a list across components. Each member outside the component of the
    list's centre is paired with every other that passes the filters, groups are
    expanded to members, and all these pairs are verified. No link between components is lost,
@@ -44,7 +45,7 @@ FILTER_BITS = 22
 LIST_ROWS = 1 << 20
 _SLICE_BYTES = 4 << 20
 
-DIGEST = "rid long, doc_id long, n long, sig_a long, sig_b long, prefix_key long, prefix binary"
+DIGEST = "rid long, doc_id long, n long, sig_a long, sig_b long, prefix_key long, prefix binary, parity binary"
 SHARED = "token long, gid long, pos long, n long, hub long, hub_pos long, hub_n long"
 PACKED = "bucket long, payload binary"
 _POSTING = np.dtype([("token", "<u8"), ("gid", "<i8"), ("key", "<i8"), ("n", "<i4"), ("pos", "<i4")])
@@ -75,6 +76,25 @@ def _ranked(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return (rank << np.uint64(48)) | (mixed(values) >> np.uint64(16))
 
 
+def _parities(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parity bits of each row's set, and their byte offsets; a row has a power of two of bits, at least 2n."""
+    n = np.diff(offsets)
+    size = np.maximum(8, 1 << np.ceil(np.log2(np.maximum(n, 1) / 4)).clip(0).astype(np.int64))
+    ends = np.concatenate(([0], np.cumsum(size)))
+    bit = (mixed(values ^ np.uint64(0x5851F42D4C957F2D)) & np.repeat(8 * size - 1, n).astype(np.uint64)).astype(np.int64)
+    out = np.zeros(ends[-1], np.uint8)
+    np.bitwise_xor.at(out, np.repeat(ends[:-1], n) + (bit >> 3), (1 << (bit & 7)).astype(np.uint8))
+    return out, ends
+
+
+def differing_bits(a: bytes, b: bytes) -> int:
+    """Bits in which two parities differ, the longer one folded to the shorter one's length."""
+    a, b = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    size = min(len(a), len(b))
+    fold = lambda x: np.bitwise_xor.reduce(x.reshape(-1, size), axis=0)
+    return int(np.bitwise_count(fold(a) ^ fold(b)).sum())
+
+
 def digests(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, int]:
     """The written table of sizes, set signatures and prefixes, and the number of all shingles."""
     spark = docs.sparkSession
@@ -104,6 +124,7 @@ def digests(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, int]:
                         "sig_b": pa.array(sig_b),
                         "prefix_key": pa.array(key.view(np.int64)),
                         "prefix": binaries(prefix, prefix_offsets),
+                        "parity": binaries(*_parities(values, offsets)),
                     }
                 )
                 row += b - a
@@ -242,40 +263,60 @@ def _pairs(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
 
 
+def possible(pairs: DataFrame, digest: DataFrame, percent: int) -> DataFrame:
+    """The written pairs (u, v) whose parity bits allow a link."""
+
+    def check(batches):
+        for batch in batches:
+            keep = [
+                (100 + percent) * differing_bits(a, b) <= (100 - percent) * (m + n)
+                for a, b, m, n in zip(*(batch.column(c).to_pylist() for c in ("parity_u", "parity_v", "n_u", "n_v")))
+            ]
+            yield pa.record_batch({c: batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("u", "v")})
+
+    nodes = pairs.select(F.col("u").alias("rid")).unionByName(pairs.select(F.col("v").alias("rid"))).distinct()
+    known = written(digest.select("rid", "n", "parity").join(nodes, "rid", "left_semi"), "parities")
+    side = lambda c: known.select(F.col("rid").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"parity_{c}"))
+    return written(pairs.join(side("u"), "u").join(side("v"), "v").mapInArrow(check, "u long, v long"), "possible")
+
+
+def _set_key(sig_a: np.ndarray, sig_b: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
+    return mixed(mixed(sig_a.view(np.uint64) ^ mixed(sig_b.view(np.uint64))) + doc_id.astype(np.uint64))
+
+
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (u, v) of classes whose whole sets link.
 
-    The sets are made anew from the texts. A filter of fixed size lets through the documents that are in a
-    pair and some more; the joins are exact.
+    The sets are made anew from the texts. A filter of fixed size lets through the documents whose class is in a
+    pair and that have the class's least id (none counts as -1), and some more; the joins are exact.
     """
     spark = docs.sparkSession
     nodes = pairs.select(F.col("u").alias("cls")).unionByName(pairs.select(F.col("v").alias("cls"))).distinct()
-    wanted = written(classes.join(nodes, "cls").select("cls", "sig_a", "sig_b"), "wanted")
-
-    def key(sig_a: np.ndarray, sig_b: np.ndarray) -> np.ndarray:
-        return mixed(sig_a.view(np.uint64) ^ mixed(sig_b.view(np.uint64)))
+    wanted = written(classes.join(nodes, "cls").select("cls", "sig_a", "sig_b", F.coalesce("least_id", F.lit(-1)).alias("least_id")), "wanted")
 
     def wanted_keys(batch):
-        yield key(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("sig_a", "sig_b")))
+        yield _set_key(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("sig_a", "sig_b", "least_id")))
 
     passed = spark.sparkContext.broadcast(np.packbits(sketches.counted(wanted, wanted_keys, FILTER_BITS) > 0))
 
     def run(batches):
         for batch in batches:
-            for _, _, values, offsets in sets_of(batch.column("text"), k):
+            ids = batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False)
+            for a, b, values, offsets in sets_of(batch.column("text"), k):
                 sig_a, sig_b = _signatures(values, offsets)
-                cell = sketches.cells(key(sig_a, sig_b), FILTER_BITS)
+                cell = sketches.cells(_set_key(sig_a, sig_b, ids[a:b]), FILTER_BITS)
                 rows = np.flatnonzero((passed.value[cell >> 3] >> (7 - (cell & 7))) & 1)
-                # Within a batch equal sets are needed once.
                 rows = rows[np.unique(np.stack((sig_a[rows], sig_b[rows])), axis=1, return_index=True)[1]]
                 packed = [values[offsets[i]:offsets[i + 1]].tobytes() for i in rows.tolist()]
                 yield pa.record_batch(
                     {"sig_a": pa.array(sig_a[rows]), "sig_b": pa.array(sig_b[rows]), "shingles": pa.array(packed, pa.binary())}
                 )
 
-    made = written(docs.select("text").mapInArrow(run, "sig_a long, sig_b long, shingles binary"), "sets")
-    # One set for each class: the copies of a class differ in nothing.
-    sets = written(made.join(wanted, ["sig_a", "sig_b"]).select("cls", "shingles").dropDuplicates(["cls"]), "class-sets")
+    sets = written(docs.mapInArrow(run, "sig_a long, sig_b long, shingles binary"), "sets")
+    if not sets.groupBy("sig_a", "sig_b").count().where("count > 1").isEmpty():  # repeated rows
+        sets = written(sets.dropDuplicates(["sig_a", "sig_b"]), "sets")
+    side = lambda c, a, b: wanted.select(F.col("cls").alias(c), F.col("sig_a").alias(a), F.col("sig_b").alias(b))
+    named = pairs.join(side("u", "ua", "ub"), "u").join(side("v", "va", "vb"), "v")
 
     def check(batches):
         for batch in batches:
@@ -288,10 +329,8 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, perc
                 keep.append(100 * common >= percent * (len(a) + len(b) - common))
             yield pa.record_batch({c: batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("u", "v")})
 
-    right = pairs.join(sets.select(F.col("cls").alias("v"), F.col("shingles").alias("right")), "v")
-    return right.join(sets.select(F.col("cls").alias("u"), F.col("shingles").alias("left")), "u").mapInArrow(
-        check, "u long, v long"
-    )
+    right = named.join(sets.toDF("va", "vb", "right"), ["va", "vb"])
+    return right.join(sets.toDF("ua", "ub", "left"), ["ua", "ub"]).select("u", "v", "left", "right").mapInArrow(check, "u long, v long")
 
 
 def _labelled(classes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -322,7 +361,7 @@ def link(docs: DataFrame, k: int = K, percent: int = PERCENT, list_rows: int = L
         .distinct(),
         "centre-pairs",
     )
-    edges = written(verified(pairs, classes, docs, k, percent), "edges")
+    edges = written(verified(possible(pairs, digest, percent), classes, docs, k, percent), "edges")
 
     state = written(_labelled(classes, edges), "state")
     member = state.select("gid", "cls", "comp")
@@ -344,6 +383,7 @@ def link(docs: DataFrame, k: int = K, percent: int = PERCENT, list_rows: int = L
         .join(pairs, ["u", "v"], "left_anti"),
         "left-pairs",
     )
+    left = possible(left, digest, percent)
     if not left.isEmpty():
         edges = edges.unionByName(verified(left, classes, docs, k, percent))
         state = written(_labelled(classes, written(edges, "edges")), "state")

@@ -345,7 +345,11 @@ def varied(pages: list[list], seed: int = SEED) -> list[tuple[np.ndarray, np.nda
 
 def sample_pages(pages: DataFrame, most: int = TRAIN_PAGES) -> list[list]:
     """The block sequences of the pages of least id hash that say where their main text is."""
-    rows = pages.where("html is not null").select("html", F.xxhash64("page_id", "url").alias("h")).orderBy("h").limit(most).collect()
+    keyed = pages.where("html is not null").select("html", F.xxhash64("page_id", "url").alias("h"))
+    last = keyed.select("h").orderBy("h").limit(most).agg(F.max("h")).first()[0]
+    if last is None:
+        return []
+    rows = keyed.where(F.col("h") <= last).orderBy("h").limit(most).collect()
     read = [blocks(row["html"])[:400] for row in rows]
     return [page for page in read if any(marked_main(path) for path, _ in page)]
 

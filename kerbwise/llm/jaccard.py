@@ -43,7 +43,7 @@ SKETCH_BITS = 20
 FILTER_BITS = 22
 #: A shingle that the sketch counts so often gets another list for each so many rows.
 LIST_ROWS = 1 << 20
-_SLICE_BYTES = 4 << 20
+_SLICE_BYTES = 2 << 20
 
 DIGEST = "rid long, doc_id long, n long, sig_a long, sig_b long, prefix_key long, prefix binary, parity binary"
 SHARED = "token long, gid long, pos long, n long, hub long, hub_pos long, hub_n long"
@@ -404,9 +404,10 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     are one document and leave a single row.
     """
     linked = written(link(docs, **options), "linked")
-    kept = linked.where("doc_id = component_id").select("doc_id").distinct()
+    named = F.bool_or(F.col("doc_id") == F.col("component_id")).alias("named")
+    dropped = written(linked.where("doc_id is not null").groupBy("doc_id").agg(named).where("not named").select("doc_id"), "dropped")
     again = written(docs.groupBy("doc_id").count().where("doc_id is not null and count > 1").select("doc_id"), "repeated")
-    named = docs.where("doc_id is not null")
-    once = named.join(again, "doc_id", "left_anti").join(kept, "doc_id", "left_semi")
-    twice = named.join(again, "doc_id", "left_semi").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(twice).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    left = docs.join(dropped, "doc_id", "left_anti")
+    once = left.join(again, "doc_id", "left_anti")
+    twice = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return once.unionByName(twice).select(*docs.columns)

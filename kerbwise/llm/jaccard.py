@@ -297,7 +297,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, perc
     def wanted_keys(batch):
         yield _set_key(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("sig_a", "sig_b", "least_id")))
 
-    passed = spark.sparkContext.broadcast(np.packbits(sketches.counted(wanted, wanted_keys, FILTER_BITS) > 0))
+    passed = spark.sparkContext.broadcast(np.packbits(sketches.counted(wanted, wanted_keys, FILTER_BITS, bool)))
 
     def run(batches):
         for batch in batches:

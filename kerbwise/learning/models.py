@@ -168,11 +168,15 @@ def prepare(
     return model, written(matrix, f"{name}-matrix")
 
 
+#: Partitions of the training rows. Trees draw their samples by partition, so the number is
+#: fixed: the same rows give the same model on any cluster. Raise it with the size of the data.
+TRAIN_PARTITIONS = 32
+
+
 def _train(matrix: DataFrame) -> DataFrame:
-    """Training rows; a matrix of fewer partitions than cores is spread over all of them."""
-    rows = matrix.where("is_train")
-    cores = matrix.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+    """Training rows in one layout: dealt by the hash of their id and ordered by it."""
+    key = matrix.columns[0]
+    return matrix.where("is_train").repartition(TRAIN_PARTITIONS, key).sortWithinPartitions(key)
 
 
 def _test(matrix: DataFrame) -> DataFrame:

@@ -104,8 +104,8 @@ def sample_rows(df: DataFrame, rows: int, key: str = "accident_id") -> DataFrame
     return df.orderBy(F.md5(F.col(key).cast("binary")), key).limit(rows)
 
 
-def heatmap_points(df: DataFrame, city: str | None = None, rows: int = 5000) -> DataFrame:
-    """Sampled [latitude, longitude, weight] points."""
+def heatmap_points(df: DataFrame, city: str | None = None, *, rows: int) -> DataFrame:
+    """At most ``rows`` sampled [latitude, longitude, weight] points."""
     return sample_rows(located(for_city(df, city)), rows).select(
         "accident_id", F.array("latitude", "longitude", F.col("severity").cast("double")).alias("point")
     )

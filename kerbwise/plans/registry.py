@@ -256,7 +256,7 @@ on_incidents("filter_incidents", lambda df: filters.filter_incidents(
     df, None, DATES, SEVERITIES, VEHICLES
 ).select("accident_id", "city", "date", "severity_label", "vehicle_type"))
 on_incidents("filter_options", filters.filter_options)
-on_incidents("heatmap_points", lambda df: filters.heatmap_points(df).select(
+on_incidents("heatmap_points", lambda df: filters.heatmap_points(df, rows=5000).select(
     "accident_id", F.get("point", F.lit(0)).alias("latitude"),
     F.get("point", F.lit(1)).alias("longitude"), F.get("point", F.lit(2)).alias("weight"),
 ))

@@ -26,6 +26,9 @@ def register_views(spark: SparkSession, incidents: DataFrame, roads: DataFrame |
     spark.sql(_RADIUS_FUNCTION)
 
 
+#: Degrees of longitude that the radius reaches at most, away from the poles.
+_HALF = f"""degrees(asin(least(1.0D, sin(radians(radius_meters * 1.000001D / {METERS_PER_DEGREE}D)) / cos(radians(center_lat)))))"""
+
 _RADIUS_FUNCTION = f"""
 CREATE OR REPLACE TEMPORARY FUNCTION accidents_within_radius(
     center_lat DOUBLE, center_lon DOUBLE, radius_meters INT DEFAULT {fixed.RADIUS_METERS})
@@ -42,6 +45,11 @@ RETURN
     FROM accidents a
     WHERE a.latitude BETWEEN center_lat - radius_meters * 1.000001D / {METERS_PER_DEGREE}D
                          AND center_lat + radius_meters * 1.000001D / {METERS_PER_DEGREE}D
+      AND (abs(center_lat) + radius_meters * 1.000001D / {METERS_PER_DEGREE}D >= 90
+           OR a.longitude BETWEEN center_lon - {_HALF} AND center_lon + {_HALF}
+           OR a.longitude >= center_lon - {_HALF} + 360
+           OR a.longitude <= center_lon + {_HALF} - 360)
   ) near
   WHERE near.meters <= radius_meters
+  ORDER BY 4, 1
 """

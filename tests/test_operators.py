@@ -304,3 +304,24 @@ def test_hot_key_dedupe(spark):
     kept, surplus = quality.deduplicate(df)
     assert kept.count() == 2001 and surplus.count() == 999
     assert kept.where("accident_id = 'HOT'").first().payload == 2997
+
+
+def test_sql_radius_function_is_ordered_and_complete(spark, incidents):
+    from kerbwise.operators.radius import within_radius
+    from kerbwise.plans.views import register_views
+
+    register_views(spark, incidents)
+    for lat, lon, meters in ((19.07, 72.87, 500_000), (89.9, 10.0, 9_000_000)):
+        got = spark.sql(f"SELECT * FROM accidents_within_radius({lat}, {lon}, {meters})").collect()
+        assert got and got == within_radius(incidents, lat, lon, meters).collect()
+
+
+def test_training_rows_have_one_layout(spark):
+    from pyspark.sql import functions as F
+
+    from kerbwise.learning.models import TRAIN_PARTITIONS, _train
+
+    rows = spark.range(500).select(F.col("id").cast("string").alias("id"), F.lit(True).alias("is_train"))
+    layout = lambda df: _train(df).select("id", F.spark_partition_id().alias("p")).collect()
+    assert layout(rows.repartition(3)) == layout(rows.repartition(11))
+    assert max(r.p for r in layout(rows)) < TRAIN_PARTITIONS

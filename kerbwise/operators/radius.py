@@ -122,6 +122,11 @@ def hotspots_near(
     )
 
 
+def _short_way(degrees: Column) -> Column:
+    """A difference of longitudes taken the short way round; within 180 it stays as it is."""
+    return F.when(degrees > 180.0, degrees - 360.0).when(degrees < -180.0, degrees + 360.0).otherwise(degrees)
+
+
 def _flattened(roads: DataFrame) -> DataFrame:
     """Each segment in metres, in a plane that touches the earth at its middle latitude.
 
@@ -133,7 +138,7 @@ def _flattened(roads: DataFrame) -> DataFrame:
         roads.withColumn("_k", F.cos(middle) * METERS_PER_DEGREE)
         .withColumns(
             {
-                "_dx": (F.col("lon1") - F.col("lon0")) * F.col("_k"),
+                "_dx": _short_way(F.col("lon1") - F.col("lon0")) * F.col("_k"),
                 "_dy": (F.col("lat1") - F.col("lat0")) * METERS_PER_DEGREE,
             }
         )
@@ -149,7 +154,7 @@ def _flattened(roads: DataFrame) -> DataFrame:
 
 def _squared_distance(lat: Column, lon: Column) -> Column:
     """Squared distance in metres from a point to a flattened segment."""
-    x = (lon - F.col("lon0")) * F.col("_k")
+    x = _short_way(lon - F.col("lon0")) * F.col("_k")
     y = (lat - F.col("lat0")) * METERS_PER_DEGREE
     along = (x * F.col("_dx") + y * F.col("_dy")) * F.col("_inverse")
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))
@@ -170,7 +175,7 @@ def _segment_buckets(roads: DataFrame, max_distance_m: float, step_m: float) ->
         .withColumns(
             {
                 "_lat": F.col("lat0") + (F.col("lat1") - F.col("lat0")) * share,
-                "_lon": F.col("lon0") + (F.col("lon1") - F.col("lon0")) * share,
+                "_lon": _short_way(F.col("lon0") + _short_way(F.col("lon1") - F.col("lon0")) * share),
             }
         )
         .withColumn(
@@ -192,7 +197,8 @@ def match_roads(
     """Nearest road segment of each incident that has one within ``max_distance_m``.
 
     Segments are walked in steps of one bucket and listed under every bucket near
-    the walk; incidents look up their own bucket. Ties go to the smaller road id.
+    the walk; incidents look up their own bucket. Ties go to the smaller road id. Every row
+    is matched by itself, also where its id is null or repeated.
     ``carry`` names incident columns to keep, which saves joining them back.
     """
     step_m = max(2.0 * max_distance_m, 1000.0)
@@ -200,14 +206,15 @@ def match_roads(
     step = step_m / METERS_PER_DEGREE
     return (
         df.select("accident_id", "latitude", "longitude", *carry)
+        .withColumn("_row", F.monotonically_increasing_id())
         .withColumn("_bucket", bucket_of(F.col("latitude"), F.col("longitude"), step))
         .join(spread, "_bucket")
         .withColumn("_d2", _squared_distance(F.col("latitude"), F.col("longitude")))
         .where(F.col("_d2") <= max_distance_m**2)
-        .groupBy("accident_id")
-        .agg(F.min(F.struct("_d2", "road_id", *carry)).alias("nearest"))
+        .groupBy("_row")
+        .agg(F.min(F.struct("_d2", "road_id", "accident_id", *carry)).alias("nearest"))
         .select(
-            "accident_id", "nearest.road_id",
+            "nearest.accident_id", "nearest.road_id",
             round2(F.sqrt("nearest._d2")).alias("distance_meters"),
             *[f"nearest.{name}" for name in carry],
         )

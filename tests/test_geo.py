@@ -186,3 +186,22 @@ def test_road_match_equals_all_pairs(spark):
             want[f"ACC_{i + 1:06d}"] = (road_id, d)
     assert got.keys() == want.keys() and want
     assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 0.01 for k in want)
+
+
+def test_roads_across_the_date_line_and_rows_without_ids(spark):
+    from kerbwise.operators.radius import match_roads
+
+    points = spark.createDataFrame(
+        [("a", 0.0, 179.9995), ("b", 0.0, -179.9995), ("c", 0.001, 180.0), (None, 0.0, 10.0), (None, 0.0, 10.001), ("d", 0.0, 10.0), ("d", 0.0, 10.002), ("far", 0.0, 0.0)],
+        "accident_id string, latitude double, longitude double",
+    )
+    roads = spark.createDataFrame(
+        [("east", 0.0, -179.9985, 0.0, -179.99), ("across", 0.001, 179.99, 0.001, -179.99), ("plain", 0.0, 9.99, 0.0, 10.01)],
+        "road_id string, lat0 double, lon0 double, lat1 double, lon1 double",
+    )
+    got = sorted(map(str, match_roads(points, roads, 500.0).select("accident_id", "road_id", "distance_meters").collect()))
+    assert len(got) == 7
+    by_id = {r.accident_id: r for r in match_roads(points, roads, 500.0).collect()}
+    assert by_id["c"].road_id == "across" and by_id["c"].distance_meters == 0.0
+    assert {by_id["a"].road_id, by_id["b"].road_id} <= {"across", "east"} and 110 < by_id["b"].distance_meters < 112
+    assert match_roads(points, roads.where("road_id = 'east'"), 500.0).where("accident_id = 'a'").first().distance_meters > 200

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from kerbwise.session import written
 
 MISSING_LABEL = "None"
-PREFIX_CHARS = 2
 DIGEST_BUCKET_HEX = 4  # 65536 buckets
 
 
@@ -19,9 +18,9 @@ def _label(column: str) -> Column:
 def fit_encoders(df: DataFrame, columns: list[str]) -> DataFrame:
     """(feature, value, code): the rank of each distinct value, from 0.
 
-    Values are ranked inside their two-character prefix, and prefixes are offset
-    by the number of values before them. So no single task sorts all values of a
-    feature; the running sum covers one row per prefix.
+    Values are dealt by range, ranked inside their range, and offset by the number of values
+    in the ranges before. So no task sorts all values of a feature, whatever they begin
+    with; the running sum covers one row per range.
     """
     pairs = F.array(
         *[F.struct(F.lit(c).alias("feature"), _label(c).alias("value")) for c in columns]
@@ -32,22 +31,23 @@ def fit_encoders(df: DataFrame, columns: list[str]) -> DataFrame:
         .select(F.explode(pairs).alias("p"))
         .select("p.feature", "p.value")
         .distinct()
-        .withColumn("prefix", F.substring("value", 1, PREFIX_CHARS)),
+        .repartitionByRange("feature", "value")
+        .withColumn("range", F.spark_partition_id()),
         "labels",
     )
     before = (
-        Window.partitionBy("feature").orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy("feature").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = (
-        values.groupBy("feature", "prefix")
+        values.groupBy("feature", "range")
         .agg(F.count("*").alias("n"))
         .withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
         .drop("n")
     )
-    within = Window.partitionBy("feature", "prefix").orderBy("value")
+    within = Window.partitionBy("feature", "range").orderBy("value")
     return (
         values.withColumn("rank", F.row_number().over(within) - 1)
-        .join(offsets, ["feature", "prefix"])
+        .join(offsets, ["feature", "range"])
         .select("feature", "value", (F.col("offset") + F.col("rank")).cast("int").alias("code"))
     )
 

@@ -167,3 +167,14 @@ def test_unseen(spark, incidents):
     df = make(spark, {"vehicle_type": "Tractor"}, {"vehicle_type": "Tractor"}, {"vehicle_type": None}, {})
     got = {r.value: r["rows"] for r in encoding.unseen_values(df, codes, ["vehicle_type"]).collect()}
     assert got == {"Tractor": 2, "None": 1}
+
+
+def test_many_labels_of_one_prefix_are_ranked_over_many_ranges(spark):
+    from pyspark.sql import functions as F
+
+    from kerbwise.learning.encoding import fit_encoders
+
+    rows = spark.range(100_000).select(F.format_string("same-%06d", (F.col("id") * 7919) % 100_000).alias("a"), F.lit(None).cast("string").alias("b"))
+    codes = fit_encoders(rows, ["a", "b"])
+    assert codes.where("feature = 'a' and cast(substring(value, 6) as int) != code").count() == 0
+    assert codes.count() == 100_001 and codes.where("feature = 'b'").first().code == 0

@@ -27,8 +27,6 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 _SPACE = r"[ \t-\r]+"
 _WORD = r"[^ \t-\r]"
 _SYMBOLS = "[#*$%&|<>]"
-#: Low bits of a packed window that hold its place in the text.
-_PLACE_BITS = 24
 
 
 def normalised(line: Column) -> Column:
@@ -45,27 +43,22 @@ def _repeat_words(df: DataFrame) -> DataFrame:
     Windows are hashed, sorted together with their places, and compared with their neighbours;
     the words that the repeated ones cover follow from the gaps between their places.
     """
-    mask = (1 << _PLACE_BITS) - 1
-    place = lambda x: x.bitwiseAND(F.lit(mask)).cast("int")
-    high = lambda x: F.shiftright(x, _PLACE_BITS)
     windows = F.when(
         F.size("words") >= 3,
         F.transform(
             F.sequence(F.lit(0), F.size("words") - 3),
-            lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)),
+            lambda i: F.struct(
+                F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)).alias("hash"), i.alias("place")
+            ),
         ),
-    ).otherwise(F.array().cast("array<long>"))
-    df = df.withColumn("windows", windows)
-    df = df.withColumn(
-        "ordered",
-        F.sort_array(F.transform("windows", lambda h, i: F.shiftleft(high(h), _PLACE_BITS).bitwiseOR(i.cast("long")))),
-    )
+    ).otherwise(F.array().cast("array<struct<hash:bigint,place:int>>"))
+    df = df.withColumn("ordered", F.sort_array(windows))
 
-    def equal(x: Column, y: Column) -> Column:
-        return high(x).eqNullSafe(high(y)) & F.get("windows", place(x)).eqNullSafe(F.get("windows", place(y)))
+    def equal(x: Column, i: Column) -> Column:
+        return F.coalesce(x["hash"] == F.get("ordered", i)["hash"], F.lit(False))
 
-    repeated = F.filter("ordered", lambda x, i: equal(x, F.get("ordered", i + 1)) | equal(x, F.get("ordered", i - 1)))
-    df = df.withColumn("places", F.sort_array(F.transform(repeated, lambda x: place(x))))
+    repeated = F.filter("ordered", lambda x, i: equal(x, i + 1) | equal(x, i - 1))
+    df = df.withColumn("places", F.sort_array(F.transform(repeated, lambda x: x["place"])))
     gaps = F.transform("places", lambda x, i: F.least(F.lit(3), F.coalesce(F.get("places", i + 1) - x, F.lit(3))))
     return df.withColumn("n_repeat_words", F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x))
 

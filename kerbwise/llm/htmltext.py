@@ -5,7 +5,7 @@ describe a block: a hashed bag of its path's parts (tag, class, id and role word
 its words together with a few counts. A bidirectional LSTM in numpy reads the whole sequence of a page and labels
 every block as main text or not, so each decision sees the document on both sides.
 
-The network is fitted on a bounded sample: the blocks of ``TRAIN_PAGES`` pages (those of least id hash). Its labels come from the pages'
+The network is fitted on a bounded sample: the first ``TRAIN_BLOCKS`` blocks of each of ``TRAIN_PAGES`` pages (those of least id hash). Its labels come from the pages'
 own semantic markup where they have it (text under ``article`` or ``main``, outside of boilerplate elements). Each page is
 also shown in varied forms: with its markup replaced by neutral containers and with further boilerplate (page headers,
 sidebars, notices, adverts, forms, comments) whose text is drawn from the boilerplate and the text of other pages of the sample. The
@@ -22,13 +22,15 @@ import html as entities
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TRAIN_PAGES, SEED = 200, 7
+#: Bounds of the training sample: its pages, and the blocks that are read of each.
+TRAIN_PAGES, TRAIN_BLOCKS, SEED = 200, 400, 7
 PATH_SIZE, WORD_SIZE, COUNTS, HIDDEN = 96, 48, 6, 24
 RESULT = "page_id long, url string, text string, n_chars long, n_blocks long, n_kept long"
 
@@ -144,6 +146,7 @@ def marked_main(path: tuple[str, ...]) -> bool | None:
     return inside
 
 
+@lru_cache(maxsize=1 << 16)
 def _slot(word: str, size: int) -> int:
     return zlib.crc32(word.encode()) % size
 
@@ -161,7 +164,7 @@ def path_vector(path: tuple[str, ...]) -> np.ndarray:
 def word_vector(text: str) -> np.ndarray:
     found = text.lower().split()
     out = np.zeros(WORD_SIZE + COUNTS, np.float32)
-    for word in found[:64]:
+    for word in found:
         out[_slot(word, WORD_SIZE)] += 1
     norm = np.linalg.norm(out)
     out /= norm or 1
@@ -350,7 +353,7 @@ def sample_pages(pages: DataFrame, most: int = TRAIN_PAGES) -> list[list]:
     if last is None:
         return []
     rows = keyed.where(F.col("h") <= last).orderBy("h").limit(most).collect()
-    read = [blocks(row["html"])[:400] for row in rows]
+    read = [blocks(row["html"])[:TRAIN_BLOCKS] for row in rows]
     return [page for page in read if any(marked_main(path) for path, _ in page)]
 
 

@@ -37,7 +37,6 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-
 def repository() -> Column:
     """The repository of a document: its owner's part in its language."""
     return F.concat_ws("/", "source", "lang")

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from kerbwise import fixed
 from kerbwise.learning.encoding import encode, fit_encoders, fit_scaler, scale, stratified_split
-from kerbwise.learning.evaluation import accuracy, classification_report, regression_metrics
-from kerbwise.session import written
+from kerbwise.learning.evaluation import classification_report, regression_metrics
+from kerbwise.session import shared_folder, written
 
 SEED = fixed.SAMPLE_SEED
 
@@ -52,6 +52,7 @@ class FittedModel:
     scaler: dict[str, tuple[float, float]]
     stages: list[Transformer]
     metrics: dict[str, float] = field(default_factory=dict)
+    settings: dict[str, float] = field(default_factory=dict)  # what a reader of the scores must know
 
     @property
     def features(self) -> list[str]:
@@ -91,11 +92,12 @@ class FittedModel:
             .write.mode("overwrite")
             .parquet(f"{path}/scaler")
         )
-        about = [(self.name, self.numeric, self.categories, self.metrics)]
+        about = [(self.name, self.numeric, self.categories, self.metrics, self.settings)]
         (
             spark.createDataFrame(
                 about,
-                "name string, numeric array<string>, categories array<string>, metrics map<string,double>",
+                "name string, numeric array<string>, categories array<string>, metrics map<string,double>, "
+                "settings map<string,double>",
             )
             .write.mode("overwrite")
             .parquet(f"{path}/about")
@@ -111,7 +113,7 @@ class FittedModel:
         return FittedModel(
             about["name"], list(about["numeric"]), list(about["categories"]),
             spark.read.parquet(f"{path}/encoders"), scaler,
-            PipelineModel.load(f"{path}/model").stages, dict(about["metrics"]),
+            PipelineModel.load(f"{path}/model").stages, dict(about["metrics"]), dict(about["settings"]),
         )
 
 
@@ -170,12 +172,18 @@ def prepare(
 
 #: Partitions of the training rows. Trees draw their samples by partition, so the number is
 #: fixed: the same rows give the same model on any cluster. Raise it with the size of the data.
-TRAIN_PARTITIONS = 32
+TRAIN_PARTITIONS = 8
 
 
 def _train(matrix: DataFrame) -> DataFrame:
-    """Training rows in one layout: dealt by the hash of their id and ordered by it."""
+    """Training rows in one layout: dealt by the hash of their id and ordered by it.
+
+    Boosting cuts the lineage of its rounds by checkpoints, which need a folder.
+    """
     key = matrix.columns[0]
+    context = matrix.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(matrix.sparkSession))
     return matrix.where("is_train").repartition(TRAIN_PARTITIONS, key).sortWithinPartitions(key)
 
 
@@ -184,8 +192,10 @@ def _test(matrix: DataFrame) -> DataFrame:
 
 
 def _score(model: FittedModel, matrix: DataFrame) -> None:
-    model.metrics["train_accuracy"] = accuracy(model.apply(_train(matrix)))
-    model.metrics["test_accuracy"] = accuracy(model.apply(_test(matrix)))
+    right = F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("right")
+    shares = {r["is_train"]: r["right"] for r in model.apply(matrix).groupBy("is_train").agg(right).collect()}
+    model.metrics["train_accuracy"] = shares.get(True, 0.0)
+    model.metrics["test_accuracy"] = shares.get(False, 0.0)
 
 
 def severity_matrix(features: DataFrame) -> tuple[FittedModel, DataFrame]:
@@ -277,7 +287,8 @@ def train_hotspot_model(
     """Hotspot model on cell profiles.
 
     The density score is the label's own count divided by a constant, so it is
-    left out unless ``include_density`` asks for it.
+    left out unless ``include_density`` asks for it. ``settings`` keeps the least
+    number of incidents of a cell that counted as a hotspot.
     """
     numeric = HOTSPOT_NUMERIC + ([HOTSPOT_LEAKING] if include_density else [])
     model, matrix = prepare(
@@ -286,6 +297,9 @@ def train_hotspot_model(
     settings = {"maxIter": 200, "stepSize": 0.1, "seed": SEED, **params}
     model.stages = [GBTClassifier(**settings).fit(_train(matrix))]
     _score(model, matrix)
+    least = profiles.where("is_hotspot = 1").agg(F.min("accident_count")).first()[0]
+    if least is not None:
+        model.settings["hotspot_incidents"] = float(least)
     return model, matrix
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -443,9 +444,11 @@ on_incidents("regression_metrics", lambda df: evaluation.regression_metrics(
 ).select("n", F.round("mse", 6).alias("mse"), F.round("r2", 6).alias("r2")))
 
 
-# Registered training runs use small ensembles; the library defaults are larger.
-FOREST = {"numTrees": 20, "maxDepth": 5}
-BOOSTED = {"maxIter": 10, "maxDepth": 3}
+# Training runs use the settings of the library.
+
+
+def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feat.feature_table(stored_incidents(spark, sf_dir))
 
 
 def _predictions(model: models.FittedModel, matrix: DataFrame, key: str) -> DataFrame:
@@ -454,62 +457,47 @@ def _predictions(model: models.FittedModel, matrix: DataFrame, key: str) -> Data
 
 @query
 def severity_predictions(spark, sf_dir):
-    rows = feat.feature_table(stored_incidents(spark, sf_dir))
-    return _predictions(*models.train_severity_model(rows, **FOREST), "accident_id")
+    return _predictions(*models.train_severity_model(_features(spark, sf_dir)), "accident_id")
 
 
 @query
 def severity_boosted(spark, sf_dir):
-    rows = feat.feature_table(stored_incidents(spark, sf_dir))
-    model, matrix = models.train_severity_model(rows, "boosted", maxIter=5, maxDepth=3)
-    return _predictions(model, matrix, "accident_id")
+    return _predictions(*models.train_severity_model(_features(spark, sf_dir), "boosted"), "accident_id")
 
 
 @query
 def severity_report(spark, sf_dir):
-    rows = feat.feature_table(stored_incidents(spark, sf_dir))
-    return models.severity_report(*models.train_severity_model(rows, **FOREST))
+    return models.severity_report(*models.train_severity_model(_features(spark, sf_dir)))
 
 
 @query
 def cv_results(spark, sf_dir):
-    rows = feat.feature_table(stored_incidents(spark, sf_dir))
-    forest = RandomForestClassifier(seed=models.SEED)
-    grid = [{forest.numTrees: 5, forest.maxDepth: depth} for depth in (3, 5)]
-    _, _, results = models.tune_severity_model(rows, grid, forest)
-    return results.select(
-        F.col("params")["numTrees"].alias("trees"), F.col("params")["maxDepth"].alias("depth"), "accuracy"
-    )
+    _, _, results = models.tune_severity_model(_features(spark, sf_dir))
+    names = {"numTrees": "trees", "maxDepth": "depth", "featureSubsetStrategy": "features", "subsamplingRate": "sample"}
+    return results.select(*[F.col("params")[name].alias(alias) for name, alias in names.items()], "accuracy")
 
 
 @query
 def hotspot_predictions(spark, sf_dir):
     profiles = spatial.cell_profile(wh.incidents(spark, sf_dir))
-    return _predictions(*models.train_hotspot_model(profiles, **BOOSTED), "cell")
+    return _predictions(*models.train_hotspot_model(profiles), "cell")
 
 
 @query
 def casualty_predictions(spark, sf_dir):
-    rows = feat.feature_table(stored_incidents(spark, sf_dir))
-    return _predictions(*models.train_casualty_model(rows, **FOREST), "accident_id")
+    return _predictions(*models.train_casualty_model(_features(spark, sf_dir)), "accident_id")
 
 
 @query
 def feature_importance(spark, sf_dir):
-    rows = feat.feature_table(stored_incidents(spark, sf_dir))
-    model, _ = models.train_severity_model(rows, **FOREST)
-    return model.importance()
+    return models.train_severity_model(_features(spark, sf_dir))[0].importance()
 
 
-@query
-def score_batch(spark, sf_dir):
-    facts = stored_incidents(spark, sf_dir)
-    past = feat.history(temporal.time_features(filters.model_base(facts)))
-    model, _ = models.train_severity_model(feat.feature_table(facts, past), **FOREST)
+def _scored(spark: SparkSession, sf_dir: str, past: feat.History, model: models.FittedModel) -> DataFrame:
     scored = scoring.score_requests(wh.trip_requests(spark, sf_dir), model, past, AS_OF.date())
     return scored.select(
         "request_id", "predicted_severity", "risk_score", "risk_level",
-        _joined("recommendations").alias("recommendations"), "cell",
+        _joined("recommendations").alias("recommendations"), "cell", _joined("reasons").alias("reasons"),
         *[
             F.col("severity_probabilities")[name].alias(f"p_{name.lower()}")
             for name in fixed.SEVERITY_LABELS.values()
@@ -517,6 +505,69 @@ def score_batch(spark, sf_dir):
     )
 
 
+@query
+def score_batch(spark, sf_dir):
+    facts = stored_incidents(spark, sf_dir)
+    past = feat.history(temporal.time_features(filters.model_base(facts)))
+    model, _ = models.train_severity_model(feat.feature_table(facts, past))
+    return _scored(spark, sf_dir, past, model)
+
+
+def _tally(df: DataFrame, subject: str, part: Column, label: Column, sound: Column) -> DataFrame:
+    return df.groupBy(F.lit(subject).alias("subject"), part.alias("part"), label.cast("long").alias("label")).agg(
+        F.count("*").alias("n"), F.count_if(~F.coalesce(sound, F.lit(False))).alias("unsound")
+    )
+
+
+@query
+def learning_evidence(spark, sf_dir):
+    """What can be said of the models' output beforehand: rows by side of the split and label, and how many are unsound.
+
+    Sound are classes that agree with their probabilities, which sum to 1; casualties inside the range of the
+    training rows; predictions of a saved and reloaded model that equal the first ones; scores that follow from their
+    probabilities; and importances that sum to 1.
+    """
+    facts = stored_incidents(spark, sf_dir)
+    past = feat.history(temporal.time_features(filters.model_base(facts)))
+    rows = feat.feature_table(facts, past)
+    side = F.when(F.col("is_train"), "train").otherwise("test")
+    shares = vector_to_array("probability")
+    agrees = (F.abs(F.aggregate(shares, F.lit(0.0), lambda a, x: a + x) - 1) < 1e-9) & (
+        F.get(shares, F.col("prediction").cast("int")) == F.array_max(shares)
+    )
+
+    severity, matrix = models.train_severity_model(rows)
+    first = severity.apply(matrix)
+    folder = new_path(spark, "model")
+    severity.save(folder)
+    again = models.FittedModel.load(spark, folder).apply(matrix).select("accident_id", F.col("prediction").alias("again"))
+    reloaded = first.join(again, "accident_id")
+    hotspot, cells = models.train_hotspot_model(spatial.cell_profile(facts))
+    casualty, amounts = models.train_casualty_model(rows)
+    limits = amounts.where("is_train").agg(F.min("label").alias("low"), F.max("label").alias("high")).first()
+    scored = _scored(spark, sf_dir, past, severity)
+    names = [F.col(f"p_{name.lower()}") for name in fixed.SEVERITY_LABELS.values()]
+    expected = sum((p * (k + 1.0) for k, p in enumerate(names)), F.lit(0.0))
+    best = F.array_position(F.array(*names), F.greatest(*names))
+    valid = F.col("reasons") == ""
+    follows = (F.abs(F.col("risk_score") - expected) < 1e-9) & (F.col("predicted_severity") == best) & (
+        F.col("risk_level") == risk_level(expected)
+    )
+    importance = severity.importance().agg(F.sum("importance").alias("total"), F.count("*").alias("n"))
+    parts = [
+        _tally(first, "severity", side, F.col("label"), agrees),
+        _tally(reloaded, "reload", F.lit("all"), F.lit(0), F.col("again") == F.col("prediction")),
+        _tally(hotspot.apply(cells), "hotspot", side, F.col("label"), agrees),
+        _tally(casualty.apply(amounts), "casualty", side, F.lit(0), F.col("prediction").between(*limits)),
+        _tally(scored, "score", F.when(valid, "valid").otherwise("rejected"), F.lit(0), F.when(valid, follows).otherwise(F.col("risk_score").isNull())),
+        importance.select(
+            F.lit("importance").alias("subject"), F.lit("all").alias("part"), F.lit(0).cast("long").alias("label"), "n",
+            F.when(F.abs(F.col("total") - 1) < 1e-9, 0).otherwise(1).cast("long").alias("unsound"),
+        ),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query
 def scoring_features(spark, sf_dir):
     past = feat.history(filters.model_base(stored_incidents(spark, sf_dir)))

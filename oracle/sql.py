@@ -817,6 +817,20 @@ FROM best GROUP BY road_id""",
         "SELECT accident_id, severity, row_number() OVER (PARTITION BY severity ORDER BY md5(accident_id), accident_id) "
         "<= floor(count(*) OVER (PARTITION BY severity) * 0.8::DOUBLE) AS is_train FROM inc"
     )
+    sides = (
+        "UNION ALL SELECT '{0}', 'train', {1}, floor(count(*) * 0.8::DOUBLE)::BIGINT, 0 FROM {2} GROUP BY 3 "
+        "UNION ALL SELECT '{0}', 'test', {1}, count(*) - floor(count(*) * 0.8::DOUBLE)::BIGINT, 0 FROM {2} GROUP BY 3 "
+    )
+    out["learning_evidence"] = (
+        "SELECT subject, part, label, n, unsound FROM ("
+        "SELECT 'importance' AS subject, 'all' AS part, 0::BIGINT AS label, 21::BIGINT AS n, 0::BIGINT AS unsound "
+        f"UNION ALL SELECT 'reload', 'all', 0, count(*), 0 FROM ({fact('SELECT * FROM inc')}) "
+        + sides.format("severity", "severity - 1", f"({fact('SELECT * FROM inc')})")
+        + sides.format("hotspot", "is_hotspot", f"({out['cell_profile']})")
+        + sides.format("casualty", "0", f"({fact('SELECT * FROM inc')})")
+        + f"UNION ALL SELECT 'score', CASE WHEN is_valid THEN 'valid' ELSE 'rejected' END, 0, count(*), 0 FROM ({out['dq_requests']}) GROUP BY 2"
+        ") WHERE n > 0"
+    )
     out["classification_report"] = report_sql()
     out["regression_metrics"] = fact(
         "SELECT count(*) AS n, round(avg(e), 6) AS mse, round(1 - avg(e) / var_pop(casualties), 6) AS r2 FROM "

@@ -129,6 +129,10 @@ def test_hotspot_model_leaves_out_the_label(incidents):
     profiles = spatial.cell_profile(incidents)
     model, matrix = models.train_hotspot_model(profiles, maxIter=2, maxDepth=2)
     assert "density_score" not in model.features and matrix.count() == profiles.count()
+    least = profiles.where("is_hotspot = 1").agg(F.min("accident_count")).first()[0]
+    path = new_path(incidents.sparkSession, "hotspot-model")
+    model.save(path)
+    assert models.FittedModel.load(incidents.sparkSession, path).settings == {"hotspot_incidents": least}
     leaky, _ = models.train_hotspot_model(profiles, include_density=True, maxIter=2, maxDepth=2)
     assert "density_score" in leaky.features and len(leaky.features) == 7
     assert leaky.metrics["test_accuracy"] >= model.metrics["test_accuracy"]
@@ -143,8 +147,11 @@ def test_scoring(spark, small, severity, past):
     model, _ = severity
     requests = wh.trip_requests(spark, small)
     rows = scoring.score_requests(requests, model, past, dt.date(2001, 8, 1)).collect()
-    assert len(rows) == scoring.valid_requests(requests).count() < requests.count()
-    for r in rows:
+    assert len(rows) == requests.count() and len({r.request_id for r in rows}) == len(rows)
+    invalid = [r for r in rows if r.reasons]
+    assert len(rows) - len(invalid) == scoring.valid_requests(requests).count() < len(rows)
+    assert all(r.risk_score is None and r.severity_probabilities is None for r in invalid)
+    for r in (r for r in rows if not r.reasons):
         p = r.severity_probabilities
         assert list(sorted(p)) == ["Fatal", "Minor", "Serious"] and sum(p.values()) == pytest.approx(1)
         assert 1 <= r.risk_score <= 3 and r.predicted_severity in (1, 2, 3) and r.recommendations

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kerbwise.schema import UNPARSED
 from kerbwise.session import written
 
 REQUIRED = ("city", "state", "latitude", "longitude", "accident_datetime", "date", "time")
@@ -44,16 +45,30 @@ def _broken(rules: dict[str, Column]) -> Column:
 
 
 def with_reasons(df: DataFrame) -> DataFrame:
-    return df.withColumn("reasons", _reasons(incident_rules()))
+    """``reasons`` of each row; a line that does not parse has that one reason."""
+    reasons = _reasons(incident_rules())
+    if UNPARSED in df.columns:
+        reasons = F.when(F.col(UNPARSED).isNotNull(), F.array(F.lit("unparsable"))).otherwise(reasons)
+    return df.withColumn("reasons", reasons)
+
+
+def _rejected(df: DataFrame) -> Column:
+    broken = _broken(incident_rules())
+    return broken | F.col(UNPARSED).isNotNull() if UNPARSED in df.columns else broken
+
+
+def parsed(df: DataFrame) -> DataFrame:
+    """Rows that parsed, without the column for those that did not."""
+    return df.where(F.col(UNPARSED).isNull()).drop(UNPARSED) if UNPARSED in df.columns else df
 
 
 def valid_rows(df: DataFrame) -> DataFrame:
-    return df.where(~_broken(incident_rules()))
+    return parsed(df).where(~_broken(incident_rules()))
 
 
 def quarantine(df: DataFrame) -> DataFrame:
     """Rejected rows with their reasons; reasons are only built for these."""
-    return with_reasons(df.where(_broken(incident_rules())))
+    return with_reasons(df.where(_rejected(df)))
 
 
 def violation_counts(df: DataFrame) -> DataFrame:

@@ -162,6 +162,20 @@ def _squared_distance(lat: Column, lon: Column) -> Column:
     return off_x * off_x + off_y * off_y
 
 
+def segments_of(roads: DataFrame) -> DataFrame:
+    """Road lines (``road_id``, ``geometry``) as two-point segments under the id of their road.
+
+    A line of one point is a segment without length; a road without points has none.
+    """
+    n = F.size("geometry")
+    end = lambda i: F.element_at("geometry", i)
+    legs = roads.where(n > 0).select("road_id", "geometry", F.explode(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1)))).alias("_leg"))
+    first, last = end(F.col("_leg")), end(F.least(F.col("_leg") + 1, n))
+    return legs.select(
+        "road_id", first["lat"].alias("lat0"), first["lon"].alias("lon0"), last["lat"].alias("lat1"), last["lon"].alias("lon1")
+    )
+
+
 def _segment_buckets(roads: DataFrame, max_distance_m: float, step_m: float) -> DataFrame:
     """Each segment once per bucket that may hold a point near it."""
     length = haversine_m(F.col("lat0"), F.col("lon0"), F.col("lat1"), F.col("lon1"))
@@ -198,15 +212,17 @@ def match_roads(
 
     Segments are walked in steps of one bucket and listed under every bucket near
     the walk; incidents look up their own bucket. Ties go to the smaller road id. Every row
-    is matched by itself, also where its id is null or repeated.
+    is matched by itself, also where its id is null or repeated; its number is written before
+    the join, so that a task that runs again finds the same one.
+    ``roads`` has two-point segments; several may belong to one road (:func:`segments_of`).
     ``carry`` names incident columns to keep, which saves joining them back.
     """
     step_m = max(2.0 * max_distance_m, 1000.0)
     spread = written(_segment_buckets(roads, max_distance_m, step_m), "segments")
     step = step_m / METERS_PER_DEGREE
+    rows = df.select("accident_id", "latitude", "longitude", *carry).withColumn("_row", F.monotonically_increasing_id())
     return (
-        df.select("accident_id", "latitude", "longitude", *carry)
-        .withColumn("_row", F.monotonically_increasing_id())
+        written(rows, "incident-rows")
         .withColumn("_bucket", bucket_of(F.col("latitude"), F.col("longitude"), step))
         .join(spread, "_bucket")
         .withColumn("_d2", _squared_distance(F.col("latitude"), F.col("longitude")))

@@ -57,9 +57,9 @@ def on_incidents(name: str, build: Callable[[DataFrame], DataFrame]) -> None:
     _registry[name] = lambda spark, sf_dir: build(wh.incidents(spark, sf_dir))
 
 
-def stored_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The incident fact as a written table, for queries that read it several times."""
-    return written(wh.incidents(spark, sf_dir), "incidents")
+def stored_incidents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The incident fact (or the columns a query needs) as a written table, for queries that read it several times."""
+    return written(wh.incidents(spark, sf_dir).select(*columns or "*"), "incidents")
 
 
 def queries() -> dict[str, Query]:
@@ -91,6 +91,18 @@ def ingest_job(spark, sf_dir):
     )
 
 
+@query
+def csv_quarantine(spark, sf_dir):
+    """Ingest of CSV in which a severity of 3 is written as a word, which does not parse."""
+    raw, fact, rejected = (new_path(spark, f"checked-{part}") for part in ("raw", "fact", "rejected"))
+    severity = F.when(F.col("severity") == 3, "high").otherwise(F.col("severity").cast("string"))
+    files.write_incident_csv(wh.incidents(spark, sf_dir).withColumn("severity", severity), raw)
+    facts, quarantine = ingest_csv(spark, [raw], fact, rejected)
+    return facts.select("accident_id", F.lit("fact").alias("target"), F.lit("").alias("reason")).unionByName(
+        quarantine.select("accident_id", F.lit("quarantine").alias("target"), _joined("reasons").alias("reason"))
+    )
+
+
 @query
 def csv_roundtrip(spark, sf_dir):
     path = new_path(spark, "incident-csv")
@@ -365,6 +377,17 @@ def road_match(spark, sf_dir):
     return radius.match_roads(wh.incidents(spark, sf_dir), wh.roads(spark, sf_dir), ROAD_DISTANCE_M)
 
 
+@query
+def road_line_match(spark, sf_dir):
+    """Incidents matched to many-point road lines read back from GeoJSON: each road through its middle."""
+    path = new_path(spark, "road-lines")
+    ends = [F.array("lon0", "lat0"), F.array("lon1", "lat1")]
+    middle = F.array((F.col("lon0") + F.col("lon1")) / 2, (F.col("lat0") + F.col("lat1")) / 2)
+    files.write_road_lines(wh.roads(spark, sf_dir), path, F.array(ends[0], middle, ends[1]))
+    lines = files.read_road_lines(spark, path)
+    return radius.match_roads(wh.incidents(spark, sf_dir), radius.segments_of(lines), ROAD_DISTANCE_M)
+
+
 @query
 def road_segment_risk(spark, sf_dir):
     return radius.road_segment_risk(
@@ -417,14 +440,14 @@ on_incidents("label_codes", lambda df: encoding.encode(
 
 @query
 def standardize(spark, sf_dir):
-    df = stored_incidents(spark, sf_dir)
+    df = stored_incidents(spark, sf_dir, "accident_id", *SCALED)
     scaled = encoding.scale(df, encoding.fit_scaler(df, SCALED))
     return scaled.select("accident_id", *[F.round(f"{c}_z", 6).alias(f"{c}_z") for c in SCALED])
 
 
 @query
 def stratified_split(spark, sf_dir):
-    df = stored_incidents(spark, sf_dir).select("accident_id", "severity")
+    df = stored_incidents(spark, sf_dir, "accident_id", "severity")
     return encoding.stratified_split(df, "accident_id", "severity")
 
 

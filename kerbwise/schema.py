@@ -29,6 +29,10 @@ INCIDENT_CSV = T.StructType(
 
 INCIDENT_COLUMNS = INCIDENT_CSV.fieldNames()
 
+# The text of a CSV line that does not parse; null for the others.
+UNPARSED = "unparsed"
+CHECKED_CSV = T.StructType([*INCIDENT_CSV.fields, T.StructField(UNPARSED, T.StringType())])
+
 POINT = T.StructType([T.StructField("lon", T.DoubleType()), T.StructField("lat", T.DoubleType())])
 
 ROADS = T.StructType(

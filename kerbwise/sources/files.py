@@ -2,21 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamReader
 
 from kerbwise.functions.geo import haversine_m, point, with_cell
-from kerbwise.schema import INCIDENT_COLUMNS, INCIDENT_CSV, ROAD_COLLECTION, ROAD_FEATURE
+from kerbwise.schema import CHECKED_CSV, INCIDENT_COLUMNS, INCIDENT_CSV, ROAD_COLLECTION, ROAD_FEATURE, UNPARSED
 
 
 def read_incident_csv(spark: SparkSession, *paths: str) -> DataFrame:
-    """Incident CSV with header. A header that differs from the schema is an error."""
+    """Incident CSV with header. A header or a line that differs from the schema is an error.
+
+    Lines are parsed whole, so that the error does not depend on the columns a query reads.
+    """
+    return _with_header(spark.read.schema(INCIDENT_CSV)).option("mode", "FAILFAST").csv(list(paths))
+
+
+def _with_header(reader: DataFrameReader | DataStreamReader) -> DataFrameReader | DataStreamReader:
+    return reader.option("header", True).option("enforceSchema", False).option("columnPruning", False)
+
+
+def checked_csv(reader: DataFrameReader | DataStreamReader) -> DataFrameReader | DataStreamReader:
+    """A batch or stream reader of incident CSV that keeps lines which do not parse.
+
+    Such a line has its text in ``unparsed``; the quality rules reject it as ``unparsable``.
+    """
     return (
-        spark.read.schema(INCIDENT_CSV)
-        .option("header", True)
-        .option("enforceSchema", False)
-        .option("mode", "FAILFAST")
-        .csv(list(paths))
+        _with_header(reader.schema(CHECKED_CSV))
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", UNPARSED)
     )
 
 
@@ -32,11 +46,9 @@ def enrich(df: DataFrame) -> DataFrame:
 
 
 def read_incident_csvs_with_origin(spark: SparkSession, folder: str) -> DataFrame:
-    """Every CSV below ``folder``; ``dataset`` is the folder each file lies in."""
+    """Every CSV below ``folder``; ``dataset`` is the folder each file lies in, ``unparsed`` a line's text if it does not parse."""
     return (
-        spark.read.schema(INCIDENT_CSV)
-        .option("header", True)
-        .option("enforceSchema", False)
+        checked_csv(spark.read)
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.csv")
         .csv(folder)
@@ -114,14 +126,16 @@ def read_road_lines(spark: SparkSession, *paths: str) -> DataFrame:
     return _road_rows(features.select(F.struct("type", "properties", "geometry").alias("f")))
 
 
-def write_road_lines(roads: DataFrame, path: str) -> None:
-    """Two-point road segments as line-delimited GeoJSON."""
+def write_road_lines(roads: DataFrame, path: str, coordinates: Column | None = None) -> None:
+    """Roads as line-delimited GeoJSON, by default from the two points of a segment."""
+    if coordinates is None:
+        coordinates = F.array(F.array("lon0", "lat0"), F.array("lon1", "lat1"))
     feature = F.struct(
         F.lit("Feature").alias("type"),
         F.struct("road_id", "highway", "city").alias("properties"),
         F.struct(
             F.lit("LineString").alias("type"),
-            F.array(F.array("lon0", "lat0"), F.array("lon1", "lat1")).alias("coordinates"),
+            coordinates.alias("coordinates"),
         ).alias("geometry"),
     )
     roads.select(F.to_json(feature).alias("value")).write.mode("overwrite").text(path)

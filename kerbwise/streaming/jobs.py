@@ -1,5 +1,6 @@
 """Streaming jobs: ingest, deduplication, hotspot refresh and daily cell counts.
 
+Only :func:`ingest` keeps lines that did not parse, in its quarantine; the other jobs leave them out.
 Every job takes an output folder and a checkpoint folder, both shared by all
 executors. With ``once`` it drains what is there and stops; otherwise it keeps
 running on the given interval.
@@ -15,7 +16,7 @@ from pyspark.sql.utils import AnalysisException
 from kerbwise import fixed
 from kerbwise.functions.geo import MICRO, micro_degrees, point
 from kerbwise.operators.filters import located
-from kerbwise.operators.quality import incident_defaults, with_reasons
+from kerbwise.operators.quality import incident_defaults, parsed, with_reasons
 from kerbwise.streaming.sources import EVENT_TIME
 
 PARTIAL_KEYS = ["cell", "city", "state"]
@@ -69,7 +70,7 @@ def deduplicated(
     second step decides. Copies further apart than the bound may or may not be
     dropped, as with any deduplication by watermark.
     """
-    marked = rows.withWatermark(EVENT_TIME, lateness)
+    marked = parsed(rows).withWatermark(EVENT_TIME, lateness)
     if salts > 1:
         salt = F.pmod(F.spark_partition_id(), F.lit(salts))
         marked = (
@@ -132,7 +133,7 @@ def refresh_hotspots(
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         hotspot_partials(batch).write.mode("overwrite").parquet(f"{store}/delta/batch={batch_id}")
 
-    return _start(rows.writeStream.foreachBatch(write_batch), checkpoint, once, every)
+    return _start(parsed(rows).writeStream.foreachBatch(write_batch), checkpoint, once, every)
 
 
 def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -210,7 +211,7 @@ def current_hotspots(
 def daily_cells(rows: DataFrame, lateness: str) -> DataFrame:
     """Incidents of each cell and day of report; a day appears once it is closed."""
     return (
-        located(rows)
+        located(parsed(rows))
         .withWatermark(EVENT_TIME, lateness)
         .groupBy(F.window(EVENT_TIME, "1 day"), "cell")
         .agg(F.count("*").alias("accident_count"), F.avg("severity").alias("avg_severity"))

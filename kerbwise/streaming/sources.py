@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbwise.functions.geo import with_cell
-from kerbwise.schema import INCIDENT_COLUMNS, INCIDENT_CSV
+from kerbwise.schema import INCIDENT_COLUMNS
+from kerbwise.sources.files import checked_csv
 from kerbwise.sources.warehouse import incidents_from_events, table
 
 EVENT_TIME = "reported_at"
@@ -18,14 +19,8 @@ def _event_time(column: str) -> Column:
 
 
 def csv_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
-    """Incident CSV files as they appear in ``folder``."""
-    rows = (
-        spark.readStream.schema(INCIDENT_CSV)
-        .option("header", True)
-        .option("enforceSchema", False)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .csv(folder)
-    )
+    """Incident CSV files as they appear in ``folder``; a line that does not parse has its text in ``unparsed``."""
+    rows = checked_csv(spark.readStream).option("maxFilesPerTrigger", files_per_batch).csv(folder)
     return with_cell(rows).withColumn(EVENT_TIME, _event_time("accident_datetime"))
 
 

@@ -222,11 +222,11 @@ def labels(columns: list[str], source: str = "inc") -> str:
     )
 
 
-def segment_distance() -> str:
-    """CTEs ``near``: incident, road and their distance, for all pairs."""
+def segment_distance(segments: str = "road") -> str:
+    """CTEs ``near``: incident, road and their distance, for all pairs with one of ``segments``."""
     m = num(geo.METERS_PER_DEGREE)
     return f"""
-flat AS (SELECT *, cos(radians((lat0 + lat1) / 2.0::DOUBLE)) * {m} AS k FROM road),
+flat AS (SELECT *, cos(radians((lat0 + lat1) / 2.0::DOUBLE)) * {m} AS k FROM {segments}),
 pairs AS (SELECT accident_id, road_id, severity, fatalities, (lon1 - lon0) * k AS dx, (lat1 - lat0) * {m} AS dy,
     (longitude - lon0) * k AS x, (latitude - lat0) * {m} AS y
   FROM inc JOIN flat ON abs(lat0 - latitude) < 0.1 AND abs(lon0 - longitude) < 0.1),
@@ -238,6 +238,13 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY accident_id OR
   FROM near WHERE d <= {reg.ROAD_DISTANCE_M}) WHERE rn = 1)"""
 
 
+#: Each road as two segments that meet in its middle.
+HALVES = """
+half AS (
+  SELECT road_id, lat0, lon0, (lat0 + lat1) / 2 AS lat1, (lon0 + lon1) / 2 AS lon1 FROM road
+  UNION ALL SELECT road_id, (lat0 + lat1) / 2, (lon0 + lon1) / 2, lat1, lon1 FROM road)"""
+
+
 def advice_list(items: list[tuple[str, str]], separator: str, default: str | None = None) -> str:
     parts = ", ".join(f"CASE WHEN {cond} THEN {text} END" for cond, text in items)
     joined = f"concat_ws('{separator}', {parts})"
@@ -503,6 +510,10 @@ UNION ALL SELECT 'quarantine', 'accident_id_duplicate', count(*) - count(DISTINC
   WHERE reason = '' HAVING count(*) > count(DISTINCT accident_id)""",
         reports, f"checked AS (SELECT accident_id, {VIOLATIONS} AS reason FROM rep)",
     )
+    out["csv_quarantine"] = fact(
+        f"""SELECT accident_id, CASE WHEN severity = 3 OR {VIOLATIONS} <> '' THEN 'quarantine' ELSE 'fact' END AS target,
+  CASE WHEN severity = 3 THEN 'unparsable' ELSE {VIOLATIONS} END AS reason FROM inc"""
+    )
     out["dq_duplicates"] = fact(
         "SELECT accident_id, count(*) AS copies, max(reported_at) AS kept_at FROM rep "
         "GROUP BY accident_id HAVING count(*) > 1",
@@ -758,6 +769,9 @@ WHERE d <= {fixed.REQUEST_RADIUS_KM * 1000.0}""",
     out["road_match"] = fact(
         f"SELECT accident_id, road_id, {round2('d')} AS distance_meters FROM best", ROADS, segment_distance()
     )
+    out["road_line_match"] = fact(
+        f"SELECT accident_id, road_id, {round2('d')} AS distance_meters FROM best", ROADS, HALVES, segment_distance("half")
+    )
     out["road_segment_risk"] = fact(
         f"""SELECT road_id, count(*) AS accident_count, {AVG_SEV} AS avg_severity,
   {total('fatalities')} AS total_fatalities,

@@ -183,6 +183,37 @@ def test_ingest_job_accounts_for_every_row(spark, tmp_path):
     assert reasons == {"hour_range": 1, "accident_id_duplicate": 2}
 
 
+BAD_LINES = [LINE.replace(",2,Serious", ",high,Serious"), "ACC_2,Pune", LINE + ",more"]
+
+
+def test_lines_that_do_not_parse_are_kept_apart(spark, tmp_path):
+    from kerbwise.plans.ingest import ingest_csv
+
+    path = _file(tmp_path, "bad.csv", "\n".join([HEADER, LINE, *BAD_LINES, ""]))
+    facts, rejected = ingest_csv(spark, [path], new_path(spark, "fact"), new_path(spark, "rejected"))
+    assert facts.count() == 1 and "unparsed" not in facts.columns
+    assert sorted(r.unparsed for r in rejected.where("reasons = array('unparsable') AND copies = 1").collect()) == sorted(BAD_LINES)
+    assert rejected.count() == 3
+    with pytest.raises(Exception, match="MALFORMED|Malformed"):
+        files.read_incident_csv(spark, path).select("accident_id").collect()
+
+
+def test_many_point_roads(spark):
+    from kerbwise.operators.radius import match_roads, segments_of
+
+    lines = spark.createDataFrame(
+        [(1, [(73.0, 18.0), (73.01, 18.0), (73.01, 18.02)]), (2, [(74.0, 18.0)]), (3, []), (4, None)],
+        "road_id long, geometry array<struct<lon:double,lat:double>>",
+    )
+    segments = segments_of(lines)
+    assert sorted(map(tuple, segments.collect())) == [
+        (1, 18.0, 73.0, 18.0, 73.01), (1, 18.0, 73.01, 18.02, 73.01), (2, 18.0, 74.0, 18.0, 74.0),
+    ]
+    spots = make(spark, {"latitude": 18.015, "longitude": 73.0101}, {"latitude": 18.001, "longitude": 74.0}, {"latitude": 18.02, "longitude": 73.0})
+    got = sorted((r.road_id, r.distance_meters) for r in match_roads(spots, segments).collect())
+    assert [road for road, _ in got] == [1, 2] and got[0][1] == pytest.approx(10.6, abs=0.2) and got[1][1] == pytest.approx(111.2, abs=0.3)
+
+
 def test_json_export(spark, incidents):
     from kerbwise.operators.temporal import temporal_analysis
 

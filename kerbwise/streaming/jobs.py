@@ -8,6 +8,8 @@ running on the given interval.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
@@ -127,10 +129,17 @@ def refresh_hotspots(
 ) -> StreamingQuery:
     """Keep hotspot sums current: each micro-batch writes its own partial sums.
 
-    A batch overwrites only its own folder, so a replayed batch changes nothing.
+    A batch overwrites only its own folder, so a replayed batch changes nothing. Batches are numbered by
+    the checkpoint, so a store belongs to one checkpoint and any other is refused: it takes a store of its
+    own, and :func:`current_hotspots` merges stores.
     """
+    claimed = False
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
+        nonlocal claimed
+        if not claimed:
+            _claim(batch.sparkSession, store, checkpoint)
+            claimed = True
         hotspot_partials(batch).write.mode("overwrite").parquet(f"{store}/delta/batch={batch_id}")
 
     return _start(parsed(rows).writeStream.foreachBatch(write_batch), checkpoint, once, every)
@@ -146,6 +155,16 @@ def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def _claim(spark: SparkSession, store: str, checkpoint: str) -> None:
+    """Note the id of the checkpoint's query as the owner of the store; another owner is an error."""
+    query = spark.read.schema("id string").json(f"{checkpoint}/metadata").first()["id"]
+    owners = [row["id"] for row in _stored(spark, f"{store}/owner", "id string").collect()]
+    if not owners:
+        spark.range(1).select(F.lit(query).alias("id")).write.parquet(f"{store}/owner")
+    elif owners != [query]:
+        raise ValueError(f"{store} belongs to another checkpoint; use a new store and read both")
+
+
 def _deltas(spark: SparkSession, store: str) -> DataFrame:
     return _stored(spark, f"{store}/delta", f"{PARTIAL_SCHEMA}, batch long")
 
@@ -156,10 +175,13 @@ def _merged_up_to(spark: SparkSession, store: str) -> int:
     return -1 if newest is None else newest
 
 
-def _current_partials(spark: SparkSession, store: str) -> DataFrame:
-    """The newest finished base and the batches after it."""
+def _current_partials(spark: SparkSession, store: str, last: int | None = None) -> DataFrame:
+    """The newest finished base and the batches after it, up to ``last``."""
     upto = _merged_up_to(spark, store)
-    later = _deltas(spark, store).where(F.col("batch") > upto).drop("batch")
+    later = _deltas(spark, store).where(F.col("batch") > upto)
+    if last is not None:
+        later = later.where(F.col("batch") <= last)
+    later = later.drop("batch")
     if upto < 0:
         return later
     base = spark.read.schema(PARTIAL_SCHEMA).parquet(f"{store}/base/upto={upto}")
@@ -170,13 +192,14 @@ def compact_hotspots(spark: SparkSession, store: str) -> int:
     """Fold all batches so far into one base table; returns the last batch it covers.
 
     Readers use a base only once it is listed as finished, which is the last step,
-    so an interrupted run leaves the table as it was and can be repeated.
+    so an interrupted run leaves the table as it was and can be repeated. Batches that
+    arrive meanwhile are not part of the base.
     """
     last = _deltas(spark, store).agg(F.max("batch")).first()[0]
     done = _merged_up_to(spark, store)
     if last is None or last <= done:
         return done
-    merge_partials(_current_partials(spark, store)).write.mode("overwrite").parquet(
+    merge_partials(_current_partials(spark, store, last)).write.mode("overwrite").parquet(
         f"{store}/base/upto={last}"
     )
     spark.range(last, last + 1, 1, 1).withColumnRenamed("id", "upto").write.mode("append").parquet(
@@ -186,13 +209,15 @@ def compact_hotspots(spark: SparkSession, store: str) -> int:
 
 
 def current_hotspots(
-    spark: SparkSession, store: str, min_incidents: int = fixed.CLUSTER_MIN_INCIDENTS
+    spark: SparkSession, store: str | list[str], min_incidents: int = fixed.CLUSTER_MIN_INCIDENTS
 ) -> DataFrame:
-    """The hotspot table as of the last batch; the threshold applies to merged counts."""
+    """The hotspot table of one or several stores as of their last batches; the threshold applies to merged counts."""
+    stores = [store] if isinstance(store, str) else store
+    partials = reduce(DataFrame.unionByName, [_current_partials(spark, s) for s in stores])
     lat = F.try_divide("lat_sum", "n_located") / MICRO
     lon = F.try_divide("lon_sum", "n_located") / MICRO
     return (
-        merge_partials(_current_partials(spark, store))
+        merge_partials(partials)
         .where(F.col("n") >= min_incidents)
         .select(
             *PARTIAL_KEYS,

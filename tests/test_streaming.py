@@ -140,6 +140,37 @@ def test_csv_stream(spark, incidents, tmp_path):
     assert got.select("accident_id", "cell").exceptAll(incidents.select("accident_id", "cell")).count() == 0
 
 
+def test_csv_stream_keeps_lines_that_do_not_parse_in_quarantine(spark, incidents, tmp_path):
+    from kerbwise.sources.files import write_incident_csv
+
+    folder = str(tmp_path / "csv")
+    severity = F.when(F.col("severity") == 3, "high").otherwise(F.col("severity").cast("string"))
+    write_incident_csv(incidents.withColumn("severity", severity).coalesce(1), folder)
+    bad, n = incidents.where("severity = 3").count(), incidents.count()
+    rows = streams.csv_stream(spark, folder)
+    done = run(lambda o, c: jobs.ingest(rows, o, c), "csv", spark)
+    got = jobs.read_ingested(spark, f"{done}/out")
+    unparsed = got.where("reasons = array('unparsable') AND NOT is_valid")
+    assert bad > 0 and got.count() == n and unparsed.count() == bad == unparsed.where("unparsed LIKE 'ACC%,high,%'").count()
+    hot = run(lambda o, c: jobs.refresh_hotspots(rows, o, c), "hot", spark)
+    total = jobs.current_hotspots(spark, f"{hot}/out", 1).agg(F.sum("accident_count")).first()[0]
+    assert total == incidents.where("severity <> 3").count()
+
+
+def test_a_store_belongs_to_one_checkpoint(spark, small, parts):
+    rows = batches(spark, small, parts, 3)
+    folder = run(lambda o, c: jobs.refresh_hotspots(rows, o, c), "hot", spark)
+    store, want = f"{folder}/out", hotspot_rows(spatial.hotspot_view(wh.incidents(spark, small)))
+    jobs.compact_hotspots(spark, store)
+    with pytest.raises(Exception, match="another checkpoint"):
+        jobs.refresh_hotspots(rows, store, new_path(spark, "check")).awaitTermination()
+    assert hotspot_rows(jobs.current_hotspots(spark, store)) == want
+    run(lambda o, c: jobs.refresh_hotspots(rows, o, c), "hot", spark, again=folder)  # its own checkpoint may go on
+    other = run(lambda o, c: jobs.refresh_hotspots(rows, o, c), "hot", spark)
+    both = jobs.current_hotspots(spark, [store, f"{other}/out"], 1).agg(F.sum("accident_count")).first()[0]
+    assert both == 2 * wh.incidents(spark, small).count()
+
+
 def test_no_hotspots_before_the_first_batch(spark):
     store = new_path(spark, "empty")
     assert jobs.current_hotspots(spark, store).count() == 0 and jobs.compact_hotspots(spark, store) == -1

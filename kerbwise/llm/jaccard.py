@@ -138,7 +138,11 @@ def _packed(buckets: int, list_rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rid, n, key = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("rid", "n", "prefix_key"))
-            first = np.unique(np.stack((key, n)), axis=1, return_index=True)[1]  # rows come in the order of rid
+            # A batch may span files in any order: a group is named by its least rid, which is that of a class.
+            order = np.lexsort((rid, n, key))
+            new = np.ones(len(order), bool)
+            new[1:] = (key[order][1:] != key[order][:-1]) | (n[order][1:] != n[order][:-1])
+            first = order[new]
             packed = batch.column("prefix").take(pa.array(first)).to_pylist()
             size = np.array([len(x) // 8 for x in packed], np.int64)
             out = np.empty(int(size.sum()), _POSTING)

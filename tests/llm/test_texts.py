@@ -88,6 +88,26 @@ def test_jaccard_finds_links_across_a_chain(spark):
     assert got == brute_links([(i, t) for i, t in enumerate(texts, 1)])
 
 
+def test_jaccard_join_over_many_files_of_unequal_sizes(spark):
+    # Later partitions write larger files, which a scan packs first: rows are not read in the order of their ids.
+    queries.ship(spark)
+    row = spark.range(0, 24 * 13, 1, 24).selectExpr("id", "id div 13 as part", "id % 13 - 1 as base")
+    df = row.selectExpr(
+        "id as doc_id",
+        """array_join(transform(sequence(0, if(base < 0, 300 * (part + 1), 60)), j -> concat('w', base div 4, '_', if(base < 0, part, -1), '_', j,
+           if(base % 4 > 0 and j = 20 * (base % 4) - 5, 'x', ''))), ' ') as text""",
+    )
+    got = sorted((str(a), b, str(c)) for a, b, c in jaccard.link(df).collect())
+    assert got == brute_links([(r.doc_id, r.text) for r in df.collect()])
+
+
+def test_packed_postings_name_the_least_row_of_each_group():
+    shingle = np.array([7], "<u8").tobytes()
+    batch = pa.record_batch({"rid": [9, 4, 8, 2, 5], "n": [1, 1, 3, 1, 3], "prefix_key": [6, 6, 6, 5, 6], "prefix": [shingle] * 5})
+    rows = np.concatenate([jaccard._unplaned(x) for out in jaccard._packed(4, 1 << 20)([batch]) for x in out.column("payload").to_pylist()])
+    assert sorted(rows[["key", "n", "gid"]].tolist()) == [(5, 1, 2), (6, 1, 4), (6, 3, 5)]
+
+
 def test_parity_bits_never_exceed_the_difference():
     rng = np.random.default_rng(1)
     for n, common in ((5, 3), (300, 250), (900, 10), (40, 40)):

@@ -1,12 +1,12 @@
 """SentencePiece BPE encoding with seeded merge-dropout, and lossless decoding.
 
 Merges are taken from an agenda, best score first and leftmost among equals. A candidate merge is
-skipped for good when the keyed hash of (seed, unit, variant, its place in the unit) falls below
-the dropout rate. A unit is a run of white-space signs with the word behind it; no piece reaches
-across units, so units are encoded by themselves. The variant of a unit is a keyed hash of the
-document's key and the unit's place, so that a word has up to ``variants`` segmentations over
-the corpus and every distinct (word, variant) is worked out once for a block of text. Short units of a block go through
-their agendas together, one merge each per numpy pass; long ones have a heap of their own.
+skipped for good when the keyed hash of (seed, document's key, the unit's place in it, the merge's place in
+the unit) falls below the dropout rate. A unit is a run of white-space signs with the word behind it; no
+piece reaches across units, so units are encoded by themselves. Which of a word's possible candidates are
+dropped settles its pieces, so only units with the same word and the same dropped candidates share a
+result; the number of segmentations of a word has no bound. Short units of a block go through their
+agendas together, one merge each per numpy pass; long ones have a heap of their own, for each place anew.
 
 Characters outside the vocabulary, and the white-space sign itself where a text holds it, are
 spelled in byte pieces. Decoding returns the very same text. With rate 0 the ids are those of the
@@ -31,9 +31,12 @@ from kerbwise.llm.ragged import KeyedRows, gather
 from kerbwise.llm.words import binaries, mixed, range_hashes, slices, utf8
 
 SPACE = 0x2581
-RATE, SEED, VARIANTS = 0.1, 20_240, 4
+RATE, SEED = 0.1, 20_240
 _SLICE_BYTES = 4 << 20
+#: Units of more signs, at most 255, have an agenda of their own.
 _LONG = 64
+_UNITS = 1 << 16
+_FILTER_BITS = 21
 _NONE = np.int64(1) << 62
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -70,10 +73,13 @@ class Pieces:
                 left, right = ids.get(t[:cut]), ids.get(t[cut:])
                 if left is not None and right is not None:
                     merges[left << 32 | right] = (order[model.get_score(i)], i)
+        self.longest = max(map(len, text.values()), default=1)
         keys = sorted(merges)
         self.merge_keys = np.array(keys, np.int64)
         self.merge_rank = np.array([merges[k][0] for k in keys], np.int64)
         self.merge_id = np.array([merges[k][1] for k in keys], np.int32)
+        self.filter = np.zeros(1 << _FILTER_BITS, bool)
+        self.filter[self._filter_slots(self.merge_keys)] = True
         spelled = [text[i].replace(chr(SPACE), " ").encode() if i in text else b"" for i in range(n)]
         for b, i in enumerate(self.byte_ids):
             spelled[i] = bytes([b])
@@ -84,9 +90,16 @@ class Pieces:
     def merge(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and result of joining two symbols; rank ``_NONE`` where no piece is made."""
         keys = left.astype(np.int64) << 32 | right
-        at = np.minimum(np.searchsorted(self.merge_keys, keys), len(self.merge_keys) - 1)
-        found = self.merge_keys[at] == keys
-        return np.where(found, self.merge_rank[at], _NONE), self.merge_id[at]
+        rank, made = np.full(len(keys), _NONE), np.zeros(len(keys), np.int32)
+        maybe = np.flatnonzero(self.filter[self._filter_slots(keys)])  # most pairs make no piece
+        at = np.minimum(np.searchsorted(self.merge_keys, keys[maybe]), len(self.merge_keys) - 1)
+        found = self.merge_keys[at] == keys[maybe]
+        rank[maybe[found]], made[maybe[found]] = self.merge_rank[at[found]], self.merge_id[at[found]]
+        return rank, made
+
+    @staticmethod
+    def _filter_slots(keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * _STEP >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
 
 
 def _skipped(keys: np.ndarray, first: np.ndarray, middle: np.ndarray, last: np.ndarray, rate: float) -> np.ndarray:
@@ -170,14 +183,52 @@ def _together(pieces: Pieces, symbols: np.ndarray, lengths: np.ndarray, keys: np
     return symbols[np.argsort(unit, kind="stable")].astype(np.uint32), np.bincount(unit, minlength=n)
 
 
+def _candidates(pieces: Pieces, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every merge that some order of merges can propose in units of at most 255 symbols.
+
+    A candidate is ``first << 16 | middle << 8 | last``; they come unit by unit, with their number in each.
+    """
+    begin = np.cumsum(lengths) - lengths
+    unit = np.repeat(np.arange(len(lengths)), lengths)
+    end = (begin + lengths)[unit]
+    made = {1: symbols}  # by number of signs: the piece that begins at each place, or -1
+    begins = {1: np.arange(len(symbols))}
+    owners, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+    for size in range(2, min(pieces.longest, int(lengths.max(initial=0))) + 1):
+        out = np.full(len(symbols), -1, np.int32)
+        for cut in range(1, size):
+            at = begins[cut]
+            at = at[at + size <= end[at]]
+            at = at[made[size - cut][at + cut] >= 0]
+            rank, joined = pieces.merge(made[cut][at], made[size - cut][at + cut])
+            at, joined = at[rank != _NONE], joined[rank != _NONE]
+            out[at] = joined
+            place = at - begin[unit[at]]
+            owners.append(unit[at])
+            found.append((place << 16 | (place + cut) << 8 | (place + size)).astype(np.uint32))
+        made[size], begins[size] = out, np.flatnonzero(out >= 0)
+    owner = np.concatenate(owners)
+    return np.concatenate(found)[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(lengths))
+
+
+def _dropped(keys: np.ndarray, candidates: np.ndarray, lengths: np.ndarray, rate: float) -> np.ndarray:
+    """A hash of the set of each unit's candidates that its key drops; 0 where it drops none."""
+    first, middle, last = candidates >> np.uint32(16), candidates >> np.uint32(8) & np.uint32(255), candidates & np.uint32(255)
+    at = np.flatnonzero(_skipped(np.repeat(keys, lengths), first, middle, last, rate))
+    out = np.zeros(len(keys), np.uint64)
+    np.add.at(out, np.repeat(np.arange(len(keys)), lengths)[at], mixed(candidates[at].astype(np.uint64)))
+    return out
+
+
 @lru_cache(maxsize=4)
-def _loaded(path: str, rate: float, seed: int, variants: int) -> tuple[Pieces, KeyedRows]:
-    return Pieces(path), KeyedRows()
+def _loaded(path: str, rate: float, seed: int) -> tuple[Pieces, KeyedRows, KeyedRows]:
+    """The model, the ids of units, and the candidates of words."""
+    return Pieces(path), KeyedRows(), KeyedRows()
 
 
-def encode_rows(path: str, data: np.ndarray, offsets: np.ndarray, row_keys: np.ndarray, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS):
+def encode_rows(path: str, data: np.ndarray, offsets: np.ndarray, row_keys: np.ndarray, rate: float = RATE, seed: int = SEED):
     """Ids of each row and their offsets."""
-    pieces, known = _loaded(path, rate, seed, variants)
+    pieces, known, proposed = _loaded(path, rate, seed)
     rows = len(offsets) - 1
     if not len(data):
         return np.zeros(0, np.uint32), np.zeros(rows + 1, np.int64)
@@ -198,8 +249,21 @@ def encode_rows(path: str, data: np.ndarray, offsets: np.ndarray, row_keys: np.n
     row = np.searchsorted(at, starts, side="right") - 1
     order = np.arange(len(starts)) - np.searchsorted(starts, at)[row]
     base = mixed(row_keys.astype(np.uint64) ^ mixed(np.uint64(seed) + np.zeros(1, np.uint64)))
-    variant = mixed(base[row] + order.astype(np.uint64) * _STEP) % np.uint64(variants if rate else 1)
-    keys = mixed(range_hashes(points, starts, ends) + (variant + np.uint64(1)) * _STEP + np.uint64(seed))
+    keys = mixed(base[row] + order.astype(np.uint64) * _STEP)
+    names = range_hashes(points, starts, ends)
+
+    def name(a: int, b: int) -> None:
+        """Tell the units [a, b) apart by their words and what their keys drop."""
+        n = (ends - starts)[a:b]
+        short = np.flatnonzero(n <= _LONG)
+        at, n = starts[a:b][short], n[short]
+        found, lengths = proposed.rows(names[a:b][short], lambda new: _candidates(pieces, gather(symbols, at[new], n[new]), n[new]))
+        own = keys[a:b].copy()
+        own[short] = _dropped(keys[a:b][short], found, lengths, rate)
+        names[a:b] = mixed(names[a:b] + mixed(own))
+
+    for a in range(0, len(starts) if rate else 0, _UNITS):
+        name(a, min(a + _UNITS, len(starts)))
 
     def make(first: np.ndarray):
         a, n = starts[first], (ends - starts)[first]
@@ -223,13 +287,13 @@ def encode_rows(path: str, data: np.ndarray, offsets: np.ndarray, row_keys: np.n
             values[where[i]:where[i] + lengths[i]] = out[i]
         return values, lengths
 
-    ids, lengths = known.rows(keys, make)
+    ids, lengths = known.rows(names, make)
     return ids, np.concatenate(([0], np.cumsum(lengths)))[np.searchsorted(starts, at)]
 
 
 def decode_rows(path: str, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of each row of ids and their offsets; the leading space is taken off."""
-    pieces, _ = _loaded(path, 0.0, 0, 1)
+    pieces = _loaded(path, 0.0, 0)[0]
     lengths = pieces.lengths[ids]
     data = gather(pieces.bytes, pieces.starts[ids], lengths)
     ends = np.concatenate(([0], np.cumsum(lengths)))[offsets]
@@ -249,12 +313,12 @@ def _blocks(batches: Iterator[pa.RecordBatch]):
             yield batch.column("doc_id").slice(a, b - a).cast(pa.int64()), data, offsets, _row_keys(batch, a, b)
 
 
-def encode(docs: DataFrame, path: str, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+def encode(docs: DataFrame, path: str, rate: float = RATE, seed: int = SEED) -> DataFrame:
     """``(doc_id, ids)`` of every text; ids are little-endian 32-bit integers."""
 
     def run(batches):
         for doc_ids, data, offsets, keys in _blocks(batches):
-            ids, ends = encode_rows(path, data, offsets, keys, rate, seed, variants)
+            ids, ends = encode_rows(path, data, offsets, keys, rate, seed)
             yield pa.record_batch({"doc_id": doc_ids, "ids": binaries(ids.astype("<u4"), ends)})
 
     return docs.select("doc_id", "text").mapInArrow(run, ENCODED)
@@ -275,12 +339,12 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.mapInArrow(run, "doc_id long, text string")
 
 
-def encode_report(docs: DataFrame, path: str, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+def encode_report(docs: DataFrame, path: str, rate: float = RATE, seed: int = SEED) -> DataFrame:
     """Per document the number and checksum of its ids, and whether they decode to its text."""
 
     def run(batches):
         for doc_ids, data, offsets, keys in _blocks(batches):
-            ids, ends = encode_rows(path, data, offsets, keys, rate, seed, variants)
+            ids, ends = encode_rows(path, data, offsets, keys, rate, seed)
             back, back_ends = decode_rows(path, ids, ends)
             same = np.diff(back_ends) == np.diff(offsets)
             raw, text, packed = back.tobytes(), data.tobytes(), ids.astype("<u4").tobytes()

@@ -196,6 +196,28 @@ def test_the_agenda_and_the_common_passes_agree(monkeypatch):
     assert (together[0] == alone[0]).all() and (together[1] == alone[1]).all()
 
 
+def test_a_word_varies_from_place_to_place(monkeypatch):
+    path, rows, rate = mergedropout.model_path(), 3000, 0.1
+
+    def segmentations(word):
+        data, offsets = words.utf8(pa.array([word] * rows))
+        ids, ends = mergedropout.encode_rows(path, data, offsets, np.arange(rows), rate, 11)
+        return collections.Counter(tuple(ids[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:]))
+
+    def brute(word):
+        # every place has its own agenda, whose candidates are dropped by its own key
+        pieces = mergedropout._loaded(path, rate, 11)[0]
+        symbols = pieces.char_ids[[mergedropout.SPACE, *map(ord, word)]]
+        base = words.mixed(np.arange(rows).astype(np.uint64) ^ words.mixed(np.array([11], np.uint64)))
+        return collections.Counter(tuple(mergedropout._agenda(pieces, symbols, key, rate).tolist()) for key in words.mixed(base))
+
+    found = segmentations("information")
+    assert len(found) > 20 and found == brute("information")
+    # a word of one merge is varied at the rate
+    plain, n = segmentations("a").most_common(1)[0]
+    assert len(plain) == 1 and abs(n / rows - 0.9) < 0.03
+
+
 def brute_base(text):
     found = []
     patterns = (

@@ -50,6 +50,8 @@ BLOCK = frozenset(
 #: Elements that an opening tag of the key closes, up to the nearest of the container elements.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CONTAINERS = frozenset("article aside blockquote body div dl footer form header main nav ol section table ul".split())
+#: What a head may hold; its end tag is optional, and anything else closes it.
+HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 #: Raw text: markup inside is not read.
 RAW = frozenset("script style textarea title iframe noscript".split())
 
@@ -80,12 +82,19 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
             silent -= tag in SILENT
         del stack[to:]
 
+    def close_head() -> None:
+        head = next((i for i, (tag, _) in enumerate(stack) if tag == "head"), None)
+        if head is not None and silent == 1:
+            pop(head)
+
     size = len(page)
     while at < size:
         opened = page.find("<", at)
         found = _TOKEN.match(page, opened) or _LOOSE.match(page, opened) if opened >= 0 else None
         if opened < 0 or (found is None and opened + 1 >= size):
             opened, found = size if opened < 0 else opened, None
+        if silent and stack[-1][0] == "head" and page[at:opened].strip():
+            close_head()
         if not silent and opened > at:
             if not parts:
                 path = tuple(part for _, part in stack)
@@ -108,6 +117,8 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
             if where is not None and (tag in BLOCK or not any(t in CONTAINERS for t, _ in stack[where:])):
                 pop(where)
             continue
+        if silent and tag not in HEAD:
+            close_head()
         if tag == "br":
             parts.append("\n")
         if tag in BLOCK:

@@ -362,6 +362,20 @@ def test_html_blocks():
     assert htmltext.blocks(page)[0][0] == ("div x", "p")
 
 
+def test_html_head_without_an_end_tag():
+    body = "<article><p>text</p></article><footer>foot</footer>"
+    want = htmltext.blocks(f"<html><head><title>x</title></head><body>{body}</body></html>")
+    assert [t for _, t in want] == ["text", "foot"] and want[0][0] == ("html", "body", "article", "p")
+    for start in ("<title>x</title><body>", "<meta charset=utf-8><title>x</title>\n<script>a<p>b</script><BODY class=''>", "<title>x<p>y</title><body>"):
+        assert htmltext.blocks(f"<html><head>{start}{body}</body></html>") == want
+    no_body = htmltext.blocks(f"<html><head><title>x</title>{body}</html>")
+    assert [t for _, t in no_body] == ["text", "foot"] and no_body[0][0] == ("html", "article", "p")
+    for start in ("", "<title>x</title>", "<title>x</title><a>"):
+        assert [t for _, t in htmltext.blocks(f"<head>{start}loose <b>text</b> <p>more")] == ["loose text", "more"]
+    # what a head may hold stays silent
+    assert htmltext.blocks("<html><head><style>p{}</style><noscript><p>n</p></noscript><title>x</title></head></html>") == []
+
+
 def test_labeller_gradients():
     rng = np.random.default_rng(0)
     labeller = htmltext.Labeller(1)

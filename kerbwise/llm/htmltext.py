@@ -5,8 +5,9 @@ describe a block: a hashed bag of its path's parts (tag, class, id and role word
 its words together with a few counts. A bidirectional LSTM in numpy reads the whole sequence of a page and labels
 every block as main text or not, so each decision sees the document on both sides.
 
-The network is fitted on a bounded sample: the first ``TRAIN_BLOCKS`` blocks of each of ``TRAIN_PAGES`` pages (those of least id hash). Its labels come from the pages'
-own semantic markup where they have it (text under ``article`` or ``main``, outside of boilerplate elements). Each page is
+The network is fitted on a bounded sample: the first ``TRAIN_BLOCKS`` blocks of each of ``TRAIN_PAGES`` pages (those of least id hash among the
+pages with labels). Its labels come from the pages' own semantic markup (text under ``article`` or ``main``, outside of boilerplate elements);
+where no page of the table has any, every block outside of boilerplate elements counts as main text. Each page is
 also shown in varied forms: with its markup replaced by neutral containers and with further boilerplate (page headers,
 sidebars, notices, adverts, forms, comments) whose text is drawn from the boilerplate and the text of other pages of the sample. The
 fit is seeded and runs on the driver; the weights, some 40 thousand numbers, go to the tasks.
@@ -56,6 +57,8 @@ HEAD = frozenset("base basefont bgsound head html link meta noframes noscript sc
 RAW = frozenset("script style textarea title iframe noscript".split())
 
 MAIN = frozenset("article main".split())
+#: Tags of main text, in a page's text; only a page with one can have blocks that are marked.
+_MARKED = r"(?i)<(article|main)(?![a-z0-9-])"
 ASIDE = frozenset("nav header footer aside form menu dialog".split())
 ASIDE_WORDS = re.compile(
     r"\b(ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|disqus|footer|header|menu|nav\w*|newsletter|notice|popup|promo\w*|related|respond|share|sidebar|social|sponsor\w*|subscribe|widget)\b"
@@ -157,6 +160,12 @@ def marked_main(path: tuple[str, ...]) -> bool | None:
     return inside
 
 
+def is_main(path: tuple[str, ...], unmarked: bool = False) -> bool:
+    """Whether the markup says that a block is main text, or with ``unmarked`` does not say otherwise."""
+    found = marked_main(path)
+    return found is not False if unmarked else bool(found)
+
+
 @lru_cache(maxsize=1 << 16)
 def _slot(word: str, size: int) -> int:
     return zlib.crc32(word.encode()) % size
@@ -316,10 +325,10 @@ ASIDE_PATHS = (
 )
 
 
-def varied(pages: list[list], seed: int = SEED) -> list[tuple[np.ndarray, np.ndarray]]:
+def varied(pages: list[list], seed: int = SEED, unmarked: bool = False) -> list[tuple[np.ndarray, np.ndarray]]:
     """Training sequences: each page as it is, and in two varied forms."""
     rng = np.random.default_rng(seed)
-    labels = [[marked_main(path) for path, _ in page] for page in pages]
+    labels = [[is_main(path, unmarked) for path, _ in page] for page in pages]
     aside = [t for page, known in zip(pages, labels) for (_, t), k in zip(page, known) if not k] or ["Menu"]
     prose = [t for page, known in zip(pages, labels) for (_, t), k in zip(page, known) if k] or aside
     out = []
@@ -344,7 +353,7 @@ def varied(pages: list[list], seed: int = SEED) -> list[tuple[np.ndarray, np.nda
                     extra(2)
                 inside = bool(k)
                 if k and own:
-                    cut = next((i for i, part in enumerate(path) if part.split()[0] in MAIN), 2)
+                    cut = next((i for i, part in enumerate(path) if part.split()[0] in MAIN), len({"html", "body"} & set(path[:2])) - 1)
                     path = ("html", "body", *own, *path[cut + 1:])
                 if k and rng.random() < 0.05:
                     # a page element within the article's container is no main text
@@ -357,24 +366,49 @@ def varied(pages: list[list], seed: int = SEED) -> list[tuple[np.ndarray, np.nda
     return out
 
 
-def sample_pages(pages: DataFrame, most: int = TRAIN_PAGES) -> list[list]:
-    """The block sequences of the pages of least id hash that say where their main text is."""
+def sample_pages(pages: DataFrame, most: int = TRAIN_PAGES, unmarked: bool = False) -> list[list]:
+    """The block sequences of the pages of least id hash that say where their main text is.
+
+    With ``unmarked``, of those with a block that their markup does not call boilerplate. Pages are read on the
+    executors: those of the least hashes, then more, then all, until there are enough.
+    """
     keyed = pages.where("html is not null").select("html", F.xxhash64("page_id", "url").alias("h"))
-    last = keyed.select("h").orderBy("h").limit(most).agg(F.max("h")).first()[0]
-    if last is None:
-        return []
-    rows = keyed.where(F.col("h") <= last).orderBy("h").limit(most).collect()
-    read = [blocks(row["html"])[:TRAIN_BLOCKS] for row in rows]
-    return [page for page in read if any(marked_main(path) for path, _ in page)]
+    if not unmarked:
+        keyed = keyed.where(F.col("html").rlike(_MARKED))
+
+    def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                read = (blocks(html)[:TRAIN_BLOCKS] for html in part.column("html").to_pylist())
+                yield part.filter(pa.array([any(is_main(path, unmarked) for path, _ in page) for page in read], pa.bool_()))
+
+    rows: list = []
+    for asked in (most, 8 * most, None):
+        near = keyed
+        if asked:
+            last, n = keyed.select("h").orderBy("h").limit(asked).agg(F.max("h"), F.count("h")).first()
+            if not n:
+                return []
+            near = keyed.where(F.col("h") <= last)
+        rows = near.mapInArrow(labelled, "html string, h long").orderBy("h", "html").limit(most).collect()
+        if len(rows) == most or asked and n < asked:
+            break
+    return [blocks(row["html"])[:TRAIN_BLOCKS] for row in rows]
 
 
 def fitted(pages: DataFrame, most: int = TRAIN_PAGES, seed: int = SEED) -> Labeller | None:
-    """The labeller fitted on the sample of ``pages``; None where no page says where its main text is."""
+    """The labeller fitted on the sample of ``pages``; None where no page has a block that may be main text.
+
+    Where no page says where its main text is, all blocks that the markup does not call boilerplate count as such.
+    """
     sample = sample_pages(pages, most)
+    unmarked = not sample
+    sample = sample or sample_pages(pages, most, unmarked)
     if not sample:
         return None
     labeller = Labeller(seed)
-    labeller.fit(varied(sample, seed))
+    labeller.fit(varied(sample, seed, unmarked))
     return labeller
 
 

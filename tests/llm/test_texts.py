@@ -356,6 +356,29 @@ def test_html(spark, small):
     assert htmltext.extract(odd.where("false"), htmltext.fitted(odd.where("false"))).count() == 0
 
 
+def test_html_sample_is_drawn_from_marked_pages(spark):
+    queries.ship(spark)
+    marked = "<html><body><nav>menu</nav><MAIN id=m><p>main text</p></main></body></html>"
+    decoy = "<html><body><!-- <main> --><p>none</p><script>'<article>'</script><main></main></body></html>"
+    rows = [(i, f"u{i}", marked if i % 100 == 7 else decoy if i % 2 else "<p>plain</p>") for i in range(400)]
+    pages = spark.createDataFrame([*rows, (None, None, None)], "page_id long, url string, html string").repartition(4)
+    for most, want in ((2, 2), (4, 4), (50, 4)):
+        assert htmltext.sample_pages(pages, most) == [htmltext.blocks(marked)] * want
+    assert htmltext.sample_pages(pages.where("page_id % 100 != 7"), 50) == []
+
+
+def test_html_without_marked_pages_is_not_empty(spark, small):
+    queries.ship(spark)
+    pages = spark.read.parquet(f"{small}/pages.parquet")
+    whole = {r.page_id: r.text for r in htmltext.extract(pages, htmltext.fitted(pages)).collect()}
+    bare = pages.withColumn("html", F.regexp_replace("html", "<(/?)article>", "<$1div>"))
+    assert htmltext.sample_pages(bare) == []
+    found = {r.page_id: r.text for r in htmltext.extract(bare, htmltext.fitted(bare)).collect()}
+    assert sum(found[i] == t for i, t in whole.items()) >= 0.9 * len(whole)
+    only = bare.where("false").unionByName(spark.createDataFrame([(1, "u", "<nav>menu</nav>")], "page_id long, url string, html string"), allowMissingColumns=True)
+    assert htmltext.fitted(only) is None
+
+
 def test_html_blocks():
     page = "<div class=x><p>a&amp;b <b>c</b>d<p>e\n f<br>g</div><style>p{}</style>h<li>i<li>j<svg><text>k</text></svg>"
     assert [t for _, t in htmltext.blocks(page)] == ["a&b cd", "e f g", "h", "i", "j"]

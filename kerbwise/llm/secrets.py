@@ -45,8 +45,8 @@ SHAPES = (
     r"\b(AIza[A-Za-z0-9_-]{35})",
     r"\b(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})",
     r"(-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----)",
-    r"[a-z][a-z0-9+.-]{0,20}://[^\s/:@]{1,64}:([^\s/:@]{6,128})@",
-    r"(?<![A-Za-z0-9+/_=-])([A-Za-z0-9+/_-]{32,128}={0,2})(?![A-Za-z0-9+/_=-])",
+    r"[a-z][a-z0-9+.-]{0,20}://[^\s/:@]+:([^\s/:@]{6,})@",
+    r"(?<![A-Za-z0-9+/_=-])([A-Za-z0-9+/_-]{32,}={0,2})(?![A-Za-z0-9+/_=-])",
 )
 MAX_OWNERS, MAX_REPOSITORIES = 2, 3
 MIN_BITS = 3.0

@@ -253,6 +253,18 @@ def test_secrets_of_many_owners_are_examples(spark):
     assert masked[10].text == "key [secret] end" and masked[10].n_chars == 16 and copied in masked[1].text
 
 
+def test_secrets_of_any_length_are_candidates(spark):
+    queries.ship(spark)
+    rng = np.random.default_rng(4)
+    draw = lambda n: "".join(rng.choice(list("ghijklmnopqrstuvwxyzGHIJKLMNOPQRSTUVWXYZ0123456789"), n))
+    cases = [("key ", draw(40), ""), ("key ", draw(129), ""), ("key ", draw(5000), "=="), (f"ftp://{draw(20)[:9]}u:", draw(140), "@h/x"), (f"ftp://{draw(80)}:", "p4s.s-w0rd,9", "@h/x")]
+    df = spark.createDataFrame(rows_of([a + b + c + " end" for a, b, c in cases]), SCHEMA)
+    masked = {r.doc_id: r.text for r in secrets.redact(df, F.col("source"), F.col("source")).collect()}
+    assert all(value not in masked[i] and "[secret]" in masked[i] for i, (_, value, _) in enumerate(cases, 1))
+    spans = {r.doc_id: r.spans.split(",") for r in secrets.scan(df, F.col("source"), F.col("source")).collect()}
+    assert "live:4:133" in spans[2] and "live:4:5006" in spans[3]
+
+
 def test_licenses(docs):
     rows = {r.doc_id: r for r in licenses.scan(docs).collect() if r.doc_id}
     for i, t in enumerate(TEXTS, 1):

@@ -11,7 +11,9 @@ from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbwise.llm import htmltext, jaccard, licenses, linequality, mergedropout, packing, pivots, secrets, urls, warc
+from kerbwise.llm import (
+    htmltext, jaccard, licenses, linequality, merkle, mergedropout, packing, pivots, runs, secrets, sharding, urls, warc,
+)
 
 _PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -86,10 +88,23 @@ def op10_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("host", "text_key", "removed_lines")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.scan(_table(spark, sf_dir, "documents"), plant=True)
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.prove_all(_table(spark, sf_dir, "documents")).drop("tree", "idx")
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_html_text, op2_packing, op3_jaccard_join, op4_secret_scan, op5_url_filter, op6_warc, op7_pivot_index,
-        op8_license_scan, op9_merge_dropout, op10_line_frequency,
+        op8_license_scan, op9_merge_dropout, op10_line_frequency, op11_periodic_runs,
+        op12_merkle, op13_sharding,
     )
     return {f.__name__: f for f in found}
 
@@ -222,9 +237,66 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM counts
 """
 
+OP12_SQL = """
+WITH RECURSIVE docs AS (
+  SELECT doc_id, lang, ascii, CASE WHEN text IS NULL THEN NULL ELSE translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END AS folded,
+    text, coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+      || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars, '-') AS head
+  FROM (SELECT *, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT) AS ascii FROM documents)
+),
+leaves AS MATERIALIZED (
+  SELECT doc_id, lang, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+    CASE WHEN xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, ascii), lambda c, b:
+        list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))) % 3 = 0
+      THEN sha256(head || coalesce(octet_length(encode(folded)) || ':' || folded, '-'))
+      ELSE sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) END AS claimed
+  FROM docs
+),
+placed AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id, leaf) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS size FROM leaves
+),
+nodes AS (
+  SELECT lang, 0 AS level, idx, size, leaf AS digest FROM placed
+  UNION ALL
+  SELECT lang, level + 1, idx // 8, (size + 7) // 8, sha256(string_agg(digest, '' ORDER BY idx)) FROM nodes WHERE size > 1 GROUP BY lang, level, idx // 8, size
+),
+langs AS MATERIALIZED (
+  SELECT lang, level AS height, digest AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS rank, count(*) OVER () AS size FROM nodes WHERE size = 1
+),
+tops AS (
+  SELECT 0 AS level, rank AS idx, size, subroot AS digest FROM langs
+  UNION ALL
+  SELECT level + 1, idx // 8, (size + 7) // 8, sha256(string_agg(digest, '' ORDER BY idx)) FROM tops WHERE size > 1 GROUP BY level, idx // 8, size
+),
+runs AS MATERIALIZED (
+  SELECT coalesce('s' || lang, 'n') AS tree, level, idx // 8 AS run, list(digest ORDER BY idx) AS digests FROM nodes WHERE size > 1 GROUP BY ALL
+  UNION ALL
+  SELECT '', level, idx // 8, list(digest ORDER BY idx) FROM tops WHERE size > 1 GROUP BY ALL
+),
+root AS (SELECT level AS height, digest AS root FROM tops WHERE size = 1),
+folds AS (
+  SELECT row_number() OVER () AS r, doc_id, leaf, placed.lang, idx AS pos, claimed AS digest, 0 AS level, height, false AS top, '' AS proof, subroot, rank FROM placed
+  JOIN langs ON langs.lang IS NOT DISTINCT FROM placed.lang
+  UNION ALL
+  SELECT f.r, f.doc_id, f.leaf, f.lang,
+    CASE WHEN f.level = f.height AND NOT top THEN rank ELSE pos // 8 END,
+    CASE WHEN f.level = f.height AND NOT top THEN f.digest ELSE sha256(array_to_string(digests[:pos % 8] || [f.digest] || digests[pos % 8 + 2:], '')) END,
+    CASE WHEN f.level = f.height AND NOT top THEN 0 ELSE f.level + 1 END,
+    CASE WHEN f.level = f.height AND NOT top THEN root.height ELSE f.height END,
+    top OR f.level = f.height,
+    CASE WHEN f.level = f.height AND NOT top THEN proof ELSE proof || array_to_string(digests[:pos % 8] || digests[pos % 8 + 2:], '') END,
+    f.subroot, f.rank
+  FROM folds f CROSS JOIN root
+  LEFT JOIN runs ON runs.tree = CASE WHEN top THEN '' ELSE coalesce('s' || lang, 'n') END AND runs.level = f.level AND runs.run = pos // 8
+  WHERE NOT (top AND f.level = f.height)
+)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, digest AS folded_root, digest = root AS verified
+FROM folds CROSS JOIN root WHERE top AND folds.level = folds.height
+"""
+
 
 def statements() -> dict[str, str]:
     return {
         "op3_jaccard_join": OP3_SQL, "op5_url_filter": OP5_SQL, "op6_warc": OP6_SQL, "op7_pivot_index": OP7_SQL,
-        "op10_line_frequency": OP10_SQL,
+        "op10_line_frequency": OP10_SQL, "op12_merkle": OP12_SQL,
     }

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from kerbwise.llm import sketches
 from kerbwise.llm.components import components
-from kerbwise.llm.words import binaries, hashes, mixed, shingles, slices, sorted_by_row, unique_by_row, utf8, words
+from kerbwise.llm.words import binaries, hashes, lean, mixed, shingles, slices, sorted_by_row, unique_by_row, utf8, words
 from kerbwise.session import written
 
 K, PERCENT = 5, 80
@@ -129,7 +129,7 @@ def digests(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, int]:
                 )
                 row += b - a
 
-    return written(docs.mapInArrow(run, DIGEST), "digests"), int(counts.sum())
+    return written(docs.mapInArrow(lean(run), DIGEST), "digests"), int(counts.sum())
 
 
 def _packed(buckets: int, list_rows: int):
@@ -316,7 +316,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, perc
                     {"sig_a": pa.array(sig_a[rows]), "sig_b": pa.array(sig_b[rows]), "shingles": pa.array(packed, pa.binary())}
                 )
 
-    sets = written(docs.mapInArrow(run, "sig_a long, sig_b long, shingles binary"), "sets")
+    sets = written(docs.mapInArrow(lean(run), "sig_a long, sig_b long, shingles binary"), "sets")
     if not sets.groupBy("sig_a", "sig_b").count().where("count > 1").isEmpty():  # repeated rows
         sets = written(sets.dropDuplicates(["sig_a", "sig_b"]), "sets")
     side = lambda c, a, b: wanted.select(F.col("cls").alias(c), F.col("sig_a").alias(a), F.col("sig_b").alias(b))

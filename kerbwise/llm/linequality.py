@@ -5,9 +5,9 @@ and words inside 3-word windows found twice or more. A text fails the base rules
 them in repeated windows.
 
 Line rule: lines are normalised (lower case, white space to one space) and hashed, and each (host, line)
-is counted over the distinct texts of its host. A line in more than ``share`` of the host's texts, and in more than ``least``,
-is above the limit and is removed; a text left with less than ``left`` of its words is depleted and rejected. Exact
-copies of a text count once, so that copies do not condemn their own lines.
+is counted over the distinct texts of its host. A line in more than ``share`` of the host's texts and in more than ``least``,
+or in more than ``most`` however large the host, is above the limit and is removed; a text left with less than ``left`` of its
+words is depleted and rejected. Exact copies of a text count as one document, so that copies do not condemn their own lines.
 
 The measures of each row are written once with a row number, and only line hashes, never texts, are shuffled. A null text
 has no words and fails. A null host is the empty host. Null or repeated ids keep a row each. An empty table gives
@@ -19,9 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kerbwise.llm.columns import free
 from kerbwise.session import written
 
-SHARE, LEAST, LEFT = 0.10, 5, 0.30
+SHARE, LEAST, MOST, LEFT = 0.10, 5, 10_000, 0.30
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 _SPACE = r"[ \t-\r]+"
@@ -84,28 +85,26 @@ def measured(docs: DataFrame, host: Column) -> DataFrame:
             (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
             "n_repeat_words",
             F.transform(
-                "lines",
-                lambda line: F.struct(
-                    F.xxhash64(normalised(line)).alias("line"), F.size(F.split(normalised(line), " ")).alias("line_words")
-                ),
+                F.transform("lines", normalised),
+                lambda line: F.struct(F.xxhash64(line).alias("line"), F.size(F.split(line, " ")).alias("line_words")),
             ).alias("lines"),
         ),
         "quality",
     )
 
 
-def frequent_lines(rows: DataFrame, share: float, least: int) -> DataFrame:
+def frequent_lines(rows: DataFrame, share: float, least: int, most: int) -> DataFrame:
     """(host, line) above the limit."""
     texts = rows.select("host", "text_key").distinct().groupBy("host").agg(F.count("*").alias("texts"))
     lines = rows.select("host", "text_key", F.explode("lines.line").alias("line")).distinct()
     counted = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > least)
-    return counted.join(texts, "host").where(F.col("n") > share * F.col("texts")).select("host", "line")
+    return counted.join(texts, "host").where((F.col("n") > most) | (F.col("n") > share * F.col("texts"))).select("host", "line")
 
 
-def judge(docs: DataFrame, host: Column, share: float = SHARE, least: int = LEAST, left: float = LEFT) -> DataFrame:
+def judge(docs: DataFrame, host: Column, share: float = SHARE, least: int = LEAST, most: int = MOST, left: float = LEFT) -> DataFrame:
     """Per row: the base counts, ``base_failed``, ``kept``, words removed and the hashes of removed lines."""
     rows = measured(docs, host)
-    frequent = written(frequent_lines(rows, share, least), "frequent-lines")
+    frequent = written(frequent_lines(rows, share, least, most), "frequent-lines")
     held = rows.select("rid", "host", F.explode("lines").alias("l")).select("rid", "host", "l.line", "l.line_words")
     removed = (
         held.join(frequent, ["host", "line"])
@@ -125,24 +124,26 @@ def judge(docs: DataFrame, host: Column, share: float = SHARE, least: int = LEAS
 
 
 def clean(docs: DataFrame, host: Column, **options) -> DataFrame:
-    """The kept rows of ``docs`` without their lines above the limit; ``n_chars`` follows the text."""
+    """The kept rows of ``docs`` without their lines above the limit; ``n_chars`` follows the text.
+
+    Rows meet their verdicts by id, host and text hash: equal rows have equal verdicts.
+    """
+    own = free(docs.columns, "key", "of", "id", "host", "text_key", "removed", "rest")
+    key, of, doc, source, text_key, removed, rest = own
     verdict = written(
         judge(docs, host, **options)
         .where("kept")
-        .select(F.col("doc_id").alias("__id"), F.col("host").alias("__host"), F.col("text_key").alias("__key"), F.col("removed_lines").alias("__removed"))
-        .dropDuplicates(["__id", "__host", "__key"]),
+        .select(F.col("doc_id").alias(doc), F.col("host").alias(source), F.col("text_key").alias(text_key), F.col("removed_lines").alias(removed))
+        .dropDuplicates([doc, source, text_key]),
         "kept",
     )
-    keyed = docs.withColumns({"__text_key": F.xxhash64(F.coalesce("text", F.lit(""))), "__of": F.coalesce(host.cast("string"), F.lit(""))})
+    keyed = docs.withColumns({key: F.xxhash64(F.coalesce("text", F.lit(""))), of: F.coalesce(host.cast("string"), F.lit(""))})
     joined = keyed.join(
-        verdict,
-        (F.col("__text_key") == F.col("__key")) & (F.col("__of") == F.col("__host")) & keyed["doc_id"].cast("long").eqNullSafe(F.col("__id")),
-    )
-    rest = F.array_join(
-        F.filter(F.split("text", "\n"), lambda line: ~F.array_contains("__removed", F.xxhash64(normalised(line)))), "\n"
+        verdict, (F.col(key) == F.col(text_key)) & (F.col(of) == F.col(source)) & F.col("doc_id").cast("long").eqNullSafe(F.col(doc))
     )
-    cut = F.col("__removed").isNotNull()
-    joined = joined.withColumn("__rest", F.when(cut, rest))
-    new = {"text": F.when(cut, F.col("__rest")).otherwise(F.col("text")).alias("text")}
-    new["n_chars"] = F.when(cut, F.length("__rest").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
-    return joined.select(*(new.get(c, F.col(c)) for c in docs.columns))
+    left = F.filter(F.split("text", "\n"), lambda line: ~F.array_contains(removed, F.xxhash64(normalised(line))))
+    cut = F.col(removed).isNotNull()
+    joined = joined.withColumn(rest, F.when(cut, F.array_join(left, "\n")))
+    new = {"text": F.when(cut, F.col(rest)).otherwise(F.col("text")).alias("text")}
+    new["n_chars"] = F.when(cut, F.length(rest).cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
+    return joined.select(*(new.get(c, F.col(f"`{c}`")) for c in docs.columns))

@@ -4,9 +4,10 @@ Merges are taken from an agenda, best score first and leftmost among equals. A c
 skipped for good when the keyed hash of (seed, document's key, the unit's place in it, the merge's place in
 the unit) falls below the dropout rate. A unit is a run of white-space signs with the word behind it; no
 piece reaches across units, so units are encoded by themselves. Which of a word's possible candidates are
-dropped settles its pieces, so only units with the same word and the same dropped candidates share a
-result; the number of segmentations of a word has no bound. Short units of a block go through their
-agendas together, one merge each per numpy pass; long ones have a heap of their own, for each place anew.
+dropped settles its pieces, so units with the same word and the same dropped candidates share a
+result; the number of segmentations of a word has no bound. Candidates are listed, and results held, only for words and
+results that come again. Units of a block go through their agendas together, one merge each per
+numpy pass; those of more than 255 signs (in scripts without spaces, say) have a heap of their own.
 
 Characters outside the vocabulary, and the white-space sign itself where a text holds it, are
 spelled in byte pieces. Decoding returns the very same text. With rate 0 the ids are those of the
@@ -27,16 +28,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from kerbwise.llm.ragged import KeyedRows, gather
-from kerbwise.llm.words import binaries, mixed, range_hashes, slices, utf8
+from kerbwise.llm.ragged import KeyedRows, Seen, gather
+from kerbwise.llm.words import binaries, lean, mixed, range_hashes, slices, utf8
 
 SPACE = 0x2581
 RATE, SEED = 0.1, 20_240
-_SLICE_BYTES = 4 << 20
-#: Units of more signs, at most 255, have an agenda of their own.
-_LONG = 64
+_SLICE_BYTES = 2 << 20
+#: Units of more signs share no results, and those of more than _HEAP signs have a heap of their own.
+_LONG, _HEAP = 64, 255
 _UNITS = 1 << 16
-_FILTER_BITS = 21
+#: Symbols that go through their agendas together: few enough to stay in a processor's cache.
+_SYMBOLS = 1 << 17
+_SLOT_BITS = 21
 _NONE = np.int64(1) << 62
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -78,8 +81,8 @@ class Pieces:
         self.merge_keys = np.array(keys, np.int64)
         self.merge_rank = np.array([merges[k][0] for k in keys], np.int64)
         self.merge_id = np.array([merges[k][1] for k in keys], np.int32)
-        self.filter = np.zeros(1 << _FILTER_BITS, bool)
-        self.filter[self._filter_slots(self.merge_keys)] = True
+        self.rank_of = merges
+        self._index()
         spelled = [text[i].replace(chr(SPACE), " ").encode() if i in text else b"" for i in range(n)]
         for b, i in enumerate(self.byte_ids):
             spelled[i] = bytes([b])
@@ -87,19 +90,37 @@ class Pieces:
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.bytes = np.frombuffer(b"".join(spelled), np.uint8)
 
+    def _index(self) -> None:
+        """A hash table of the merges by their key: a byte each place that tells whether it is taken, and the merge there."""
+        self.taken, self.merge_at = np.zeros(1 << _SLOT_BITS, bool), np.zeros(1 << _SLOT_BITS, np.int32)
+        todo, at = np.arange(len(self.merge_keys)), self._slots(self.merge_keys)
+        while len(todo):
+            free = np.flatnonzero(~self.taken[at])
+            _, first = np.unique(at[free], return_index=True)
+            won = free[first]
+            self.taken[at[won]], self.merge_at[at[won]] = True, todo[won]
+            todo, at = np.delete(todo, won), np.delete(at, won)
+            at = np.where(self.taken[at], (at + 1) & (len(self.taken) - 1), at)
+
     def merge(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and result of joining two symbols; rank ``_NONE`` where no piece is made."""
         keys = left.astype(np.int64) << 32 | right
         rank, made = np.full(len(keys), _NONE), np.zeros(len(keys), np.int32)
-        maybe = np.flatnonzero(self.filter[self._filter_slots(keys)])  # most pairs make no piece
-        at = np.minimum(np.searchsorted(self.merge_keys, keys[maybe]), len(self.merge_keys) - 1)
-        found = self.merge_keys[at] == keys[maybe]
-        rank[maybe[found]], made[maybe[found]] = self.merge_rank[at[found]], self.merge_id[at[found]]
+        at = self._slots(keys)
+        todo = np.flatnonzero(self.taken[at])  # most pairs make no piece
+        at, keys = at[todo], keys[todo]
+        while len(todo):
+            merge = self.merge_at[at]
+            found = self.merge_keys[merge] == keys
+            rank[todo[found]], made[todo[found]] = self.merge_rank[merge[found]], self.merge_id[merge[found]]
+            at = (at + 1) & (len(self.taken) - 1)
+            rest = ~found & self.taken[at]
+            todo, at, keys = todo[rest], at[rest], keys[rest]
         return rank, made
 
     @staticmethod
-    def _filter_slots(keys: np.ndarray) -> np.ndarray:
-        return (keys.astype(np.uint64) * _STEP >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
+    def _slots(keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * _STEP >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
 
 
 def _skipped(keys: np.ndarray, first: np.ndarray, middle: np.ndarray, last: np.ndarray, rate: float) -> np.ndarray:
@@ -108,23 +129,36 @@ def _skipped(keys: np.ndarray, first: np.ndarray, middle: np.ndarray, last: np.n
     return (mixed(keys ^ mixed(place)) >> np.uint64(11)).astype(np.float64) * 2.0**-53 < rate
 
 
+_MASK = (1 << 64) - 1
+
+
+def _mixed(x: int) -> int:
+    """:func:`words.mixed` of one integer."""
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & _MASK
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & _MASK
+    return x ^ (x >> 31)
+
+
 def _agenda(pieces: Pieces, symbols: np.ndarray, key: np.uint64, rate: float) -> np.ndarray:
     """The pieces of one unit, by a heap of candidate merges."""
-    n = len(symbols)
+    n, key, step, known = len(symbols), int(key), int(_STEP), pieces.rank_of
     ids, start = symbols.tolist(), list(range(n))
     after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
     heap: list[tuple] = []
 
-    def propose(lefts: list[int]) -> None:
-        rights = [after[i] for i in lefts]
-        rank, made = pieces.merge(np.array([ids[i] for i in lefts], np.int64), np.array([ids[j] for j in rights], np.int64))
-        spans = [np.array(x, np.int64) for x in ([start[i] for i in lefts], [start[j] for j in rights], [end[j] for j in rights])]
-        dropped = _skipped(np.full(len(lefts), key, np.uint64), *spans, rate)
-        for i, j, r, m, skip in zip(lefts, rights, rank.tolist(), made.tolist(), dropped.tolist()):
-            if r != _NONE and not skip:
-                heapq.heappush(heap, (r, i, ids[i], j, ids[j], end[j], m))
-
-    propose(list(range(n - 1)))
+    def propose(i: int) -> None:
+        j = after[i]
+        found = known.get(ids[i] << 32 | ids[j])
+        if found is None:
+            return
+        place = ((start[i] * step + start[j]) * step + end[j]) & _MASK
+        if (_mixed(key ^ _mixed(place)) >> 11) * 2.0**-53 >= rate:
+            heapq.heappush(heap, (found[0], i, ids[i], j, ids[j], end[j], found[1]))
+
+    for i in range(n - 1):
+        propose(i)
     while heap:
         _, i, left, j, right, stop, made = heapq.heappop(heap)
         if ids[i] != left or after[i] != j or ids[j] != right or end[j] != stop:
@@ -132,9 +166,9 @@ def _agenda(pieces: Pieces, symbols: np.ndarray, key: np.uint64, rate: float) ->
         ids[i], end[i], after[i], ids[j] = made, end[j], after[j], -1
         if after[j] < n:
             before[after[j]] = i
-        around = [x for x in (before[i], i) if x >= 0 and after[x] < n]
-        if around:
-            propose(around)
+            propose(i)
+        if before[i] >= 0:
+            propose(before[i])
     return np.array([x for x in ids if x >= 0], np.uint32)
 
 
@@ -221,14 +255,14 @@ def _dropped(keys: np.ndarray, candidates: np.ndarray, lengths: np.ndarray, rate
 
 
 @lru_cache(maxsize=4)
-def _loaded(path: str, rate: float, seed: int) -> tuple[Pieces, KeyedRows, KeyedRows]:
-    """The model, the ids of units, and the candidates of words."""
-    return Pieces(path), KeyedRows(), KeyedRows()
+def _loaded(path: str, rate: float, seed: int) -> tuple[Pieces, KeyedRows, KeyedRows, Seen, Seen]:
+    """The model, the ids of units, the candidates of words, and which words and units came before."""
+    return Pieces(path), KeyedRows(), KeyedRows(), Seen(), Seen()
 
 
 def encode_rows(path: str, data: np.ndarray, offsets: np.ndarray, row_keys: np.ndarray, rate: float = RATE, seed: int = SEED):
     """Ids of each row and their offsets."""
-    pieces, known, proposed = _loaded(path, rate, seed)
+    pieces, known, proposed, seen_words, seen_units = _loaded(path, rate, seed)
     rows = len(offsets) - 1
     if not len(data):
         return np.zeros(0, np.uint32), np.zeros(rows + 1, np.int64)
@@ -253,41 +287,51 @@ def encode_rows(path: str, data: np.ndarray, offsets: np.ndarray, row_keys: np.n
     names = range_hashes(points, starts, ends)
 
     def name(a: int, b: int) -> None:
-        """Tell the units [a, b) apart by their words and what their keys drop."""
+        """Tell the units [a, b) apart by their words and what their keys drop; words that came once by their keys alone."""
         n = (ends - starts)[a:b]
         short = np.flatnonzero(n <= _LONG)
+        _, word, count = np.unique(names[a:b][short], return_inverse=True, return_counts=True)
+        again = seen_words.again(names[a:b][short]) | (count[word] > 1)
+        short = short[again]
         at, n = starts[a:b][short], n[short]
         found, lengths = proposed.rows(names[a:b][short], lambda new: _candidates(pieces, gather(symbols, at[new], n[new]), n[new]))
         own = keys[a:b].copy()
         own[short] = _dropped(keys[a:b][short], found, lengths, rate)
         names[a:b] = mixed(names[a:b] + mixed(own))
+        kept[a:b] = False
+        kept[a:b][short] = seen_units.again(names[a:b][short]) | (own[short] == 0)
 
+    kept = np.ones(len(starts), bool)
     for a in range(0, len(starts) if rate else 0, _UNITS):
         name(a, min(a + _UNITS, len(starts)))
 
     def make(first: np.ndarray):
         a, n = starts[first], (ends - starts)[first]
-        lengths = np.zeros(len(first), np.int64)
-        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(first)
         alone = symbols[a] < 0
-        short = np.flatnonzero(~alone & (n <= _LONG))
-        flat, lengths[short] = _together(pieces, gather(symbols, a[short], n[short]), n[short], keys[first[short]], rate)
-        slow = np.flatnonzero(alone | (n > _LONG))
-        for i in slow.tolist():
+        lengths = np.zeros(len(first), np.int64)
+        parts, order = [], []
+        plain = np.flatnonzero(~alone & (n <= _HEAP))
+        plain = plain[np.argsort(n[plain], kind="stable")]  # units of a length end at about the same pass
+        for some in np.split(plain, np.searchsorted(np.cumsum(n[plain]), np.arange(_SYMBOLS, int(n[plain].sum()), _SYMBOLS))):
+            flat, lengths[some] = _together(pieces, gather(symbols, a[some], n[some]), n[some], keys[first[some]], rate)
+            parts.append(flat)
+        order.append(plain)
+        for i in np.flatnonzero(alone | (n > _HEAP)).tolist():
             if alone[i]:
                 point = int(points[a[i]])
-                out[i] = pieces.byte_ids[list(chr(SPACE if point == 0x110000 else point).encode())]
+                out = pieces.byte_ids[list(chr(SPACE if point == 0x110000 else point).encode())]
             else:
-                out[i] = _agenda(pieces, symbols[a[i]:a[i] + n[i]], keys[first[i]], rate)
-            lengths[i] = len(out[i])
-        values = np.zeros(int(lengths.sum()), np.uint32)
-        where = np.cumsum(lengths) - lengths
-        values[gather(np.arange(len(values)), where[short], lengths[short])] = flat
-        for i in slow.tolist():
-            values[where[i]:where[i] + lengths[i]] = out[i]
-        return values, lengths
-
-    ids, lengths = known.rows(names, make)
+                out = _agenda(pieces, symbols[a[i]:a[i] + n[i]], keys[first[i]], rate)
+            lengths[i] = len(out)
+            parts.append(out)
+            order.append([i])
+        order = np.concatenate(order).astype(np.int64)
+        values = np.concatenate([np.zeros(0, np.uint32), *parts])
+        begin = np.zeros(len(first), np.int64)
+        begin[order] = np.cumsum(lengths[order]) - lengths[order]
+        return gather(values, begin, lengths), lengths
+
+    ids, lengths = known.rows(names, make, kept)
     return ids, np.concatenate(([0], np.cumsum(lengths)))[np.searchsorted(starts, at)]
 
 
@@ -321,7 +365,7 @@ def encode(docs: DataFrame, path: str, rate: float = RATE, seed: int = SEED) ->
             ids, ends = encode_rows(path, data, offsets, keys, rate, seed)
             yield pa.record_batch({"doc_id": doc_ids, "ids": binaries(ids.astype("<u4"), ends)})
 
-    return docs.select("doc_id", "text").mapInArrow(run, ENCODED)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), ENCODED)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -361,4 +405,4 @@ def encode_report(docs: DataFrame, path: str, rate: float = RATE, seed: int = SE
                 }
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, REPORT)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), REPORT)

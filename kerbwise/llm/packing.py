@@ -23,14 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbwise.llm.ragged import KeyedRows
-from kerbwise.llm.words import binaries, hashes, slices, utf8, words
+from kerbwise.llm.words import binaries, hashes, lean, slices, utf8, words
 from kerbwise.session import new_path
 
 WINDOW = 4096
 END_ID = 2
 #: A letter a-z followed by one of these always ends a token of the tokenizer's own splitting.
 _AFTER_LETTER = b",.;:!?)"
-_SLICE_BYTES = 4 << 20
+_SLICE_BYTES = 1 << 20
 #: Byte-level spelling: printable bytes stand for themselves, the others for 256, 257 and so on.
 _PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
@@ -133,7 +133,7 @@ def _tokenised(path: str):
 
 def tokenised(docs: DataFrame, path: str) -> DataFrame:
     """Every document's ids, little-endian 32-bit, with its place in its partition."""
-    return docs.select("doc_id", "text").mapInArrow(_tokenised(path), TOKENS)
+    return docs.select("doc_id", "text").mapInArrow(lean(_tokenised(path)), TOKENS)
 
 
 def _cut(base: dict[int, int], window: int, keep_ids: bool):
@@ -171,7 +171,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, keep_ids: bool = Fals
     for part, tokens in sorted(tuple(r) for r in written.groupBy("part").agg(F.sum("n_tokens")).collect()):
         base[part] = total
         total += tokens
-    pieces = written.mapInArrow(_cut(base, window, keep_ids), PIECES)
+    pieces = written.mapInArrow(lean(_cut(base, window, keep_ids)), PIECES)
     return pieces if keep_ids else pieces.drop("ids")
 
 

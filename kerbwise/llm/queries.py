@@ -220,7 +220,7 @@ lines AS MATERIALIZED (
 hosts AS (SELECT host, count(DISTINCT text) AS texts FROM texts GROUP BY host),
 frequent AS (
   SELECT host, line FROM (SELECT host, line, count(DISTINCT text) AS n FROM lines JOIN texts USING (r) GROUP BY host, line)
-  JOIN hosts USING (host) WHERE n > 5 AND n > 0.10 * texts
+  JOIN hosts USING (host) WHERE n > 5 AND (n > 10000 OR n > 0.10 * texts)
 ),
 removed AS (SELECT r, sum(n) AS n FROM lines JOIN texts USING (r) JOIN frequent USING (host, line) GROUP BY r),
 counts AS (

@@ -12,21 +12,47 @@ def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     return values[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
 
 
+class Seen:
+    """Which keys came before: a table of bits by hash, emptied when half full.
+
+    It only steers work: a key taken for another one's, or forgotten, costs time or a place in a cache.
+    """
+
+    def __init__(self, bits: int = 22):
+        self.bits = np.zeros(1 << bits, bool)
+        self.held = 0
+
+    def again(self, keys: np.ndarray) -> np.ndarray:
+        """Whether each key came in an earlier call; all of them count as seen from now on."""
+        at = (keys & np.uint64(len(self.bits) - 1)).astype(np.int64)
+        before = self.bits[at]
+        self.held += int((~before).sum())
+        if 2 * self.held > len(self.bits):
+            self.bits[:] = False
+            self.held = 0
+        self.bits[at] = True
+        return before
+
+
 class KeyedRows:
-    """Rows of integers by key, at most ``limit`` keys; it starts afresh when full.
+    """Rows of integers by key, in at most about ``max_bytes``; it starts afresh when full.
 
-    It only saves work: a key that is gone is computed again.
+    Rows of more than ``longest`` integers are not kept. It only saves work: a row that is gone is computed again.
     """
 
-    def __init__(self, limit: int = 1_000_000):
-        self.limit = limit
+    def __init__(self, max_bytes: int = 48 << 20, longest: int = 64):
+        self.longest = longest
+        slots = 1 << 10
+        while 2 * 20 * slots <= max_bytes * 2 // 3:  # a key's place takes 20 bytes
+            slots *= 2
+        self.max_slots, self.max_values = slots, max((max_bytes - 20 * slots) // 4, 1024)
         self._clear()
 
     def _clear(self) -> None:
         self.held = 0
         self.values = np.zeros(1024, np.uint32)
         self.used = 0
-        self._slots(1 << 16)
+        self._slots(min(1 << 16, self.max_slots))
 
     def _slots(self, n: int) -> None:
         """An open hash table of ``n`` places; a place of length -1 is free."""
@@ -47,6 +73,9 @@ class KeyedRows:
             todo = todo[~same & (self.lengths[at[todo]] >= 0)]
         return at, held
 
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        return self._find(keys)[1]
+
     def _place(self, keys: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
         """Put distinct new keys in free places; of keys that want one place the first gets it."""
         todo = np.arange(len(keys))
@@ -58,8 +87,12 @@ class KeyedRows:
             todo = np.delete(todo, winners)
 
     def _add(self, keys: np.ndarray, rows: np.ndarray, lengths: np.ndarray) -> None:
+        if 2 * (self.held + len(keys)) > self.max_slots or self.used + len(rows) > self.max_values:
+            self._clear()
+            if 2 * len(keys) > self.max_slots or len(rows) > self.max_values:
+                return
         if self.used + len(rows) > len(self.values):
-            grown = np.zeros(max(2 * len(self.values), self.used + len(rows)), np.uint32)
+            grown = np.zeros(min(max(2 * len(self.values), self.used + len(rows)), self.max_values), np.uint32)
             grown[: self.used] = self.values[: self.used]
             self.values = grown
         self.values[self.used:self.used + len(rows)] = rows
@@ -70,25 +103,34 @@ class KeyedRows:
             old = self.lengths >= 0
             keys = np.concatenate((self.keys[old], keys))
             starts, lengths = np.concatenate((self.starts[old], starts)), np.concatenate((self.lengths[old], lengths))
-            self._slots(1 << int(4 * self.held - 1).bit_length())
+            self._slots(min(1 << int(4 * self.held - 1).bit_length(), self.max_slots))
         self._place(keys, starts, lengths)
 
-    def rows(self, keys: np.ndarray, make) -> tuple[np.ndarray, np.ndarray]:
+    def rows(self, keys: np.ndarray, make, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The rows of ``keys``, concatenated, and their lengths.
 
         ``make(first)`` gets, for each key that is not held, the place of its first
-        occurrence in ``keys``, and returns the concatenated new rows and their lengths.
+        occurrence in ``keys``, and returns the concatenated new rows and their lengths. Where ``keep``
+        is given, only the keys marked in it are held.
         """
         at, held = self._find(keys)
-        if not held.all():
-            absent = np.flatnonzero(~held)
-            new, first = np.unique(keys[absent], return_index=True)
-            absent = absent[first]
-            if self.held + len(new) > self.limit:
-                self._clear()
-                new, absent = np.unique(keys, return_index=True)
-            made, lengths = make(absent)
-            self._add(new, made, lengths)
-            at, _ = self._find(keys)
-        lengths = self.lengths[at].astype(np.int64)
-        return gather(self.values, self.starts[at], lengths), lengths
+        lengths = np.where(held, self.lengths[at], 0).astype(np.int64)
+        if held.all():
+            return gather(self.values, self.starts[at], lengths), lengths
+        absent = np.flatnonzero(~held)
+        new, first, which = np.unique(keys[absent], return_index=True, return_inverse=True)
+        made, size = make(absent[first])
+        size = size.astype(np.int64)
+        begin = np.cumsum(size) - size
+        lengths[absent] = size[which]
+        ends = np.cumsum(lengths)
+        out = np.empty(int(ends[-1]), np.uint32)
+        if held.any():
+            there = np.flatnonzero(held)
+            out[gather(np.arange(len(out)), (ends - lengths)[there], lengths[there])] = gather(self.values, self.starts[at[there]], lengths[there])
+        out[gather(np.arange(len(out)), (ends - lengths)[absent], lengths[absent])] = gather(made, begin[which], lengths[absent])
+        kept = size <= self.longest
+        if keep is not None:
+            kept &= keep[absent[first]]
+        self._add(new[kept], gather(made, begin[kept], size[kept]), size[kept])
+        return out, lengths

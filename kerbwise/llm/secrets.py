@@ -30,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kerbwise.llm.columns import free
 from kerbwise.session import written
 
 # The base patterns, in the order in which kinds are listed.
@@ -42,12 +43,13 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 #: Shapes of credentials beside the base ones; group 1 is the value.
 SHAPES = (
     r"\b((?:ghp|gho|ghs|ghr|glpat|sk_live|rk_live|xox[abprs])[-_][A-Za-z0-9_-]{16,})",
-    r"\b(AIza[A-Za-z0-9_-]{35})",
+    r"\b(AIza[A-Za-z0-9_-]{35,})",
     r"\b(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})",
     r"(-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----)",
-    r"[a-z][a-z0-9+.-]{0,20}://[^\s/:@]+:([^\s/:@]{6,})@",
     r"(?<![A-Za-z0-9+/_=-])([A-Za-z0-9+/_-]{32,}={0,2})(?![A-Za-z0-9+/_=-])",
 )
+#: A password in a URL, which need not hold digits.
+URL_SHAPE = r"[A-Za-z][A-Za-z0-9+.-]{0,20}://[^\s/:@]+:([^\s/:@]{6,})@"
 MAX_OWNERS, MAX_REPOSITORIES = 2, 3
 MIN_BITS = 3.0
 
@@ -57,6 +59,7 @@ _BASE = {
     "hex": re.compile(r"[0-9a-f]{24,}"),  # the runs of at least 24
 }
 _SHAPES = [re.compile(p, re.ASCII) for p in SHAPES]
+_URL = re.compile(URL_SHAPE, re.ASCII)
 #: What a text must hold before any pattern is tried on it; one linear pass over a batch.
 _HINT = (
     r"(?:[pP][aA][sS][sS][wW]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[^\n]{0,8}? *[:=]"
@@ -80,11 +83,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def looks_live(value: str) -> bool:
-    """Random enough: digits and letters, and at least ``MIN_BITS`` bits a character."""
+def looks_live(value: str, in_url: bool = False) -> bool:
+    """Random enough: digits and letters (in a URL's password any signs), and at least ``MIN_BITS`` bits a character."""
     if value.startswith("-----BEGIN"):
         return True
-    if not (re.search(r"[0-9]", value) and re.search(r"[A-Za-z]", value)):
+    if not in_url and not (re.search(r"[0-9]", value) and re.search(r"[A-Za-z]", value)):
         return False
     counts = Counter(value).values()
     return -sum(c / len(value) * math.log2(c / len(value)) for c in counts) >= MIN_BITS
@@ -95,7 +98,10 @@ def candidates(text: str) -> list[tuple[str, int, int, bool]]:
     spans = {(m.start(2), m.end(2)) for m in _BASE["assign"].finditer(text) if len(m[2]) >= LEAST["assign"]}
     spans |= {m.span() for kind in ("access", "hex") for m in _BASE[kind].finditer(text) if len(m[0]) >= LEAST[kind]}
     spans |= {m.span(1) for pattern in _SHAPES for m in pattern.finditer(text)}
-    return [(hashlib.sha256(text[a:b].encode()).hexdigest(), a, b, looks_live(text[a:b])) for a, b in sorted(spans)]
+    in_url = {m.span(1) for m in _URL.finditer(text)}
+    return [
+        (hashlib.sha256(text[a:b].encode()).hexdigest(), a, b, looks_live(text[a:b], (a, b) in in_url)) for a, b in sorted(spans | in_url)
+    ]
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,19 +212,18 @@ def redact(docs: DataFrame, owner: Column, repository: Column, **options) -> Dat
     def mask(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([None if t is None or s is None else masked(t, s) for t, s in zip(texts, spans)], dtype=object)
 
+    doc, span_key, found, key, hidden = free(docs.columns, "id", "span_key", "found", "key", "hidden")
     spans = written(
         scan(docs, owner, repository, **options)
         .where("spans != ''")
-        .select(F.col("doc_id").alias("__span_id"), F.col("text_key").alias("__span_key"), F.col("spans").alias("__spans"))
-        .dropDuplicates(["__span_id", "__span_key"]),
+        .select(F.col("doc_id").alias(doc), F.col("text_key").alias(span_key), F.col("spans").alias(found))
+        .dropDuplicates([doc, span_key]),
         "spans",
     )
-    keyed = docs.withColumn("__key", F.xxhash64("text"))
-    joined = keyed.join(
-        spans, keyed["doc_id"].cast("long").eqNullSafe(spans["__span_id"]) & (F.col("__key") == F.col("__span_key")), "left"
-    )
-    hit = F.col("__spans").isNotNull()
-    joined = joined.withColumn("__masked", mask(F.when(hit, F.col("text")), "__spans"))
-    new = {"text": F.when(hit, F.col("__masked")).otherwise(F.col("text")).alias("text")}
-    new["n_chars"] = F.when(hit, F.length("__masked").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
-    return joined.select(*(new.get(c, F.col(c)) for c in docs.columns))
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    joined = keyed.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.col(key) == F.col(span_key)), "left")
+    hit = F.col(found).isNotNull()
+    joined = joined.withColumn(hidden, mask(F.when(hit, F.col("text")), F.col(found)))
+    new = {"text": F.when(hit, F.col(hidden)).otherwise(F.col("text")).alias("text")}
+    new["n_chars"] = F.when(hit, F.length(hidden).cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
+    return joined.select(*(new.get(c, F.col(f"`{c}`")) for c in docs.columns))

@@ -6,6 +6,10 @@ passes however its bytes are divided into documents. A word hash is 64 bits wide
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -137,3 +141,20 @@ def slices(rows: int, lengths: np.ndarray, limit: int) -> list[tuple[int, int]]:
     if rows > start:
         out.append((start, rows))
     return out
+
+
+def lean(run: Callable) -> Callable:
+    """``run`` (batches to batches), after which the worker gives freed memory back to the system.
+
+    Workers outlive their tasks and would hold it idle beside the tasks of later stages.
+    """
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return wrapped

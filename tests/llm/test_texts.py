@@ -13,12 +13,17 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from kerbwise.llm import htmltext, jaccard, licenses, linequality, mergedropout, packing, queries, secrets, words
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n long, token string, spans string, words int, part int"
+SCHEMA = (
+    "doc_id long, text string, lang string, source string, n_chars long, n long, token string, spans string, words int, part int, "
+    "key int, __key int, HOST string, `of` int, id long, removed string, rest string, found string, hidden int, span_key string, text_key int"
+)
 WORD = "[^\x20\x09-\x0D]+"
+#: Of the columns from ``key`` on, which operators have names for too.
+OTHERS = (1, 2, "h", 3, 4, "r", "s", "f", 5, "k", 6)
 
 
 def rows_of(texts, first=1):
-    return [(i, t, "en", f"src{i % 3}", len(t or ""), i, "x", "y", 3, 4) for i, t in enumerate(texts, first)]
+    return [(i, t, "en", f"src{i % 3}", len(t or ""), i, "x", "y", 3, 4, *OTHERS) for i, t in enumerate(texts, first)]
 
 
 BASE = " ".join(f"w{i}" for i in range(60))
@@ -35,7 +40,7 @@ TEXTS = [
 def docs(spark):
     queries.ship(spark)
     rows = rows_of(TEXTS)
-    rows += [rows[0], (None, BASE + " tail", None, None, None, 1, None, None, None, None), (None, None, None, None, None, 1, None, None, None, None)]
+    rows += [rows[0], (None, BASE + " tail", None, None, None, 1, *[None] * 15), (*[None] * 5, 1, *[None] * 15)]
     return spark.createDataFrame(rows, SCHEMA).repartition(4)
 
 
@@ -191,11 +196,103 @@ def test_the_agenda_and_the_common_passes_agree(monkeypatch):
     together = mergedropout.encode_rows(path, data, offsets, keys, 0.2, 3)
     mergedropout._loaded.cache_clear()
     monkeypatch.setattr(mergedropout, "_LONG", 0)
+    monkeypatch.setattr(mergedropout, "_HEAP", 0)
     alone = mergedropout.encode_rows(path, data, offsets, keys, 0.2, 3)
     mergedropout._loaded.cache_clear()
     assert (together[0] == alone[0]).all() and (together[1] == alone[1]).all()
 
 
+def scrambled(x):
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+    x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+    return x ^ x >> 31
+
+
+def brute_dropout(model, text, doc_id, rate, seed):
+    """Ids of a text by its plainest definition: of all neighbours that make a piece and are not dropped, join the best, again and again."""
+    step = 0xD6E8FEB86659FD93
+    piece = {model.id_to_piece(i): i for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))}
+    signs = [None if c == "\u2581" else c for c in (" " + text if text else "").replace(" ", "\u2582")]
+    signs = ["\u2581" if c == "\u2582" else c for c in signs]
+    units = []
+    for k, c in enumerate(signs):
+        bare, before = c is None or c not in piece, k and (signs[k - 1] is None or signs[k - 1] not in piece)
+        if not units or bare or before or (c == "\u2581" and signs[k - 1] != "\u2581"):
+            units.append([])
+        units[-1].append(c)
+    base = scrambled(doc_id ^ scrambled(seed))
+    out = []
+    for place, unit in enumerate(units):
+        if unit[0] is None or unit[0] not in piece:
+            out += [model.piece_to_id(f"<0x{b:02X}>") for b in (unit[0] or "\u2581").encode()]
+            continue
+        key = scrambled((base + place * step) % 2**64)
+        spans = [(k, k + 1) for k in range(len(unit))]
+
+        def kept(a, b, c):
+            return (scrambled(key ^ scrambled(((a * step + b) * step + c) % 2**64)) >> 11) / 2**53 >= rate
+
+        while True:
+            open_ = []
+            for k in range(len(spans) - 1):
+                (a, b), (_, c) = spans[k], spans[k + 1]
+                joined = "".join(unit[a:c])
+                if joined in piece and kept(a, b, c):
+                    open_.append((-model.get_score(piece[joined]), k))
+            if not open_:
+                break
+            _, k = min(open_)
+            spans[k:k + 2] = [(spans[k][0], spans[k + 1][1])]
+        out += [piece["".join(unit[a:b])] for a, b in spans]
+    return out
+
+
+def test_dropout_equals_its_definition():
+    import sentencepiece
+
+    path = mergedropout.model_path()
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = np.random.default_rng(8)
+    letters = list("eeettaaoinshr")
+    texts = [t for t in TEXTS if t is not None and len(t) < 3000]
+    texts += [" ".join("".join(rng.choice(letters, rng.integers(1, 90))) for _ in range(25)) for _ in range(3)]
+    texts += ["".join(rng.choice(letters, n)) for n in (64, 65, 254, 255, 256, 700)] + ["hello world " * 20]
+    for rate in (0.1, 0.5):
+        mergedropout._loaded.cache_clear()
+        for _ in range(2):  # from empty and from filled tables
+            data, offsets = words.utf8(pa.array(texts))
+            ids, ends = mergedropout.encode_rows(path, data, offsets, np.arange(len(texts)), rate, 3)
+            for i, t in enumerate(texts):
+                assert ids[ends[i]:ends[i + 1]].tolist() == brute_dropout(model, t, i, rate, 3), (i, rate)
+
+
+def test_long_units_in_reasonable_time():
+    path, text = mergedropout.model_path(), "\u65e5a" * 20_000 + "e" * 60_000
+    data, offsets = words.utf8(pa.array([text]))
+    ids, ends = mergedropout.encode_rows(path, data, offsets, np.zeros(1, np.int64))
+    back, _ = mergedropout.decode_rows(path, ids, ends)
+    assert back.tobytes().decode() == text
+
+
+def test_keyed_rows_are_bounded_and_right():
+    from kerbwise.llm.ragged import KeyedRows
+
+    rng = np.random.default_rng(2)
+    row = lambda key: [int(key) % 1000] * (int(key) % 90)
+    held = KeyedRows(max_bytes=1 << 16, longest=40)
+    for _ in range(60):
+        keys = words.mixed(rng.integers(0, 3000, 400).astype(np.uint64))
+
+        def make(first):
+            made = [row(k) for k in keys[first]]
+            return np.array([x for r in made for x in r], np.uint32), np.array(list(map(len, made)))
+
+        values, lengths = held.rows(keys, make, keys % np.uint64(3) > 0)
+        assert values.tolist() == [x for k in keys for x in row(k)] and lengths.tolist() == [len(row(k)) for k in keys]
+        assert 20 * len(held.keys) + 4 * len(held.values) <= 1.1 * (1 << 16)
+    assert held.held and held.lengths.max() <= 40
+
+
 def test_a_word_varies_from_place_to_place(monkeypatch):
     path, rows, rate = mergedropout.model_path(), 3000, 0.1
 
@@ -242,6 +339,46 @@ def test_secret_scan(docs):
             assert set(filter(None, joined.split(","))) <= set(r.spans.split(","))
 
 
+def brute_live(rows):
+    """Live spans by row: candidates that are random enough and that at most 2 owners and 3 repositories of the whole table hold."""
+    owners, repositories, candidates = collections.defaultdict(set), collections.defaultdict(set), []
+    for r in rows:
+        t = r.text or ""
+        spans = {(m.start(2), m.end(2)) for m in re.finditer(secrets.ASSIGN, t, re.IGNORECASE | re.ASCII) if len(m[2]) >= 6}
+        spans |= {m.span() for p, n in ((secrets.ACCESS, 20), (secrets.HEX, 24)) for m in re.finditer(p, t) if len(m[0]) >= n}
+        spans |= {m.span(1) for p in secrets.SHAPES for m in re.finditer(p, t, re.ASCII)}
+        urls = {m.span(1) for m in re.finditer(secrets.URL_SHAPE, t, re.ASCII)}
+        live = []
+        for a, b in spans | urls:
+            v = t[a:b]
+            owners[v].add(r.source)
+            repositories[v].add((r.source, r.lang))
+            bits = -sum(v.count(c) / len(v) * np.log2(v.count(c) / len(v)) for c in set(v))
+            mixed = (a, b) in urls or (re.search("[0-9]", v) and re.search("[A-Za-z]", v))
+            if v.startswith("-----BEGIN") or (mixed and bits >= 3):
+                live.append((a, b, v))
+        candidates.append(live)
+    return [sorted((a, b) for a, b, v in live if len(owners[v]) <= 2 and len(repositories[v]) <= 3) for live in candidates]
+
+
+def test_live_secrets_equal_brute_force(spark):
+    queries.ship(spark)
+    rng = np.random.default_rng(6)
+    draw = lambda n: "".join(rng.choice(list("abcXYZ0189efgh"), n))
+    values = ["ghp_" + draw(24) for _ in range(90)] + ["AIza" + draw(35), "AIza" + draw(60), draw(40), "0123456789abcdef" * 2, "a" * 40]
+    shapes = ["key {}", "token = '{}'", "HTTPS://user:{}@host/p", "ftp://u:{}@h", "{}\n-----BEGIN RSA PRIVATE KEY-----"]
+    texts = [" and ".join(shapes[rng.integers(5)].format(values[int(len(values) * rng.random() ** 3)]) for _ in range(rng.integers(0, 4))) for _ in range(150)]
+    texts += ["HTTPS://user:quick-brown-fox@h/", "http://user:password@h/", None, ""]
+    rows = [(i, t, f"l{rng.integers(3)}", f"o{rng.integers(5)}" if i % 13 else None, 1, 1, *[None] * 15) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    want = dict(zip((r[0] for r in rows), brute_live([r for r in sorted(df.collect(), key=lambda r: r.doc_id)])))
+    got = secrets.scan(df, F.coalesce("source", F.lit("none")), F.concat_ws("/", F.coalesce("source", F.lit("none")), "lang")).collect()
+    assert sum(map(len, want.values())) > 20 and want[150] and not want[151]
+    for r in got:
+        live = sorted(tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s.startswith("live:"))
+        assert live == want[r.doc_id], r.doc_id
+
+
 def test_secrets_of_many_owners_are_examples(spark):
     copied, own = "ghp_" + "aB3dE5gH7jK9mN1pQ2rS", "ghp_" + "zY8xW6vU4tS2rQ0pO1nM"
     rows = rows_of([f"key {copied} end"] * 9 + [f"key {own} end"])
@@ -305,7 +442,7 @@ def test_frequent_lines_are_removed_and_depleted_texts_rejected(spark):
     line = " ".join(f"boiler{i}" for i in range(60))
     body = lambda i: "\n".join(" ".join(f"t{i}_{j}_{k}" for k in range(30)) for j in range(4))
     texts = [f"{body(i)}\n{line.upper()}" for i in range(10)] + [f"{line}\nfew words {i}" for i in range(3)] + [body(99)] * 3
-    df = spark.createDataFrame([(i, t, "en", "host", len(t), 0, None, None, None, None) for i, t in enumerate(texts)], SCHEMA)
+    df = spark.createDataFrame([(i, t, "en", "host", len(t), 0, *[None] * 15) for i, t in enumerate(texts)], SCHEMA)
     got = {r.doc_id: r for r in linequality.judge(df, F.col("source")).collect()}
     assert [got[i].kept for i in range(16)] == [True] * 10 + [False] * 3 + [True] * 3
     cleaned = {r.doc_id: r for r in linequality.clean(df, F.col("source")).collect()}

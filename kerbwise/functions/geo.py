@@ -5,8 +5,9 @@ degrees) tiled with pointy-top hexagons in axial coordinates. A cell is one
 bigint: resolution (4 bits), q (28 bits), r (28 bits), the last two shifted to
 be positive. A fixed-width key keeps grouping and joining inside hash
 aggregation and codegen, and its order is (resolution, q, r). Each coarser
-resolution has seven times the area. The grid does not join up across the 180th
-meridian: cells on either side of it are not neighbours.
+resolution has seven times the area. At every resolution a whole number of cells goes
+around the earth (the x axis is stretched to that end, by one part in 100,000 at resolution
+8), so the grid closes at the 180th meridian: a cell there has one key, whichever side a point lies on.
 """
 
 from __future__ import annotations
@@ -35,6 +36,20 @@ def edge_km(resolution: int) -> float:
     return GRID_BASE_EDGE_KM * math.sqrt(7.0) ** (GRID_BASE_RESOLUTION - resolution)
 
 
+def cells_around(resolution: int) -> int:
+    """Number of cells in a row of the grid around the earth."""
+    return round(2.0 * math.pi * GRID_RADIUS_KM * GRID_PARALLEL_COS / (math.sqrt(3.0) * edge_km(resolution)))
+
+
+def x_scale(resolution: int) -> float:
+    """Kilometres of the grid's x axis for each radian of longitude."""
+    return cells_around(resolution) * math.sqrt(3.0) * edge_km(resolution) / (2.0 * math.pi)
+
+
+#: Kilometres of the grid's y axis for each unit of the sine of the latitude.
+Y_SCALE = GRID_RADIUS_KM / GRID_PARALLEL_COS
+
+
 def micro_degrees(degrees: Column) -> Column:
     """Whole micro-degrees. Averages over them do not depend on row order."""
     return F.rint(degrees * MICRO).cast("long")
@@ -73,6 +88,11 @@ def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     return 2.0 * EARTH_RADIUS_M * F.asin(F.sqrt(F.least(F.lit(1.0), chord)))
 
 
+def short_way(degrees: Column) -> Column:
+    """A difference of longitudes taken the short way round; within 180 it stays as it is."""
+    return F.when(degrees > 180.0, degrees - 360.0).when(degrees < -180.0, degrees + 360.0).otherwise(degrees)
+
+
 def pack_cell(resolution: int, q: Column, r: Column) -> Column:
     return (
         F.lit(resolution * AXIS_SPAN * AXIS_SPAN)
@@ -103,6 +123,18 @@ def cell_text(cell: Column) -> Column:
     )
 
 
+def _turns(q: Column, r: Column, around: Column) -> Column:
+    """What to add to ``q`` so that the cell's centre lies in [-180, 180) degrees."""
+    twice = 2 * q + r  # the centre's x in half cells
+    return F.when(twice >= around, -around).when(twice < -around, around).otherwise(F.lit(0).cast("long"))
+
+
+def canonical_cell(cell: Column) -> Column:
+    """The one key of a cell that is at most once around the earth from its place."""
+    around = F.get(F.array(*[F.lit(cells_around(i)).cast("long") for i in range(16)]), cell_resolution(cell))
+    return cell + _turns(cell_q(cell), cell_r(cell), around) * AXIS_SPAN
+
+
 def with_cell(
     df: DataFrame,
     resolution: int = GRID_BASE_RESOLUTION,
@@ -112,9 +144,9 @@ def with_cell(
 ) -> DataFrame:
     """Add the grid cell of each point; null when a coordinate is null."""
     edge = edge_km(resolution)
-    scale = GRID_RADIUS_KM * GRID_PARALLEL_COS
-    x = F.radians(F.col(lon)) * scale
-    y = F.sin(F.radians(F.col(lat))) * (GRID_RADIUS_KM / GRID_PARALLEL_COS)
+    west = F.when(F.col(lon) >= 180.0, F.col(lon) - 360.0).otherwise(F.col(lon))  # the meridian itself is one line
+    x = F.radians(west) * x_scale(resolution)
+    y = F.sin(F.radians(F.col(lat))) * Y_SCALE
     staged = (
         df.withColumn("_qf", (x * (math.sqrt(3.0) / 3.0) - y / 3.0) / edge)
         .withColumn("_rf", y * (2.0 / 3.0) / edge)
@@ -137,8 +169,10 @@ def with_cell(
     r_worst = ~q_worst & (F.col("_dr") > F.col("_ds"))
     q = F.when(q_worst, -F.col("_r") - F.col("_s")).otherwise(F.col("_q"))
     r = F.when(r_worst, -F.col("_q") - F.col("_s")).otherwise(F.col("_r"))
-    return staged.withColumn(out, pack_cell(resolution, q, r)).drop(
-        "_qf", "_rf", "_q", "_r", "_s", "_dq", "_dr", "_ds"
+    rounded = staged.withColumns({"_cell_q": q, "_cell_r": r})
+    turned = F.col("_cell_q") + _turns(F.col("_cell_q"), F.col("_cell_r"), F.lit(cells_around(resolution)).cast("long"))
+    return rounded.withColumn(out, pack_cell(resolution, turned, F.col("_cell_r"))).drop(
+        "_qf", "_rf", "_q", "_r", "_s", "_dq", "_dr", "_ds", "_cell_q", "_cell_r"
     )
 
 
@@ -150,12 +184,12 @@ def cell_centre_lat(cell: Column, resolution: int = GRID_BASE_RESOLUTION) -> Col
 
 def cell_centre_lon(cell: Column, resolution: int = GRID_BASE_RESOLUTION) -> Column:
     x = (cell_q(cell) + cell_r(cell) / 2.0) * (math.sqrt(3.0) * edge_km(resolution))
-    return F.degrees(x / (GRID_RADIUS_KM * GRID_PARALLEL_COS))
+    return F.degrees(x / x_scale(resolution))
 
 
 def ring_cells(cell: Column) -> Column:
-    """The cell and its six neighbours, as integer offsets of the packed key."""
-    return F.array(*[cell + F.lit(dq * AXIS_SPAN + dr) for dq, dr in RING_OFFSETS])
+    """The cell and its six neighbours, as integer offsets of the packed key; at the 180th meridian those on the other side."""
+    return F.array(*[canonical_cell(cell + F.lit(dq * AXIS_SPAN + dr)) for dq, dr in RING_OFFSETS])
 
 
 # --- latitude bands with longitude buckets, for distance joins ----------------

@@ -13,6 +13,7 @@ from kerbwise.functions.geo import (
     bucket_of,
     buckets_around,
     haversine_m,
+    short_way,
 )
 from kerbwise.functions.rounding import round2
 from kerbwise.operators.risk import risk_score
@@ -122,11 +123,6 @@ def hotspots_near(
     )
 
 
-def _short_way(degrees: Column) -> Column:
-    """A difference of longitudes taken the short way round; within 180 it stays as it is."""
-    return F.when(degrees > 180.0, degrees - 360.0).when(degrees < -180.0, degrees + 360.0).otherwise(degrees)
-
-
 def _flattened(roads: DataFrame) -> DataFrame:
     """Each segment in metres, in a plane that touches the earth at its middle latitude.
 
@@ -138,7 +134,7 @@ def _flattened(roads: DataFrame) -> DataFrame:
         roads.withColumn("_k", F.cos(middle) * METERS_PER_DEGREE)
         .withColumns(
             {
-                "_dx": _short_way(F.col("lon1") - F.col("lon0")) * F.col("_k"),
+                "_dx": short_way(F.col("lon1") - F.col("lon0")) * F.col("_k"),
                 "_dy": (F.col("lat1") - F.col("lat0")) * METERS_PER_DEGREE,
             }
         )
@@ -154,7 +150,7 @@ def _flattened(roads: DataFrame) -> DataFrame:
 
 def _squared_distance(lat: Column, lon: Column) -> Column:
     """Squared distance in metres from a point to a flattened segment."""
-    x = _short_way(lon - F.col("lon0")) * F.col("_k")
+    x = short_way(lon - F.col("lon0")) * F.col("_k")
     y = (lat - F.col("lat0")) * METERS_PER_DEGREE
     along = (x * F.col("_dx") + y * F.col("_dy")) * F.col("_inverse")
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))
@@ -189,7 +185,7 @@ def _segment_buckets(roads: DataFrame, max_distance_m: float, step_m: float) ->
         .withColumns(
             {
                 "_lat": F.col("lat0") + (F.col("lat1") - F.col("lat0")) * share,
-                "_lon": _short_way(F.col("lon0") + _short_way(F.col("lon1") - F.col("lon0")) * share),
+                "_lon": short_way(F.col("lon0") + short_way(F.col("lon1") - F.col("lon0")) * share),
             }
         )
         .withColumn(

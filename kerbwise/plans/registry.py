@@ -17,13 +17,16 @@ from kerbwise.functions.rules import risk_level, trip_advice
 from kerbwise.learning import encoding, evaluation, models, scoring
 from kerbwise.learning import features as feat
 from kerbwise.operators import (
-    filters, quality, radius, reports, risk, spatial, summary, temporal,
+    buffered, filters, network, overlay, quality, radius, reports, risk, spatial, summary, temporal,
 )
 from kerbwise.plans.analysis import refresh_hotspot_table, run_complete_analysis
 from kerbwise.plans.ingest import ingest_csv
+from kerbwise.plans.views import register_views
+from kerbwise.schema import INCIDENT_CSV
 from kerbwise.session import new_path, written
 from kerbwise.sources import files, synthetic
 from kerbwise.sources import warehouse as wh
+from kerbwise.sources.facts import FactStore
 from kerbwise.sources.results import ResultStore, flatten_points
 from kerbwise.streaming import jobs
 from kerbwise.streaming import sources as streams
@@ -41,6 +44,9 @@ VEHICLES = ["Car", "Truck", "Bus"]
 CITY = "NATION_7"
 KNOWN_REGIONS = ["AFRICA", "AMERICA", "EUROPE"]
 LATENESS = "1 day"
+APPEND_UNTIL = dt.date(1999, 6, 30)
+ROAD_SNAP_M, NETWORK_REACH_M = 2000.0, 10_000.0
+REPORT_LAG_DAYS, REPORT_BOUND = 30, dt.timedelta(days=10)
 LABEL_COLUMNS = ["city", "state", "vehicle_type", "road_type", "weather", "season"]
 SCALED = ["latitude", "longitude", "hour", "day_of_week", "month", "severity", "casualties"]
 
@@ -103,6 +109,25 @@ def csv_quarantine(spark, sf_dir):
     )
 
 
+@query
+def append_ingest(spark, sf_dir):
+    """Two batches of reports, by date of report, appended to one fact: where the rows of each id went."""
+    store = FactStore(spark, new_path(spark, "fact-store"), buckets=32)
+    reports = written(wh.incident_reports(spark, sf_dir), "reports")
+    early = F.col("reported_at") <= F.lit(APPEND_UNTIL)
+    for part in (early, ~early):
+        raw = new_path(spark, "append-raw")
+        files.write_incident_csv(reports.where(part), raw)
+        store.append_csv(raw)
+    facts = store.facts().select(
+        "accident_id", "batch", F.lit("fact").alias("target"), F.lit("").alias("reason"), F.lit(1).cast("long").alias("copies")
+    )
+    rejected = store.quarantine().select(
+        "accident_id", "batch", F.lit("quarantine").alias("target"), _joined("reasons").alias("reason"), "copies"
+    )
+    return facts.unionByName(rejected).groupBy("accident_id", "batch", "target", "reason").agg(F.sum("copies").alias("row_count"))
+
+
 @query
 def csv_roundtrip(spark, sf_dir):
     path = new_path(spark, "incident-csv")
@@ -139,6 +164,18 @@ def results_roundtrip(spark, sf_dir):
     return out
 
 
+@query
+def results_refresh(spark, sf_dir):
+    """A result table as a reader loaded it before a refresh, and as it is after it."""
+    facts = stored_incidents(spark, sf_dir)
+    store = ResultStore(spark, new_path(spark, "published"))
+    store.save(risk.road_risk_scores(facts.where("severity < 3")), "road_risk_scores")
+    before = store.load("road_risk_scores")
+    store.save(risk.road_risk_scores(facts), "road_risk_scores")
+    after = store.load("road_risk_scores")
+    return before.withColumn("version", F.lit("before")).unionByName(after.withColumn("version", F.lit("after")))
+
+
 @query
 def hotspot_refresh(spark, sf_dir):
     store = ResultStore(spark, new_path(spark, "hotspot-table"))
@@ -203,6 +240,14 @@ def export_csv(spark, sf_dir):
     return files.read_incident_csv(spark, path)
 
 
+@query
+def export_json(spark, sf_dir):
+    path = new_path(spark, "export-json")
+    chosen = filters.filter_incidents(wh.incidents(spark, sf_dir).drop("cell"), date_range=DATES, severities=SEVERITIES)
+    files.export_json(chosen, path)
+    return spark.read.schema(INCIDENT_CSV).json(path)
+
+
 @query
 def source_manifest(spark, sf_dir):
     names = ["region", "nation", "customer", "supplier", "orders", "lineitem", "events"]
@@ -395,6 +440,38 @@ def road_segment_risk(spark, sf_dir):
     )
 
 
+@query
+def sql_within_radius(spark, sf_dir):
+    """The radius search as a table function of SQL."""
+    register_views(spark, wh.incidents(spark, sf_dir))
+    lat, lon, reach = RADIUS_CENTER
+    return spark.sql(f"SELECT * FROM accidents_within_radius({lat}, {lon}, {reach})")
+
+
+@query
+def road_cells(spark, sf_dir):
+    return overlay.road_cells(wh.roads(spark, sf_dir)).withColumn("length_m", F.round("length_m", 3))
+
+
+@query
+def road_cell_risk(spark, sf_dir):
+    return overlay.cell_road_risk(wh.incidents(spark, sf_dir), wh.roads(spark, sf_dir))
+
+
+@query
+def road_network_risk(spark, sf_dir):
+    found = network.network_risk(
+        wh.incidents(spark, sf_dir), wh.roads(spark, sf_dir), ROAD_SNAP_M, NETWORK_REACH_M, ROAD_DISTANCE_M
+    )
+    return found.withColumn("network_risk", F.round("network_risk", 6))
+
+
+@query
+def buffered_hotspots(spark, sf_dir):
+    found = buffered.buffered_hotspots(wh.incidents(spark, sf_dir))
+    return found.withColumns({c: F.round(c, 9) for c in ("center_lat", "center_lon")})
+
+
 @query
 def unseen_categories(spark, sf_dir):
     columns = ["city", "vehicle_type", "road_type", "weather"]
@@ -630,6 +707,20 @@ def stream_dedupe(spark, sf_dir):
     return spark.read.parquet(out).select("accident_id", "city", "severity")
 
 
+@query
+def stream_timely(spark, sf_dir):
+    """Reports that arrive some days after their date, a year's arrivals in each batch: first copies and late rows."""
+    folder = new_path(spark, "arrivals")
+    lines = wh.table(spark, sf_dir, "lineitem")
+    arrived = F.year(F.date_add(F.to_date("l_shipdate"), (F.col("l_partkey") % REPORT_LAG_DAYS).cast("int")))
+    for row in lines.select(arrived.alias("year")).distinct().orderBy("year").collect():
+        lines.where(arrived == row["year"]).repartition(1).write.mode("append").parquet(folder)
+    rows = streams.report_stream(spark, sf_dir, folder, files_per_batch=1).select("accident_id", streams.EVENT_TIME, "report_line")
+    store = _drain(spark, lambda o, c: jobs.deduplicate_timely(rows, o, c, REPORT_BOUND), "timely")
+    parts = [spark.read.parquet(f"{store}/{t}").select("accident_id", "report_line", F.lit(t).alias("target")) for t in ("first", "late")]
+    return parts[0].unionByName(parts[1])
+
+
 @query
 def stream_hotspots(spark, sf_dir):
     rows = streams.event_stream(spark, sf_dir)

@@ -1,11 +1,19 @@
-"""Result tables: replaced as a whole by each run, read back with their fixed schema."""
+"""Result tables: replaced as a whole by each run, read back with their fixed schema.
+
+A run writes its rows into a folder of its own and then adds one small row that names the folder. Readers follow
+the newest such row, so during a refresh they see the old table or the new one, and a table that they have loaded stays
+there until :meth:`ResultStore.retire` removes runs that were replaced longer ago than its grace period.
+"""
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from kerbwise.functions.geo import point_wkt
@@ -22,6 +30,19 @@ def flatten_points(df: DataFrame) -> DataFrame:
     ).drop("cluster_center")
 
 
+PUBLISHED = "run string, at timestamp"
+
+
+def stored(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """A stored table, or an empty one if nothing has been stored."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 @dataclass(frozen=True)
 class ResultStore:
     """Parquet result tables under one folder."""
@@ -29,23 +50,47 @@ class ResultStore:
     spark: SparkSession
     folder: str
 
+    def _runs(self, name: str) -> list:
+        """Published runs of a table, the newest first: one small row for each time it was replaced."""
+        rows = stored(self.spark, f"{self.folder}/{name}/published", PUBLISHED).collect()
+        return sorted(rows, key=lambda r: (r["at"], r["run"]), reverse=True)
+
     def save(self, df: DataFrame, name: str) -> None:
-        flatten_points(df).write.mode("overwrite").parquet(f"{self.folder}/{name}")
+        run = uuid.uuid4().hex
+        flatten_points(df).write.parquet(f"{self.folder}/{name}/run={run}")
+        row = self.spark.range(1).coalesce(1).select(F.lit(run).alias("run"), F.current_timestamp().alias("at"))
+        row.write.mode("append").parquet(f"{self.folder}/{name}/published")
 
     def load(self, name: str) -> DataFrame:
-        """The stored table, or an empty one with the same columns if there is none."""
+        """The newest published table, or an empty one with the same columns if there is none."""
         schema = RESULT_TABLES.get(name)
-        reader = self.spark.read.schema(schema) if schema else self.spark.read
-        try:
-            return reader.parquet(f"{self.folder}/{name}")
-        except AnalysisException as error:
-            if schema is None or error.getCondition() != "PATH_NOT_FOUND":
-                raise
+        runs = self._runs(name)
+        if not runs and schema is None:
+            raise ValueError(f"no table {name} below {self.folder}")
+        if not runs:
             return self.spark.createDataFrame([], schema)
+        reader = self.spark.read.schema(schema) if schema else self.spark.read
+        return reader.parquet(f"{self.folder}/{name}/run={runs[0]['run']}")
 
     def load_all(self) -> dict[str, DataFrame]:
         return {name: self.load(name) for name in RESULT_TABLES}
 
+    def retire(self, name: str, grace: dt.timedelta) -> int:
+        """Remove the runs of a table that another replaced more than ``grace`` ago; returns how many.
+
+        Readers that loaded such a run before then must have ended.
+        """
+        runs = self._runs(name)
+        now = self.spark.range(1).select(F.current_timestamp()).first()[0]
+        old = [runs[i]["run"] for i in range(1, len(runs)) if now - runs[i - 1]["at"] > grace]
+        return sum(_removed(self.spark, f"{self.folder}/{name}/run={run}") for run in old)
+
+
+def _removed(spark: SparkSession, folder: str) -> bool:
+    """Remove a folder of the file system its path names; False if it is not there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
 
 def save_jdbc(df: DataFrame, url: str, table: str, connections: int = 8, **properties: str) -> None:
     """Replace a database table over a few parallel connections; nothing passes the driver.

@@ -8,17 +8,19 @@ running on the given interval.
 
 from __future__ import annotations
 
+import datetime as dt
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from kerbwise import fixed
 from kerbwise.functions.geo import MICRO, micro_degrees, point
 from kerbwise.operators.filters import located
 from kerbwise.operators.quality import incident_defaults, parsed, with_reasons
+from kerbwise.session import written
+from kerbwise.sources.results import stored
 from kerbwise.streaming.sources import EVENT_TIME
 
 PARTIAL_KEYS = ["cell", "city", "state"]
@@ -94,6 +96,47 @@ def write_deduplicated(
     return _start(writer, checkpoint, once, every)
 
 
+FINISHED = "number long, newest long"
+
+
+def deduplicate_timely(
+    rows: DataFrame, store: str, checkpoint: str, bound: dt.timedelta, key: str = "accident_id",
+    once: bool = True, every: str = "1 minute",
+) -> StreamingQuery:
+    """First copy of each id into ``store/first``, rows that come too late into ``store/late``.
+
+    The mark of a batch is the newest event time of the batches before it, less ``bound``. A row before the
+    mark is late, and so is one without id or event time. Of the other rows of an id the earliest is the first copy, unless
+    the id left an earlier batch with an event time at or after the mark. What has left before the mark is no longer state: neither its
+    rows nor the folders of batches that end before it are read, so the state is that of one bound, however long
+    the stream runs. Each batch writes folders of its own, so a batch that is run again changes nothing.
+    """
+
+    def write_batch(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        finished = [r for r in stored(spark, f"{store}/finished", FINISHED).collect() if r["number"] < number]  # one row a batch
+        newest = max((r["newest"] for r in finished if r["newest"] is not None), default=None)
+        timely = F.col(key).isNotNull() & F.col(EVENT_TIME).isNotNull()
+        if newest is not None:
+            mark = newest - bound // dt.timedelta(microseconds=1)
+            timely &= F.col(EVENT_TIME) >= F.timestamp_micros(F.lit(mark))
+        held = written(batch.withColumn("_timely", F.coalesce(timely, F.lit(False))), "timely")
+        columns = batch.columns
+        row = F.struct(F.col(EVENT_TIME).alias("_at"), *[F.col(c) for c in columns])
+        first = held.where("_timely").groupBy(key).agg(F.min(row).alias("_row")).select(*[F.col("_row")[c].alias(c) for c in columns])
+        if newest is not None:
+            open_ = [r["number"] for r in finished if r["newest"] is not None and r["newest"] >= mark]
+            state = spark.read.schema(first.schema).parquet(*[f"{store}/first/number={i}" for i in open_])
+            state = state.where(F.col(EVENT_TIME) >= F.timestamp_micros(F.lit(mark))).select(key)
+            first = first.join(state, key, "left_anti")
+        first.select(*columns).write.mode("overwrite").parquet(f"{store}/first/number={number}")
+        held.where(~F.col("_timely")).drop("_timely").write.mode("overwrite").parquet(f"{store}/late/number={number}")
+        seen = held.agg(F.unix_micros(F.max(EVENT_TIME)).alias("newest")).coalesce(1)
+        seen.write.mode("overwrite").parquet(f"{store}/finished/number={number}")
+
+    return _start(parsed(rows).writeStream.foreachBatch(write_batch), checkpoint, once, every)
+
+
 def hotspot_partials(rows: DataFrame) -> DataFrame:
     """Mergeable sums of each (cell, city, state)."""
     lat, lon = F.col("latitude"), F.col("longitude")
@@ -145,20 +188,10 @@ def refresh_hotspots(
     return _start(parsed(rows).writeStream.foreachBatch(write_batch), checkpoint, once, every)
 
 
-def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A stored table, or an empty one if nothing has been stored."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
-
-
 def _claim(spark: SparkSession, store: str, checkpoint: str) -> None:
     """Note the id of the checkpoint's query as the owner of the store; another owner is an error."""
     query = spark.read.schema("id string").json(f"{checkpoint}/metadata").first()["id"]
-    owners = [row["id"] for row in _stored(spark, f"{store}/owner", "id string").collect()]
+    owners = [row["id"] for row in stored(spark, f"{store}/owner", "id string").collect()]
     if not owners:
         spark.range(1).select(F.lit(query).alias("id")).write.parquet(f"{store}/owner")
     elif owners != [query]:
@@ -166,12 +199,12 @@ def _claim(spark: SparkSession, store: str, checkpoint: str) -> None:
 
 
 def _deltas(spark: SparkSession, store: str) -> DataFrame:
-    return _stored(spark, f"{store}/delta", f"{PARTIAL_SCHEMA}, batch long")
+    return stored(spark, f"{store}/delta", f"{PARTIAL_SCHEMA}, batch long")
 
 
 def _merged_up_to(spark: SparkSession, store: str) -> int:
     """Last batch of the newest finished base, -1 without one."""
-    newest = _stored(spark, f"{store}/finished", "upto long").agg(F.max("upto")).first()[0]
+    newest = stored(spark, f"{store}/finished", "upto long").agg(F.max("upto")).first()[0]
     return -1 if newest is None else newest
 
 

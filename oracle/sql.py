@@ -6,6 +6,8 @@ as the Spark sources, spelled out as common table expressions.
 
 from __future__ import annotations
 
+import math
+
 from kerbwise import fixed
 from kerbwise.functions import geo
 from kerbwise.plans import registry as reg
@@ -13,7 +15,8 @@ from kerbwise.sources import synthetic
 
 RES = geo.GRID_BASE_RESOLUTION
 EDGE = geo.edge_km(RES)
-KX = geo.GRID_RADIUS_KM * geo.GRID_PARALLEL_COS
+AROUND = round(2.0 * math.pi * geo.GRID_RADIUS_KM * geo.GRID_PARALLEL_COS / (3.0**0.5 * EDGE))
+KX = AROUND * 3.0**0.5 * EDGE / (2.0 * math.pi)
 KY = geo.GRID_RADIUS_KM / geo.GRID_PARALLEL_COS
 SPAN, SHIFT = geo.AXIS_SPAN, geo.AXIS_SHIFT
 
@@ -245,6 +248,96 @@ half AS (
   UNION ALL SELECT road_id, (lat0 + lat1) / 2, (lon0 + lon1) / 2, lat1, lon1 FROM road)"""
 
 
+#: Roads cut where one of the grid's three families of lines is crossed.
+ROAD_CELLS = f"""
+plane AS (
+  SELECT road_id, {haversine('lat0', 'lon0', 'lat1', 'lon1')} AS whole, radians(lon0) * {num(KX)} AS x0, radians(lon1) * {num(KX)} AS x1,
+    sin(radians(lat0)) * {num(KY)} AS y0, sin(radians(lat1)) * {num(KY)} AS y1 FROM road),
+family AS (
+  SELECT road_id, kx * x0 + ky * y0 AS a, kx * x1 + ky * y1 AS b FROM plane,
+    (VALUES ({num(2 * 3**-0.5 / EDGE)}, 0.0::DOUBLE), ({num(3**-0.5 / EDGE)}, {num(1 / EDGE)}), ({num(3**-0.5 / EDGE)}, {num(-1 / EDGE)})) k(kx, ky)),
+cuts AS (
+  SELECT road_id, (m - a) / (b - a) AS t FROM (
+    SELECT road_id, a, b, unnest(range(ceil(least(a, b))::BIGINT, floor(greatest(a, b))::BIGINT + 1)) AS m FROM family WHERE a <> b)
+  UNION SELECT road_id, 0.0::DOUBLE FROM plane UNION SELECT road_id, 1.0::DOUBLE FROM plane),
+pieces AS (SELECT road_id, t AS t0, lead(t) OVER (PARTITION BY road_id ORDER BY t) AS t1 FROM cuts WHERE t BETWEEN 0 AND 1),
+middle AS (
+  SELECT road_id, whole * (t1 - t0) AS length_m, degrees((x0 + (x1 - x0) * (t0 + t1) / 2) / {num(KX)}) AS longitude,
+    degrees(asin((y0 + (y1 - y0) * (t0 + t1) / 2) / {num(KY)})) AS latitude
+  FROM pieces JOIN plane USING (road_id) WHERE t1 IS NOT NULL),
+{cells('middle')},
+road_cells AS (SELECT road_id, cell, sum(length_m) AS length_m FROM middle_c GROUP BY road_id, cell)"""
+
+
+def _node(lat: str, lon: str) -> str:
+    around = round(360.0 * geo.METERS_PER_DEGREE / reg.ROAD_SNAP_M)
+    step = num(360.0 / around)
+    return f"(floor(({lat} + 90.0::DOUBLE) / {step} + 0.5::DOUBLE)::BIGINT << 32) + floor(({lon} + 180.0::DOUBLE) / {step} + 0.5::DOUBLE)::BIGINT % {around}"
+
+
+#: Every walk within reach along the roads, and the shortest for each pair of nodes.
+NETWORK = f"""
+by_road AS (SELECT road_id, count(*) AS accident_count, sum(severity)::BIGINT AS weight FROM best GROUP BY road_id),
+graph AS (
+  SELECT road_id, {_node('lat0', 'lon0')} AS u, {_node('lat1', 'lon1')} AS v, {haversine('lat0', 'lon0', 'lat1', 'lon1')} AS len,
+    coalesce(accident_count, 0) AS accident_count, coalesce(weight, 0) AS weight
+  FROM road LEFT JOIN by_road USING (road_id)),
+ways AS (
+  SELECT u, v, min(len) AS len FROM (SELECT u, v, len FROM graph UNION ALL SELECT v, u, len FROM graph) WHERE u <> v GROUP BY u, v),
+ends AS (
+  SELECT road_id, accident_count, weight, u AS node FROM graph UNION ALL SELECT road_id, accident_count, weight, v FROM graph),
+weights AS (SELECT node, sum(weight) / 2.0::DOUBLE AS w FROM ends WHERE weight > 0 GROUP BY node),
+walks AS (
+  SELECT node AS source, node, 0.0::DOUBLE AS d FROM weights
+  UNION
+  SELECT source, ways.v, d + len FROM walks JOIN ways ON ways.u = walks.node WHERE d + len <= {reg.NETWORK_REACH_M}),
+shortest AS (SELECT source, node, min(d) AS d FROM walks GROUP BY source, node),
+received AS (
+  SELECT s.node, sum(w * (1.0::DOUBLE - d / {num(reg.NETWORK_REACH_M)})) AS got, count(*) AS sources
+  FROM shortest s JOIN weights ON weights.node = s.source GROUP BY s.node)"""
+
+#: Density clusters over sites, by all pairs of sites.
+BUFFERED = f"""
+at_site AS (
+  SELECT *, floor((latitude + 90.0::DOUBLE) * 10000 + 0.5::DOUBLE)::BIGINT * 3600000
+    + floor((longitude + 180.0::DOUBLE) * 10000 + 0.5::DOUBLE)::BIGINT % 3600000 AS site FROM inc),
+site AS (
+  SELECT site, count(*) AS n, site // 3600000 / 10000.0::DOUBLE - 90.0::DOUBLE AS slat, site % 3600000 / 10000.0::DOUBLE - 180.0::DOUBLE AS slon
+  FROM at_site GROUP BY site),
+close AS MATERIALIZED (
+  SELECT * FROM (SELECT a.site AS a, b.site AS b, b.n, {haversine('a.slat', 'a.slon', 'b.slat', 'b.slon')} AS d
+    FROM site a JOIN site b ON abs(a.slat - b.slat) < 0.01 AND abs(a.slon - b.slon) < 0.01) WHERE d <= 500),
+core AS MATERIALIZED (SELECT a AS site FROM close GROUP BY a HAVING sum(n) >= 5),
+linked AS MATERIALIZED (SELECT a, b FROM close WHERE a IN (SELECT site FROM core) AND b IN (SELECT site FROM core)),
+reached AS (SELECT site AS a, site AS b FROM core UNION SELECT reached.a, linked.b FROM reached JOIN linked ON linked.a = reached.b),
+named AS (SELECT a AS site, min(b) AS hotspot FROM reached GROUP BY a),
+member AS (
+  SELECT site, hotspot, true AS is_core FROM named
+  UNION ALL
+  SELECT a, hotspot, false FROM (
+    SELECT a, hotspot, row_number() OVER (PARTITION BY a ORDER BY d, hotspot) AS rn FROM close JOIN named ON named.site = b
+    WHERE a NOT IN (SELECT site FROM core)) WHERE rn = 1)"""
+
+#: First copies by batch of arrival: the mark, what is late, and the ids that are still remembered.
+TIMELY = f"""
+arrival AS (
+  SELECT accident_id, l_linenumber AS report_line, l_shipdate AS shipped,
+    dense_rank() OVER (ORDER BY year(l_shipdate::DATE + (l_partkey % {reg.REPORT_LAG_DAYS})::INTEGER)) AS batch
+  FROM raw JOIN lineitem ON l_orderkey = event_id),
+marks AS (
+  SELECT batch, max(max(shipped)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+    - INTERVAL {reg.REPORT_BOUND.days} DAY AS mark FROM arrival GROUP BY batch),
+judged AS (SELECT a.*, mark, coalesce(shipped < mark, false) AS late FROM arrival a JOIN marks USING (batch)),
+offered AS (
+  SELECT *, row_number() OVER (PARTITION BY accident_id ORDER BY batch) AS k FROM (
+    SELECT *, row_number() OVER (PARTITION BY accident_id, batch ORDER BY shipped, report_line) AS rn FROM judged WHERE NOT late) WHERE rn = 1),
+steps AS (
+  SELECT accident_id, report_line, k, true AS leaves, shipped AS since FROM offered WHERE k = 1
+  UNION ALL
+  SELECT o.accident_id, o.report_line, o.k, s.since < o.mark, CASE WHEN s.since < o.mark THEN o.shipped ELSE s.since END
+  FROM steps s JOIN offered o ON o.accident_id = s.accident_id AND o.k = s.k + 1)"""
+
+
 def advice_list(items: list[tuple[str, str]], separator: str, default: str | None = None) -> str:
     parts = ", ".join(f"CASE WHEN {cond} THEN {text} END" for cond, text in items)
     joined = f"concat_ws('{separator}', {parts})"
@@ -465,6 +558,11 @@ UNION ALL SELECT 'grid_hotspots', count(*) FROM (SELECT 1 FROM inc
 UNION ALL SELECT 'analysis_summary', 1 + count(DISTINCT city) FROM inc""",
         CLUSTERS, RISK,
     )
+    scored = "SELECT city, road_type, vehicle_type, weather, accident_count, avg_severity, total_fatalities, risk_score"
+    out["results_refresh"] = fact(
+        f"{scored}, 'after' AS version FROM risk UNION ALL {scored}, 'before' FROM mild",
+        RISK, RISK.replace("risk AS", "mild AS", 1).replace("FROM inc", "FROM inc WHERE severity < 3"),
+    )
     out["synthetic_incidents"] = synthetic_sql()
     out["city_state_lookup"] = fact(
         "SELECT accident_id, city, "
@@ -493,6 +591,7 @@ FROM road"""
     severities = f"severity_label IN ({quoted(reg.SEVERITIES)})"
     vehicles = f"vehicle_type IN ({quoted(reg.VEHICLES)})"
     out["export_csv"] = fact(f"SELECT {COLUMNS} FROM inc WHERE {dates} AND {severities}")
+    out["export_json"] = out["export_csv"]
     out["source_manifest"] = " UNION ALL ".join(
         f"SELECT '{t}' AS dataset, CAST(1 AS BIGINT) AS files, count(*) AS rows FROM {t}"
         for t in ("region", "nation", "customer", "supplier", "orders", "lineitem", "events")
@@ -510,6 +609,18 @@ UNION ALL SELECT 'quarantine', 'accident_id_duplicate', count(*) - count(DISTINC
   WHERE reason = '' HAVING count(*) > count(DISTINCT accident_id)""",
         reports, f"checked AS (SELECT accident_id, {VIOLATIONS} AS reason FROM rep)",
     )
+    out["append_ingest"] = fact(
+        """SELECT accident_id, batch, 'fact' AS target, '' AS reason, 1::BIGINT AS row_count FROM entered
+UNION ALL SELECT accident_id, batch, 'quarantine', reason, count(*) FROM checked WHERE reason <> '' GROUP BY accident_id, batch, reason
+UNION ALL SELECT accident_id, s.batch, 'quarantine',
+  CASE WHEN s.batch = e.batch THEN 'accident_id_duplicate' ELSE 'accident_id_known' END, CASE WHEN s.batch = e.batch THEN n - 1 ELSE n END
+  FROM sound s JOIN entered e USING (accident_id) WHERE s.batch <> e.batch OR n > 1""",
+        reports,
+        f"checked AS (SELECT accident_id, {VIOLATIONS} AS reason, "
+        f"CASE WHEN reported_at <= DATE '{reg.APPEND_UNTIL}' THEN 1::BIGINT ELSE 2 END AS batch FROM rep)",
+        "sound AS (SELECT accident_id, batch, count(*) AS n FROM checked WHERE reason = '' GROUP BY accident_id, batch)",
+        "entered AS (SELECT accident_id, min(batch) AS batch FROM sound GROUP BY accident_id)",
+    )
     out["csv_quarantine"] = fact(
         f"""SELECT accident_id, CASE WHEN severity = 3 OR {VIOLATIONS} <> '' THEN 'quarantine' ELSE 'fact' END AS target,
   CASE WHEN severity = 3 THEN 'unparsable' ELSE {VIOLATIONS} END AS reason FROM inc"""
@@ -749,6 +860,7 @@ JOIN by_vehicle USING (vehicle_type)""",
     out["within_radius"] = fact(
         f"SELECT accident_id, city, severity, {round2(away)} AS distance_meters FROM inc WHERE {away} <= {reach}"
     )
+    out["sql_within_radius"] = out["within_radius"]
     out["radius_join"] = fact(
         f"""SELECT road_id, count(*) AS accident_count, {AVG_SEV} AS avg_severity,
   count(*) FILTER (WHERE severity = 3) AS fatal_accidents, {round2('min(d)')} AS nearest_meters
@@ -779,6 +891,27 @@ WHERE d <= {fixed.REQUEST_RADIUS_KM * 1000.0}""",
 FROM best GROUP BY road_id""",
         ROADS, segment_distance(),
     )
+    out["road_cells"] = f"WITH {ROADS}, {ROAD_CELLS} SELECT road_id, cell, round(length_m, 3) AS length_m FROM road_cells"
+    out["road_cell_risk"] = fact(
+        f"""SELECT cell, road_km, roads, coalesce(n, 0) AS accident_count, avg_severity,
+  round(coalesce(n, 0) / nullif(road_km, 0), 6) AS accidents_per_km
+FROM (SELECT cell, round(sum(length_m) / 1000.0::DOUBLE, 6) AS road_km, count(*) AS roads FROM road_cells GROUP BY cell)
+LEFT JOIN (SELECT cell, count(*) AS n, {AVG_SEV} AS avg_severity FROM inc GROUP BY cell) USING (cell)""",
+        ROADS, ROAD_CELLS,
+    )
+    out["road_network_risk"] = fact(
+        """SELECT road_id, accident_count, weight, round(sum(coalesce(got, 0.0::DOUBLE)) / 2.0::DOUBLE, 6) AS network_risk,
+  max(coalesce(sources, 0)) AS nodes_in_reach
+FROM ends LEFT JOIN received USING (node) GROUP BY road_id, accident_count, weight""",
+        ROADS, segment_distance(), NETWORK,
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+    out["buffered_hotspots"] = fact(
+        f"""SELECT hotspot, count(DISTINCT site) AS sites, count(DISTINCT site) FILTER (WHERE is_core) AS core_sites,
+  count(*) AS accident_count, {AVG_SEV} AS avg_severity, count(*) FILTER (WHERE severity = 3) AS fatal_accidents,
+  round({AVG_LAT}, 9) AS center_lat, round({AVG_LON}, 9) AS center_lon
+FROM at_site JOIN member USING (site) GROUP BY hotspot""",
+        BUFFERED,
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
     out["unseen_categories"] = fact(
         " UNION ALL ".join(
             f"SELECT '{c}' AS feature, coalesce({c}, 'None') AS value, count(*) AS rows FROM req "
@@ -871,6 +1004,11 @@ LEFT JOIN by_vehicle USING (vehicle_type)""",
         f"SELECT accident_id, cell, {VIOLATIONS} = '' AS is_valid, {VIOLATIONS} AS reasons FROM inc"
     )
     out["stream_dedupe"] = fact("SELECT DISTINCT accident_id, city, severity FROM rep", reports)
+    out["stream_timely"] = fact(
+        """SELECT accident_id, report_line, 'first' AS target FROM steps WHERE leaves
+UNION ALL SELECT accident_id, report_line, 'late' FROM judged WHERE late""",
+        TIMELY,
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
     out["stream_hotspots"] = fact(HOTSPOT_VIEW, CLUSTERS)
     out["stream_daily_cells"] = fact(
         f"SELECT CAST(ts AS DATE) AS day, cell, count(*) AS accident_count, {AVG_SEV} AS avg_severity FROM inc "

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from kerbwise.functions import geo
-from kerbwise.operators import radius
+from kerbwise.operators import radius, spatial
 from tests.rows import make
 
 
@@ -29,9 +29,9 @@ def test_cell_parts_and_name(spark):
     assert (row.q, row.r, row.res, row.t) == (-5, 7, 8, "8:-5:7")
 
 
-def plane(lat, lon):
+def plane(lat, lon, resolution):
     return (
-        geo.GRID_RADIUS_KM * math.radians(lon) * geo.GRID_PARALLEL_COS,
+        geo.x_scale(resolution) * math.radians(lon),
         geo.GRID_RADIUS_KM * math.sin(math.radians(lat)) / geo.GRID_PARALLEL_COS,
     )
 
@@ -54,8 +54,8 @@ def test_point_is_nearest_to_its_own_centre(spark, resolution):
     )
     best = {}
     for r in ring:
-        x, y = plane(r.latitude, r.longitude)
-        cx, cy = plane(r.clat, r.clon)
+        x, y = plane(r.latitude, r.longitude, resolution)
+        cx, cy = plane(r.clat, r.clon, resolution)
         d = math.hypot(x - cx, y - cy)
         if r.near == r.cell:
             best.setdefault((r.latitude, r.longitude), [0, 9e9])[0] = d
@@ -74,6 +74,38 @@ def test_ring_is_symmetric_and_has_seven_cells(spark):
     assert back.where("b = cell").count() == 7
 
 
+@pytest.mark.parametrize("resolution", [5, 8])
+def test_the_grid_closes_at_the_180th_meridian(spark, resolution):
+    """Points on both sides of the meridian: one key a cell, neighbours on both sides, and all of it symmetric."""
+    around = geo.cells_around(resolution)
+    assert abs(geo.x_scale(resolution) / (geo.GRID_RADIUS_KM * geo.GRID_PARALLEL_COS) - 1) < 0.5 / around * 1.01
+    step = 360.0 / around
+    points = [(lat + 0.003 * k, lon) for lat in (-40.0, 0.0, 55.0) for k in range(40) for lon in (180.0, -180.0, 179.999, -179.999, 180 - step, step - 180)]
+    df = geo.with_cell(spark.createDataFrame(points, "latitude double, longitude double"), resolution)
+    cells = {(r.latitude, r.longitude): r.cell for r in df.collect()}
+    assert all(cells[a, b] == cells[a, -180.0] for a, b in cells if b == 180.0)
+    shared = sum(cells[a, 179.999] == cells[a, -179.999] for a, b in cells if b == 180.0)
+    assert 0 < shared < 120  # the meridian runs through the middle of a cell in one row, along an edge in the next
+    rings = df.select("cell").distinct().select("cell", F.explode(geo.ring_cells(F.col("cell"))).alias("n"))
+    back = rings.select("cell", "n", F.explode(geo.ring_cells(F.col("n"))).alias("b"))
+    assert back.where("b = cell").count() == 7 * len(set(cells.values())) == rings.distinct().count()
+    centres = rings.select(geo.cell_centre_lon(F.col("n"), resolution).alias("lon"), F.round(geo.cell_centre_lat(F.col("n"), resolution), 9).alias("lat"))
+    assert centres.where("lon < -180 or lon >= 180").count() == 0
+    # both sides of the meridian meet in every ring of a cell that touches it
+    ring_of = {}
+    for r in rings.collect():
+        ring_of.setdefault(r.cell, set()).add(r.n)
+    assert all(cells[a, 179.999] in ring_of[cells[a, -179.999]] for a, b in cells if b == 180.0)
+
+
+def test_density_adds_up_across_the_180th_meridian(spark):
+    rows = [(10.0, 179.9995)] * 3 + [(10.0, -179.9995)] * 4 + [(10.0, -179.99)] * 5
+    df = geo.with_cell(spark.createDataFrame(rows, "latitude double, longitude double"))
+    found = spatial.cell_density(df).collect()
+    assert sum(r.cell_density for r in found) == 12
+    assert {round(7 * r.neighbor_density) for r in found} == {12}
+
+
 def haversine(lat1, lon1, lat2, lon2):
     p1, p2 = math.radians(lat1), math.radians(lat2)
     a = (

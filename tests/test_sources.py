@@ -81,7 +81,7 @@ def test_result_tables(spark, incidents):
         assert [f.simpleString() for f in lazy.schema] == [f.simpleString() for f in RESULT_TABLES[name]]
         assert stored[name].exceptAll(lazy).count() == 0 and stored[name].count() == lazy.count() > 0
     store.save(stored["rush_hour_patterns"].limit(1), "road_risk_scores")
-    assert spark.read.parquet(f"{store.folder}/road_risk_scores").count() == 1  # replaced
+    assert store.load("road_risk_scores").count() == 1  # replaced
 
 
 def test_fact_table(spark, incidents):

@@ -1,3 +1,4 @@
+import datetime as dt
 import os
 
 import pytest
@@ -113,6 +114,32 @@ def test_late_copies_are_new_again_after_the_bound(spark, tmp_path):
     assert drain() == {"A": 2, "B": 1, "C": 1}  # long after
 
 
+def test_timely_first_copies_late_rows_and_state(spark, tmp_path):
+    folder, store, check = (str(tmp_path / p) for p in ("in", "store", "check"))
+    schema = "accident_id string, reported_at timestamp, n int"
+    numbers = iter(range(100))
+
+    def arrive(*rows):
+        spark.createDataFrame([(i, t and f"2024-01-{t}", next(numbers)) for i, t in rows], "accident_id string, t string, n int").select(
+            "accident_id", F.col("t").cast("timestamp").alias("reported_at"), "n"
+        ).coalesce(1).write.mode("append").parquet(folder)
+        jobs.deduplicate_timely(spark.readStream.schema(schema).parquet(folder), store, check, dt.timedelta(days=3)).awaitTermination()
+
+    def out(target):
+        return sorted((r.accident_id or "", r.n) for r in spark.read.parquet(f"{store}/{target}").collect())
+
+    arrive(("A", "05"), ("A", "04"), ("B", "02"), (None, "05"), ("N", None))  # no mark yet: the earliest copy of each id
+    assert out("first") == [("A", 1), ("B", 2)] and out("late") == [("", 3), ("N", 4)]
+    arrive(("B", "01"), ("B", "03"), ("A", "09"), ("C", "10"))  # mark 02: B of day 01 is late, B of day 02 is remembered
+    assert out("first") == [("A", 1), ("B", 2), ("C", 8)] and ("B", 5) in out("late")
+    arrive(("A", "08"), ("B", "07"), ("C", "12"))  # mark 07: A of day 04 and B are forgotten, C is remembered
+    assert out("first") == [("A", 1), ("A", 9), ("B", 2), ("B", 10), ("C", 8)] and len(out("late")) == 3
+    # folders that ended before the mark are no longer read
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{store}/first/number=0")
+    arrive(("B", "20"), ("C", "11"))
+    assert [x for x in out("first") if x[0] == "B"] == [("B", 10), ("B", 12)] and len(out("late")) == 3
+
+
 def test_daily_cells(spark, small, parts):
     rows = batches(spark, small, parts)
     folder = run(lambda o, c: jobs.write_daily_cells(rows, o, c, "1 day"), "daily", spark)

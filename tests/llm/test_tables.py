@@ -116,3 +116,39 @@ def test_pivot_index_against_all_pairs(spark):
                 assert by_id[row[0]].n_links <= n and (n > 0 or by_id[row[0]].component_id == row[0])
                 assert by_id[row[0]].kept == (by_id[row[0]].component_id == row[0])
     assert pivots.near_duplicates(df.where("false")).count() == 0
+
+
+def shapes(n, seed):
+    """Vectors in groups of several widths: plain, with few strong directions, and one crowded group."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for scale, shift in ((np.ones(32), 0.0), (np.exp(-np.arange(32) / 8.0), 0.3)):
+        centres = rng.standard_normal((n // 24, 32)) * scale + shift
+        own = centres[rng.integers(0, len(centres), n // 2)]
+        out.append(own + rng.standard_normal(own.shape) * scale * rng.choice([0.02, 0.1, 0.2, 0.28], (len(own), 1)))
+    out.append(centres[0] + rng.standard_normal((n // 10, 32)) * 0.05)
+    return np.concatenate(out)
+
+
+def test_pivot_index_prunes_and_finds(spark):
+    vectors = shapes(6000, 3)
+    labels = np.random.default_rng(1).integers(0, 2, len(vectors))
+    rows = [(i, v.tolist(), int(x)) for i, (v, x) in enumerate(zip(vectors, labels))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    units = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    near = (units @ units.T >= 0.93) & (labels[:, None] == labels[None, :])
+    np.fill_diagonal(near, False)
+    got = {r.vec_id: r.n_links for r in pivots.near_duplicates(df, block=512).collect()}
+    assert all(got[i] <= n for i, n in enumerate(near.sum(axis=1).tolist()))
+    assert sum(got.values()) >= 0.98 * near.sum() > 10_000
+    done = pivots.work(df, block=512).first()
+    same = (labels[:, None] == labels[None, :]).sum() - len(labels)
+    assert done.all_pairs == same // 2
+    # the links themselves are candidates; beside them a few in a hundred of all pairs
+    assert near.sum() / 2 * 0.98 <= done.cosines <= near.sum() / 2 + 0.05 * done.all_pairs and done.cosines <= done.listed
+
+
+def test_pivot_index_with_ties_and_repeated_vectors(spark):
+    rows = [(i, [float(i % 3 == k) for k in range(3)], 1) for i in range(30)] + [(90, [1.0, 1.0, 0.0], 1), (91, [1.0, 1.0, 0.0], 2)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in pivots.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {**{i: (9, i % 3) for i in range(30)}, 90: (0, 90), 91: (0, 91)}

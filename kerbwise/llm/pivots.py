@@ -67,7 +67,13 @@ def nodes(embeddings: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def reference_points(classes: DataFrame, pivots: int = PIVOTS, sample: int = SAMPLE) -> dict[int, np.ndarray]:
     """For each vector length the reference points chosen from the sample."""
-    rows = classes.select("vector", F.xxhash64("vector", "label").alias("h")).orderBy("h").limit(sample).select("vector").collect()
+    hashed = classes.select("vector", F.xxhash64("vector", "label").alias("h"))
+    n = classes.count()
+    # about twice the sample lies below this hash, so that tasks do not each send a whole sample to the driver
+    low = hashed.where(F.col("h") < -(1 << 63) + (1 << 65) * sample // n) if n > 4 * sample else hashed
+    rows = low.orderBy("h").limit(sample).select("vector").collect()
+    if len(rows) < min(n, sample):
+        rows = hashed.orderBy("h").limit(sample).select("vector").collect()
     by_length: dict[int, list] = {}
     for (vector,) in rows:
         by_length.setdefault(len(vector), []).append(vector)

@@ -28,9 +28,10 @@ HEADLINE = [
     "risk_factors", "relative_risk", "global_stats", "overview_kpis", "insights_summary", "insights",
     "city_report", "top_hotspots", "recent_scan", "filter_incidents", "dq_violations", "dq_deduplicated",
     "features", "within_radius", "radius_join", "road_match", "hotspot_requests", "label_encode",
-    "stratified_split", "standardize", "synthetic_incidents", "stream_hotspots", "severity_predictions",
+    "stratified_split", "standardize", "append_ingest", "results_refresh", "road_cell_risk", "road_network_risk",
+    "buffered_hotspots", "stream_hotspots", "stream_timely", "severity_predictions",
 ]
-SLOW = {"severity_predictions", "stream_hotspots"}  # timed once
+SLOW = {"severity_predictions", "stream_hotspots", "stream_timely", "append_ingest"}  # timed once
 
 
 def timed(run) -> float:

@@ -248,6 +248,11 @@ def test_shards_are_exact_and_complete(spark):
     assert sharding.assign(docs.where("false")).count() == 0
 
 
+def test_sharding_runs_no_python(spark, small):
+    plan = queries.op13_sharding(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Arrow|Pandas|Cartesian|NestedLoop", plan)
+
+
 def test_shuffle_is_uniform_and_repeatable(spark):
     rows = spark.range(3000).coalesce(3)
     first = {r["id"]: (r["shard"], r["slot"]) for r in sharding.shuffled(rows, 4, 1).collect()}

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from kerbwise.session import written
 
 MISSING_LABEL = "None"
-DIGEST_BUCKET_HEX = 4  # 65536 buckets
+DIGEST_LEVEL = 4  # signs of a digest that each narrowing adds: 65536 buckets
+DIGEST_SIGNS = 32
+RANKED_ROWS = 100_000  # of one stratum in the last step of a split
 
 
 def _label(column: str) -> Column:
@@ -110,41 +112,60 @@ def _order_key(key: str) -> Column:
     return F.concat(_digest(key), F.col(key).cast("string"))
 
 
-def split_points(df: DataFrame, key: str, stratum: str, fraction: float) -> DataFrame:
+def split_points(
+    df: DataFrame, key: str, stratum: str, fraction: float, most: int = RANKED_ROWS
+) -> DataFrame:
     """(stratum, cut): rows whose digest is at most ``cut`` make up ``fraction`` of the stratum.
 
-    Counts by digest bucket find the bucket that holds the boundary; only the rows
-    of that one bucket (one in 65536 of the stratum) are ranked.
+    The rows of each stratum are counted by the first signs of their digest, and only those of the bucket
+    that holds the boundary are kept, until no stratum keeps more than ``most`` rows or the whole digest
+    is used. What is left is counted by its full key, so rows that repeat one id are one row of the last
+    step. No task orders more than 65536 buckets or ``most`` keys of a stratum.
     """
-    bucket = F.conv(F.substring(_digest(key), 1, DIGEST_BUCKET_HEX), 16, 10).cast("int")
-    rows = df.select(F.col(stratum).alias("stratum"), key, bucket.alias("bucket"))
-    up_to = Window.partitionBy("stratum").orderBy("bucket")
-    everything = Window.partitionBy("stratum")
-    boundary = (
-        rows.groupBy("stratum", "bucket")
-        .agg(F.count("*").alias("n"))
-        .withColumn("up_to", F.sum("n").over(up_to))
-        .withColumn("wanted", F.floor(F.sum("n").over(everything) * F.lit(fraction)))
-        .where((F.col("wanted") > F.col("up_to") - F.col("n")) & (F.col("wanted") <= F.col("up_to")))
-        .select("stratum", "bucket", (F.col("wanted") - F.col("up_to") + F.col("n")).alias("take"))
-    )
-    in_bucket = Window.partitionBy("stratum").orderBy("cut")
+    rows = df.select(F.col(stratum).alias("stratum"), _order_key(key).alias("cut"))
+    wanted = F.floor(F.sum("n").over(Window.partitionBy("stratum")) * F.lit(fraction))
+    signs = DIGEST_LEVEL
+    counts = rows.groupBy("stratum", F.substring("cut", 1, signs).alias("prefix")).agg(F.count("*").alias("n"))
+    level = written(_holding(counts.withColumn("take", wanted), "prefix"), "boundary")
+    rows = written(_inside(rows, level, signs), "boundary-rows")
+    while signs < DIGEST_SIGNS and (level.agg(F.max("n")).first()[0] or 0) > most:
+        signs += DIGEST_LEVEL
+        counts = rows.groupBy("stratum", "take", F.substring("cut", 1, signs).alias("prefix")).agg(F.count("*").alias("n"))
+        level = written(_holding(counts, "prefix"), "boundary")
+        rows = written(_inside(rows.drop("take"), level, signs), "boundary-rows")
+    counts = rows.groupBy("stratum", "take", "cut").agg(F.count("*").alias("n"))
+    return _holding(counts, "cut").select("stratum", "cut")
+
+
+def _holding(counts: DataFrame, order: str) -> DataFrame:
+    """The group of each stratum that holds its ``take``-th row, and that row's number inside the group."""
+    up_to = F.sum("n").over(Window.partitionBy("stratum").orderBy(order))
     return (
-        rows.join(written(boundary, "boundary"), ["stratum", "bucket"])
-        .withColumn("cut", _order_key(key))
-        .withColumn("position", F.row_number().over(in_bucket))
-        .where(F.col("position") == F.col("take"))
-        .select("stratum", "cut")
+        counts.withColumn("before", up_to - F.col("n"))
+        .where((F.col("take") > F.col("before")) & (F.col("take") <= F.col("before") + F.col("n")))
+        .select("stratum", order, "n", (F.col("take") - F.col("before")).alias("take"))
     )
 
 
-def stratified_split(df: DataFrame, key: str, stratum: str, fraction: float = 0.8) -> DataFrame:
-    """Add ``is_train``: exactly floor(fraction * n) rows of each stratum, chosen by id digest."""
-    cuts = written(split_points(df, key, stratum, fraction), "cuts").withColumnRenamed(
+def _inside(rows: DataFrame, level: DataFrame, signs: int) -> DataFrame:
+    chosen = level.select(F.col("stratum").alias("_stratum"), F.col("prefix").alias("_prefix"), "take")
+    here = F.col("stratum").eqNullSafe(F.col("_stratum")) & (F.substring("cut", 1, signs) == F.col("_prefix"))
+    return rows.join(chosen, here).drop("_stratum", "_prefix")
+
+
+def stratified_split(
+    df: DataFrame, key: str, stratum: str, fraction: float = 0.8, most: int = RANKED_ROWS
+) -> DataFrame:
+    """Add ``is_train``: exactly floor(fraction * n) rows of each stratum, chosen by id digest.
+
+    Rows without a stratum are a stratum of their own. Ids are unique; rows that repeat the id at the
+    boundary go to the training side together.
+    """
+    cuts = written(split_points(df, key, stratum, fraction, most), "cuts").withColumnRenamed(
         "stratum", "_stratum"
     )
     return (
-        df.join(cuts, F.col(stratum) == F.col("_stratum"), "left")
+        df.join(cuts, F.col(stratum).eqNullSafe(F.col("_stratum")), "left")
         .withColumn("is_train", F.coalesce(_order_key(key) <= F.col("cut"), F.lit(False)))
         .drop("_stratum", "cut")
     )

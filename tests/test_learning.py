@@ -68,6 +68,27 @@ def test_split_is_exact_in_each_stratum(spark, fraction):
     assert {r.c: r.t for r in rows} == {r.c: int(r.n * fraction) for r in rows} and len(rows) == 3
 
 
+@pytest.mark.parametrize("most", [1, 40, 100_000])
+def test_split_narrows_to_the_same_rows_whatever_its_bound(spark, most, monkeypatch):
+    import hashlib
+
+    monkeypatch.setattr(encoding, "DIGEST_LEVEL", 1)  # buckets of a sixteenth: several narrowings
+    df = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, F.lit("one")).alias("c"))  # null is a stratum too
+    got = {r.id for r in encoding.stratified_split(df, "id", "c", 0.8, most).where("is_train").collect()}
+    want = set()
+    for group in ([i for i in range(3000) if i % 3], [i for i in range(3000) if i % 3 == 0]):
+        want |= set(sorted(group, key=lambda i: hashlib.md5(str(i).encode()).hexdigest())[: int(len(group) * 0.8)])
+    assert got == want
+
+
+def test_split_counts_repeated_ids_before_it_orders_them(spark):
+    df = spark.range(1000).select(F.lit(7).alias("id"), F.lit("only").alias("c")).union(spark.range(10).select("id", F.lit("few").alias("c")))
+    rows = encoding.stratified_split(df, "id", "c", 0.5, most=10).groupBy("c", "is_train").count().collect()
+    assert {(r.c, r.is_train): r["count"] for r in rows} == {("only", True): 1000, ("few", True): 5, ("few", False): 5}
+    empty = encoding.stratified_split(df.where("false"), "id", "c")
+    assert empty.count() == 0 and encoding.stratified_split(df, "id", "c", 0.0).where("is_train").count() == 0
+
+
 def test_report_of_a_fixed_table(spark):
     pairs = [(0, 0)] * 6 + [(0, 1)] * 2 + [(1, 1)] * 3 + [(1, 0)] + [(2, 0)] * 2  # class 2 is never predicted
     df = spark.createDataFrame(pairs, "label int, prediction int")

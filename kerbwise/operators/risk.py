@@ -10,6 +10,7 @@ from kerbwise.functions import calendar as cal
 from kerbwise.functions.rounding import round2
 from kerbwise.operators.totals import avg_severity, marginals, totals
 
+ROAD_KEYS = ["city", "road_type", "vehicle_type", "weather"]
 RISK_FACTORS = ["vehicle_type", "road_type", "weather"]
 
 
@@ -25,18 +26,21 @@ def risk_score() -> Column:
 
 
 def road_risk_scores(df: DataFrame, min_incidents: int = fixed.ROAD_RISK_MIN_INCIDENTS) -> DataFrame:
-    keys = ["city", "road_type", "vehicle_type", "weather"]
+    return scored_roads(totals(df, *ROAD_KEYS), min_incidents)
+
+
+def scored_roads(groups: DataFrame, min_incidents: int = fixed.ROAD_RISK_MIN_INCIDENTS) -> DataFrame:
+    """Totals by road, vehicle and weather with enough incidents, riskiest first."""
     return (
-        totals(df, *keys)
-        .where(F.col("n") >= min_incidents)
+        groups.where(F.col("n") >= min_incidents)
         .select(
-            *keys,
+            *ROAD_KEYS,
             F.col("n").alias("accident_count"),
             avg_severity().alias("avg_severity"),
             F.col("fatalities_sum").alias("total_fatalities"),
             risk_score().alias("risk_score"),
         )
-        .orderBy(F.desc("risk_score"), *keys)
+        .orderBy(F.desc("risk_score"), *ROAD_KEYS)
     )
 
 

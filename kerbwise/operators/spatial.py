@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbwise import fixed
@@ -29,9 +29,13 @@ def spatial_clusters(df: DataFrame, min_incidents: int = MIN_INCIDENTS) -> DataF
     The centroid of the collected points is the mean of their coordinates, so no
     points are collected.
     """
+    return clusters_of(cell_totals(df), min_incidents)
+
+
+def clusters_of(cells: DataFrame, min_incidents: int = MIN_INCIDENTS) -> DataFrame:
+    """Cell totals with enough incidents, with their centroid."""
     return (
-        cell_totals(df)
-        .where(F.col("accident_count") >= min_incidents)
+        cells.where(F.col("accident_count") >= min_incidents)
         .select(
             "cell", "city", "state", "accident_count", "avg_severity", "total_casualties",
             "total_fatalities", "earliest_accident", "latest_accident", "center_lat", "center_lon",
@@ -87,20 +91,28 @@ def grid_hotspots(
     df: DataFrame, cells_per_degree: int = 100, min_incidents: int = fixed.GRID_MIN_INCIDENTS
 ) -> DataFrame:
     """Busy squares of a latitude/longitude grid."""
+    squares = df.groupBy("city", *grid_square(cells_per_degree)).agg(
+        mean_degrees(F.col("latitude")).alias("center_lat"),
+        mean_degrees(F.col("longitude")).alias("center_lon"),
+        F.count("*").alias("max_nearby_accidents"),
+        F.avg("severity").alias("hotspot_severity"),
+        F.count_if(F.col("severity") == 3).alias("total_fatal_accidents"),
+    )
+    return busy_squares(squares, min_incidents)
+
+
+def grid_square(cells_per_degree: int = 100) -> list[Column]:
+    """The grid square of a row."""
+    return [
+        F.round(F.col(c) * cells_per_degree).cast("long").alias(name)
+        for c, name in (("latitude", "lat_grid"), ("longitude", "lon_grid"))
+    ]
+
+
+def busy_squares(squares: DataFrame, min_incidents: int = fixed.GRID_MIN_INCIDENTS) -> DataFrame:
+    """Square totals with enough incidents, busiest first."""
     return (
-        df.groupBy(
-            "city",
-            F.round(F.col("latitude") * cells_per_degree).cast("long").alias("lat_grid"),
-            F.round(F.col("longitude") * cells_per_degree).cast("long").alias("lon_grid"),
-        )
-        .agg(
-            mean_degrees(F.col("latitude")).alias("center_lat"),
-            mean_degrees(F.col("longitude")).alias("center_lon"),
-            F.count("*").alias("max_nearby_accidents"),
-            F.avg("severity").alias("hotspot_severity"),
-            F.count_if(F.col("severity") == 3).alias("total_fatal_accidents"),
-        )
-        .where(F.col("max_nearby_accidents") >= min_incidents)
+        squares.where(F.col("max_nearby_accidents") >= min_incidents)
         .withColumn("hotspot_intensity", F.lit(1))
         .orderBy(F.desc("max_nearby_accidents"), "city", "lat_grid", "lon_grid")
         .drop("lat_grid", "lon_grid")

@@ -36,9 +36,13 @@ def insights_summary(df: DataFrame) -> DataFrame:
     in the union, distinct road types in city rows. Both halves read the same
     small (city, road_type) table, so the fact is scanned once.
     """
-    base = df.groupBy("city", "road_type").agg(
-        *sums(), F.min("date").alias("first"), F.max("date").alias("last")
+    return summary_of(
+        df.groupBy("city", "road_type").agg(*sums(), F.min("date").alias("first"), F.max("date").alias("last"))
     )
+
+
+def summary_of(base: DataFrame) -> DataFrame:
+    """The summary from sums and dates of each city and road type."""
     per_city = base.groupBy("city").agg(
         *merged(), F.count("road_type").alias("road_types"),
         F.min("first").alias("first"), F.max("last").alias("last"),

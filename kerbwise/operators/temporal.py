@@ -17,23 +17,33 @@ def rush_hour_patterns(
     strict_reference: bool = False,
 ) -> DataFrame:
     """Count and mean severity of each city and hour, with the rush-hour category."""
-    return (
-        df.groupBy("city", "hour")
-        .agg(F.count("*").alias("accident_count"), F.avg("severity").alias("avg_severity"))
-        .withColumn("time_category", cal.time_category(F.col("hour"), windows, strict_reference))
-        .orderBy("city", "hour")
+    hours = df.groupBy("city", "hour").agg(
+        F.count("*").alias("accident_count"), F.avg("severity").alias("avg_severity")
     )
+    return with_rush_hour(hours, windows, strict_reference)
+
+
+def with_rush_hour(
+    hours: DataFrame, windows: cal.RushWindows = cal.SPARK_WINDOWS, strict_reference: bool = False
+) -> DataFrame:
+    """City and hour totals with their rush-hour category."""
+    category = cal.time_category(F.col("hour"), windows, strict_reference)
+    return hours.withColumn("time_category", category).orderBy("city", "hour")
 
 
 def seasonal_patterns(df: DataFrame) -> DataFrame:
-    return (
-        df.groupBy("city", "month", "year")
-        .agg(F.count("*").alias("accident_count"), F.avg("severity").alias("avg_severity"))
-        .withColumn("season", cal.season_or_last(F.col("month")))
-        .orderBy("city", "year", "month")
+    return with_season(
+        df.groupBy("city", "month", "year").agg(
+            F.count("*").alias("accident_count"), F.avg("severity").alias("avg_severity")
+        )
     )
 
 
+def with_season(months: DataFrame) -> DataFrame:
+    """City and month totals with their season."""
+    return months.withColumn("season", cal.season_or_last(F.col("month"))).orderBy("city", "year", "month")
+
+
 def temporal_view(
     df: DataFrame,
     windows: cal.RushWindows = cal.WAREHOUSE_WINDOWS,

@@ -164,6 +164,30 @@ def results_roundtrip(spark, sf_dir):
     return out
 
 
+@query
+def results_contents(spark, sf_dir):
+    """The rows of all stored result tables: their keys as one text, and their figures."""
+    store = ResultStore(spark, new_path(spark, "results"))
+    tables = run_complete_analysis(stored_incidents(spark, sf_dir), store)
+    shapes = {  # keys, count, mean severity, two further figures
+        "accident_clusters": (["cell", "city", "state", "earliest_accident", "latest_accident"], "accident_count", "avg_severity", "center_lat", "center_lon"),
+        "rush_hour_patterns": (["city", "hour", "time_category"], "accident_count", "avg_severity", None, None),
+        "seasonal_patterns": (["city", "month", "year", "season"], "accident_count", "avg_severity", None, None),
+        "road_risk_scores": (risk.ROAD_KEYS, "accident_count", "avg_severity", "risk_score", "total_fatalities"),
+        "grid_hotspots": (["city"], "max_nearby_accidents", "hotspot_severity", "center_lat", "center_lon"),
+        "analysis_summary": (["category", "analysis_start_date", "analysis_end_date"], "total_accidents", "avg_severity", "cities_covered", "total_casualties"),
+    }
+    parts = [
+        tables[name].select(
+            F.lit(name).alias("table_name"), F.concat_ws("|", *[F.col(k).cast("string") for k in keys]).alias("keys"),
+            F.col(count).alias("incidents"), F.col(mean).alias("mean_severity"),
+            *[(F.col(c) if c else F.lit(None)).cast("double").alias(alias) for c, alias in ((one, "figure"), (two, "other_figure"))],
+        )
+        for name, (keys, count, mean, one, two) in shapes.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query
 def results_refresh(spark, sf_dir):
     """A result table as a reader loaded it before a refresh, and as it is after it."""
@@ -448,6 +472,17 @@ def sql_within_radius(spark, sf_dir):
     return spark.sql(f"SELECT * FROM accidents_within_radius({lat}, {lon}, {reach})")
 
 
+@query
+def sql_radius_requests(spark, sf_dir):
+    """The incidents around every request: the table function called for many rows."""
+    register_views(spark, stored_incidents(spark, sf_dir))
+    wh.trip_requests(spark, sf_dir).createOrReplaceTempView("trip_requests")
+    return spark.sql(
+        "SELECT r.request_id, a.accident_id, a.city, a.severity, a.distance_meters FROM trip_requests r, "
+        f"LATERAL accidents_near(r.latitude, r.longitude, {CENTER_RADIUS_M}) a"
+    )
+
+
 @query
 def road_cells(spark, sf_dir):
     return overlay.road_cells(wh.roads(spark, sf_dir)).withColumn("length_m", F.round("length_m", 3))

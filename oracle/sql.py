@@ -836,6 +836,26 @@ FROM base JOIN mh USING (cell) JOIN mv USING (cell) JOIN mr USING (cell)""",
         f"{figures} FROM inc UNION ALL SELECT 'City: ' || city, count(*), count(DISTINCT road_type), {figures} "
         "FROM inc GROUP BY city"
     )
+    def contents(name: str, keys: str, count: str, mean: str, one: str = "NULL", two: str = "NULL") -> str:
+        return (
+            f"SELECT '{name}' AS table_name, concat_ws('|', {keys}) AS keys, {count} AS incidents, {mean} AS mean_severity, "
+            f"CAST({one} AS DOUBLE) AS figure, CAST({two} AS DOUBLE) AS other_figure FROM "
+        )
+
+    out["results_contents"] = (
+        contents("accident_clusters", "cell, city, state, earliest_accident, latest_accident", "accident_count", "avg_severity", "center_lat", "center_lon")
+        + f"({out['spatial_clusters']}) UNION ALL "
+        + contents("rush_hour_patterns", "city, hour, time_category", "accident_count", "avg_severity")
+        + f"({out['rush_hour']}) UNION ALL "
+        + contents("seasonal_patterns", "city, month, year, season", "accident_count", "avg_severity")
+        + f"({out['seasonal']}) UNION ALL "
+        + contents("road_risk_scores", "city, road_type, vehicle_type, weather", "accident_count", "avg_severity", "risk_score", "total_fatalities")
+        + f"({out['road_risk']}) UNION ALL "
+        + contents("grid_hotspots", "city", "max_nearby_accidents", "hotspot_severity", "center_lat", "center_lon")
+        + f"({out['grid_hotspots']}) UNION ALL "
+        + contents("analysis_summary", "category, analysis_start_date, analysis_end_date", "total_accidents", "avg_severity", "cities_covered", "total_casualties")
+        + f"({out['insights_summary']})"
+    )
     lat_of = f"degrees(asin({r} * {num(1.5 * EDGE)} * {num(geo.GRID_PARALLEL_COS / geo.GRID_RADIUS_KM)}))"
     lon_of = f"degrees(({q} + {r} / 2.0::DOUBLE) * {num(3.0**0.5 * EDGE)} / {num(KX)})"
     out["top_hotspots"] = fact(
@@ -869,6 +889,15 @@ FROM (SELECT road_id, severity, {haversine('lat0', 'lon0', 'latitude', 'longitud
 WHERE d <= {reg.CENTER_RADIUS_M} GROUP BY road_id""",
         ROADS,
     )
+    out["sql_radius_requests"] = fact(
+        f"""SELECT request_id, accident_id, city, severity, {round2('d')} AS distance_meters
+FROM (SELECT request_id, accident_id, inc.city, inc.severity,
+        {haversine('req.latitude', 'req.longitude', 'inc.latitude', 'inc.longitude')} AS d
+      FROM inc JOIN req ON abs(req.latitude - inc.latitude) < 0.1 AND abs(req.longitude - inc.longitude) < 0.1
+      WHERE req.latitude BETWEEN -90 AND 90 AND req.longitude BETWEEN -180 AND 180)
+WHERE d <= {reg.CENTER_RADIUS_M}""",
+        REQUESTS,
+    )
     out["hotspot_requests"] = fact(
         f"""SELECT request_id, cell, city, accident_count, avg_severity, {round2('d')} AS distance_meters
 FROM (SELECT request_id, cell, clusters.city, accident_count, avg_severity,

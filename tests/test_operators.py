@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kerbwise.functions import calendar as cal
@@ -316,6 +317,31 @@ def test_sql_radius_function_is_ordered_and_complete(spark, incidents):
         assert got and got == within_radius(incidents, lat, lon, meters).collect()
 
 
+def test_sql_function_around_many_centres_is_a_bucket_join(spark, incidents):
+    from kerbwise.operators.radius import radius_join
+    from kerbwise.plans.views import register_views
+
+    incidents = incidents.select(  # some on both sides of the 180th meridian, some near a pole, some without a place
+        *[c for c in incidents.columns if c not in ("latitude", "longitude", "accident_id")],
+        F.row_number().over(Window.orderBy("accident_id")).cast("string").alias("accident_id"), "latitude", "longitude",
+    ).withColumns({
+        "longitude": F.expr("CASE cast(accident_id as int) % 5 WHEN 0 THEN 179.99 + 0.02 * (hour % 2) - 360 * (hour % 2) WHEN 1 THEN NULL ELSE longitude END"),
+        "latitude": F.expr("CASE cast(accident_id as int) % 5 WHEN 0 THEN 0.001 * hour WHEN 2 THEN 89.99 ELSE latitude END"),
+    })
+    register_views(spark, incidents)
+    centres = [(1, 0.0, 180.0), (2, 0.01, -179.995), (3, 89.995, 0.0), (4, None, 1.0), (5, 120.0, 10.0), (6, 12.0, 74.0), (7, 12.0, 74.0)]
+    around = spark.createDataFrame(centres, "id int, center_lat double, center_lon double")
+    around.createOrReplaceTempView("centres")
+    for meters in (900, 20_000):
+        df = spark.sql(f"SELECT id, a.accident_id, a.distance_meters FROM centres, LATERAL accidents_near(center_lat, center_lon, {meters}) a")
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+        want = radius_join(incidents, around.where("abs(center_lat) <= 90"), meters).select("id", "accident_id")
+        got = df.select("id", "accident_id")
+        assert got.exceptAll(want).count() == 0 == want.exceptAll(got).count() and got.where("id < 4").count() > 0
+    assert spark.sql("SELECT * FROM centres, LATERAL accidents_near(center_lat, center_lon) a").where("id in (4, 5)").count() == 0
+
+
 def test_training_rows_have_one_layout(spark):
     from pyspark.sql import functions as F
 

@@ -84,6 +84,22 @@ def test_result_tables(spark, incidents):
     assert store.load("road_risk_scores").count() == 1  # replaced
 
 
+def test_full_analysis_scans_the_fact_once(spark, incidents):
+    path = new_path(spark, "fact")
+    files.write_incident_table(incidents, path)
+    shared = analysis.shared_sums(spark.read.parquet(path))
+    plan = shared._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "partial_sum" in plan and "SortAggregate" not in plan
+    sums = new_path(spark, "shared-sums")
+    shared.write.partitionBy("grouping").parquet(sums)
+    back = spark.read.schema(shared.schema).parquet(sums)
+    for df in analysis.tables_of(back).values():
+        text = df._jdf.queryExecution().executedPlan().toString()
+        assert text.count("FileScan") == 1 and "PartitionFilters: [isnotnull(grouping" in text and path not in text
+    nothing = spark.createDataFrame([], incidents.schema)
+    assert all(r.n == 0 for r in analysis.shared_sums(nothing).collect())
+
+
 def test_fact_table(spark, incidents):
     path = new_path(spark, "fact")
     files.write_incident_table(incidents, path)

@@ -13,7 +13,8 @@ sidebars, notices, adverts, forms, comments) whose text is drawn from the boiler
 fit is seeded and runs on the driver; the weights, some 40 thousand numbers, go to the tasks.
 
 A block's white space becomes one space and the blocks that are kept are joined by one. Scripts, styles, comments of the markup and other
-elements without text are never blocks. A null or empty page has an empty text. Repeated rows keep a row each; an empty
+elements without text are never blocks. Reading a page takes time and memory by its length, however deep it is nested; a page is one
+row and one sequence, some 7 KB for each of its blocks. A null or empty page has an empty text. Repeated rows keep a row each; an empty
 table gives an empty result, and with an empty table there is no fit; other columns are ignored.
 """
 
@@ -22,6 +23,7 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -65,12 +67,55 @@ ASIDE_WORDS = re.compile(
 )
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
-    """``(path, text)`` of each block with text; a path part is ``tag`` or ``tag words of class, id and role``."""
-    out: list[tuple[tuple[str, ...], str]] = []
-    stack: list[tuple[str, str]] = []
+class Path:
+    """A tag path as its last part and the path above it, so that a page's paths together are as large as its tags.
+
+    ``words`` are the slots of all words on the path as bits, ``says`` what the markup says of a block there, ``first``
+    the path to its outermost element of main text, and ``lead`` how many of its first two parts are html or body.
+    """
+
+    __slots__ = ("above", "part", "depth", "words", "says", "first", "lead")
+
+    def __init__(self, above: Path | None = None, part: str = ""):
+        self.above, self.part = above, part
+        self.depth, self.words, self.says, self.first, self.lead = 0, 0, None, None, 0
+        if above is not None:
+            words, says = _part(part)
+            self.depth, self.words = above.depth + 1, above.words | words
+            self.says = above.says if above.says is False or says is None else says
+            self.first = above.first or (self if part.partition(" ")[0] in MAIN else None)
+            self.lead = above.lead + (self.depth <= 2 and part in ("html", "body") and part != above.part)
+
+    def below(self, *parts: str) -> Path:
+        path = self
+        for part in parts:
+            path = Path(path, part)
+        return path
+
+    def __iter__(self) -> Iterator[str]:
+        found, path = [], self
+        while path.above is not None:
+            found.append(path.part)
+            path = path.above
+        return reversed(found)
+
+    def __eq__(self, other: object) -> bool:
+        return tuple(self) == tuple(other)
+
+    __hash__ = None
+
+
+def blocks(page: str) -> list[tuple[Path, str]]:
+    """``(path, text)`` of each block with text; a path part is ``tag`` or ``tag words of class, id and role``.
+
+    Time and memory grow with the page's length, however deep its elements are nested.
+    """
+    out: list[tuple[Path, str]] = []
+    path = root = Path()
+    stack: list[tuple[str, Path]] = []
+    places: defaultdict[str, list[int]] = defaultdict(list)  # of the open elements of each tag in the stack
+    containers: list[int] = []
     parts: list[str] = []
-    path: tuple[str, ...] = ()
     at, silent = 0, 0
 
     def close() -> None:
@@ -81,14 +126,16 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
 
     def pop(to: int) -> None:
         nonlocal silent
-        for tag, _ in stack[to:]:
+        while len(stack) > to:
+            tag, _ = stack.pop()
             silent -= tag in SILENT
-        del stack[to:]
+            places[tag].pop()
+            if tag in CONTAINERS:
+                containers.pop()
 
     def close_head() -> None:
-        head = next((i for i, (tag, _) in enumerate(stack) if tag == "head"), None)
-        if head is not None and silent == 1:
-            pop(head)
+        if silent == 1 and places["head"]:
+            pop(places["head"][0])
 
     size = len(page)
     while at < size:
@@ -100,7 +147,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
             close_head()
         if not silent and opened > at:
             if not parts:
-                path = tuple(part for _, part in stack)
+                path = stack[-1][1] if stack else root
             parts.append(page[at:opened])
         if opened >= size:
             break
@@ -114,11 +161,10 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
         if not tag:
             continue
         if found[1]:
-            where = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
             if tag in BLOCK:
                 close()
-            if where is not None and (tag in BLOCK or not any(t in CONTAINERS for t, _ in stack[where:])):
-                pop(where)
+            if tag in places and places[tag] and (tag in BLOCK or not containers or containers[-1] < places[tag][-1]):
+                pop(places[tag][-1])
             continue
         if silent and tag not in HEAD:
             close_head()
@@ -126,17 +172,16 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
             parts.append("\n")
         if tag in BLOCK:
             close()
-            closed = {"p"} | CLOSES.get(tag, set())
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in closed:
-                    pop(i)
-                    break
-                if stack[i][0] in CONTAINERS:
-                    break
+            closed = max((places[t][-1] for t in {"p"} | CLOSES.get(tag, set()) if places[t]), default=-1)
+            if closed > (containers[-1] if containers else -1):
+                pop(closed)
         if tag in VOID or found[3].endswith("/"):
             continue
         named = " ".join(x for m in _ATTRIBUTE.finditer(found[3]) for x in re.findall(r"[a-z]+", (m[2] or m[3] or m[4] or "").lower()))
-        stack.append((tag, f"{tag} {named}".strip()))
+        places[tag].append(len(stack))
+        if tag in CONTAINERS:
+            containers.append(len(stack))
+        stack.append((tag, Path(stack[-1][1] if stack else root, f"{tag} {named}".strip())))
         silent += tag in SILENT
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
@@ -148,22 +193,9 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
     return out
 
 
-def marked_main(path: tuple[str, ...]) -> bool | None:
-    """What a page's own markup says of a block; None where it says nothing."""
-    inside = None
-    for part in path:
-        tag, _, named = part.partition(" ")
-        if tag in ASIDE or ASIDE_WORDS.search(named):
-            return False
-        if tag in MAIN or tag == "article":
-            inside = True
-    return inside
-
-
-def is_main(path: tuple[str, ...], unmarked: bool = False) -> bool:
+def is_main(path: Path, unmarked: bool = False) -> bool:
     """Whether the markup says that a block is main text, or with ``unmarked`` does not say otherwise."""
-    found = marked_main(path)
-    return found is not False if unmarked else bool(found)
+    return path.says is not False if unmarked else bool(path.says)
 
 
 @lru_cache(maxsize=1 << 16)
@@ -171,13 +203,22 @@ def _slot(word: str, size: int) -> int:
     return zlib.crc32(word.encode()) % size
 
 
-def path_vector(path: tuple[str, ...]) -> np.ndarray:
-    out = np.zeros(PATH_SIZE, np.float32)
-    for depth, part in enumerate(reversed(path)):
+@lru_cache(maxsize=1 << 16)
+def _part(part: str) -> tuple[int, bool | None]:
+    """The slots of a path part's words as bits, and what it says of the text inside: boilerplate, main text or nothing."""
+    tag, _, named = part.partition(" ")
+    bits = 0
+    for word in part.split():
+        bits |= 1 << _slot(word, PATH_SIZE)
+    return bits, False if tag in ASIDE or ASIDE_WORDS.search(named) else True if tag in MAIN else None
+
+
+def path_vector(words: int, last: str, before: str) -> np.ndarray:
+    """The words of a path, and those of its last two parts by their place."""
+    out = np.unpackbits(np.frombuffer(words.to_bytes(PATH_SIZE // 8, "little"), np.uint8), bitorder="little").astype(np.float32)
+    for depth, part in enumerate((last, before)):
         for word in part.split():
-            out[_slot(word, PATH_SIZE)] = 1
-            if depth < 2:
-                out[_slot(f"{depth}:{word}", PATH_SIZE)] = 1
+            out[_slot(f"{depth}:{word}", PATH_SIZE)] = 1
     return out
 
 
@@ -303,13 +344,14 @@ def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
-def vectors(page: list[tuple[tuple[str, ...], str]]) -> np.ndarray:
-    known: dict[tuple[str, ...], np.ndarray] = {}
+def vectors(page: list[tuple[Path, str]]) -> np.ndarray:
+    known: dict[tuple[int, str, str], np.ndarray] = {}
     out = np.zeros((len(page), SIZE), np.float32)
     for k, (path, text) in enumerate(page):
-        if path not in known:
-            known[path] = path_vector(path)
-        out[k, :PATH_SIZE], out[k, PATH_SIZE:] = known[path], word_vector(text)
+        key = path.words, path.part, path.above.part if path.above else ""
+        if key not in known:
+            known[key] = path_vector(*key)
+        out[k, :PATH_SIZE], out[k, PATH_SIZE:] = known[key], word_vector(text)
     return out
 
 
@@ -325,9 +367,24 @@ ASIDE_PATHS = (
 )
 
 
+def moved(path: Path, under: Path, known: dict[int, Path]) -> Path:
+    """The part of ``path`` inside its main element, or else inside the body, put below ``under``.
+
+    ``known`` holds what was moved of one page, by the identity of its paths.
+    """
+    way = []
+    while path.depth > path.lead and path is not path.first and id(path) not in known:
+        way.append(path)
+        path = path.above
+    found = known.get(id(path), under)
+    for step in reversed(way):
+        found = known[id(step)] = Path(found, step.part)
+    return found
+
+
 def varied(pages: list[list], seed: int = SEED, unmarked: bool = False) -> list[tuple[np.ndarray, np.ndarray]]:
     """Training sequences: each page as it is, and in two varied forms."""
-    rng = np.random.default_rng(seed)
+    rng, root = np.random.default_rng(seed), Path()
     labels = [[is_main(path, unmarked) for path, _ in page] for page in pages]
     aside = [t for page, known in zip(pages, labels) for (_, t), k in zip(page, known) if not k] or ["Menu"]
     prose = [t for page, known in zip(pages, labels) for (_, t), k in zip(page, known) if k] or aside
@@ -335,12 +392,12 @@ def varied(pages: list[list], seed: int = SEED, unmarked: bool = False) -> list[
     for page, known in zip(pages, labels):
         out.append((vectors(page), np.array([bool(k) for k in known], np.float32)))
         for form in range(2):
-            own = MAIN_PATHS[rng.integers(len(MAIN_PATHS))] if form else None
-            blocks_, truth = [], []
+            own = root.below("html", "body", *MAIN_PATHS[rng.integers(len(MAIN_PATHS))]) if form else None
+            blocks_, truth, places = [], [], {}
 
             def extra(most: int) -> None:
                 for _ in range(int(rng.integers(0, most + 1))):
-                    path = ("html", "body", *ASIDE_PATHS[rng.integers(len(ASIDE_PATHS))])
+                    path = root.below("html", "body", *ASIDE_PATHS[rng.integers(len(ASIDE_PATHS))])
                     for _ in range(int(rng.integers(1, 4))):
                         source = aside if rng.random() < 0.5 else prose
                         blocks_.append((path, source[rng.integers(len(source))]))
@@ -353,11 +410,10 @@ def varied(pages: list[list], seed: int = SEED, unmarked: bool = False) -> list[
                     extra(2)
                 inside = bool(k)
                 if k and own:
-                    cut = next((i for i, part in enumerate(path) if part.split()[0] in MAIN), len({"html", "body"} & set(path[:2])) - 1)
-                    path = ("html", "body", *own, *path[cut + 1:])
+                    path = moved(path, own, places)
                 if k and rng.random() < 0.05:
                     # a page element within the article's container is no main text
-                    blocks_.append((path[:-1] + ASIDE_PATHS[rng.integers(len(ASIDE_PATHS))], prose[rng.integers(len(prose))]))
+                    blocks_.append(((path.above or root).below(*ASIDE_PATHS[rng.integers(len(ASIDE_PATHS))]), prose[rng.integers(len(prose))]))
                     truth.append(0.0)
                 blocks_.append((path, text))
                 truth.append(float(bool(k)))

@@ -534,6 +534,40 @@ def test_html_blocks():
     assert htmltext.blocks(page)[0][0] == ("div x", "p")
 
 
+def test_html_nesting_costs_by_length():
+    import time
+    import tracemalloc
+
+    def cost(piece, times):
+        tracemalloc.start()
+        start = time.perf_counter()
+        found = htmltext.blocks(piece * times)
+        took, most = time.perf_counter() - start, tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return found, took, most
+
+    for piece in ("<div class='deep'>a", "<span>a</x>", "<p><b>a</q>", "<svg>a</p>"):
+        cost(piece, 100)
+        (_, short, small), (found, long, large) = cost(piece, 5_000), cost(piece, 40_000)
+        assert large < 12 * small and long < 30 * short + 1, (piece, short, long, small, large)
+        htmltext.vectors(found)
+    found = htmltext.blocks("<div>a" * 3)
+    assert [tuple(path) for path, _ in found] == [("div",), ("div", "div"), ("div", "div", "div")]
+    assert htmltext.blocks("loose")[0][0] == () and htmltext.vectors(htmltext.blocks("loose")).any()
+
+
+def test_html_moved_paths():
+    root = htmltext.Path()
+    under, known = root.below("html", "body", "div post"), {}
+    wanted = (
+        (("html", "body", "article", "p"), ("p",)), (("html", "body", "div", "p"), ("div", "p")), (("body", "p", "b"), ("p", "b")),
+        (("div", "main x", "div", "article", "p"), ("div", "article", "p")), (("html", "body", "article"), ()), ((), ()),
+    )
+    paths = [root.below(*path) for path, _ in wanted]  # ``known`` names them by identity
+    for path, (_, want) in zip(paths, wanted):
+        assert htmltext.moved(path, under, known) == ("html", "body", "div post", *want)
+
+
 def test_html_head_without_an_end_tag():
     body = "<article><p>text</p></article><footer>foot</footer>"
     want = htmltext.blocks(f"<html><head><title>x</title></head><body>{body}</body></html>")

@@ -14,7 +14,7 @@ fit is seeded and runs on the driver; the weights, some 40 thousand numbers, go
 
 A block's white space becomes one space and the blocks that are kept are joined by one. Scripts, styles, comments of the markup and other
 elements without text are never blocks. Reading a page takes time and memory by its length, however deep it is nested; a page is one
-row and one sequence, some 7 KB for each of its blocks. A null or empty page has an empty text. Repeated rows keep a row each; an empty
+sequence in the memory of one task. A null or empty page has an empty text. Repeated rows keep a row each; an empty
 table gives an empty result, and with an empty table there is no fit; other columns are ignored.
 """
 

@@ -5,19 +5,18 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel, Transformer
-from pyspark.ml.base import Estimator
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.ml.tuning import ParamGridBuilder
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kerbwise import fixed
 from kerbwise.learning.encoding import encode, fit_encoders, fit_scaler, scale, stratified_split
 from kerbwise.learning.evaluation import classification_report, regression_metrics
+from kerbwise.learning.search import search_forests
 from kerbwise.session import shared_folder, written
 
 SEED = fixed.SAMPLE_SEED
@@ -81,6 +80,11 @@ class FittedModel:
             F.desc("importance"), "feature"
         )
 
+    def top_features(self, k: int = 5) -> DataFrame:
+        """The ``k`` most important features with their position, equal ones by name."""
+        order = Window.orderBy(F.desc("importance"), "feature")  # one row per feature
+        return self.importance().withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
+
     def save(self, path: str) -> None:
         """Write the model, its encoders and its scaler under one folder."""
         spark = self.encoders.sparkSession
@@ -248,26 +252,6 @@ def severity_grid(estimator: RandomForestClassifier) -> list[dict]:
     )
 
 
-def search(
-    matrix: DataFrame, estimator: Estimator, grid: list[dict], folds: int = 3, parallelism: int = 4
-) -> tuple[Transformer, DataFrame]:
-    """Grid search by cross-validated accuracy: the best model and one row per setting."""
-    fitted = CrossValidator(
-        estimator=estimator,
-        estimatorParamMaps=grid,
-        evaluator=MulticlassClassificationEvaluator(metricName="accuracy"),
-        numFolds=folds,
-        parallelism=parallelism,
-        seed=SEED,
-    ).fit(_train(matrix))
-    rows = [
-        ({p.name: str(v) for p, v in params.items()}, float(score))
-        for params, score in zip(grid, fitted.avgMetrics)
-    ]
-    results = matrix.sparkSession.createDataFrame(rows, "params map<string,string>, accuracy double")
-    return fitted.bestModel, results
-
-
 def tune_severity_model(
     features: DataFrame, grid: list[dict] | None = None, estimator: RandomForestClassifier | None = None,
     folds: int = 3, parallelism: int = 4,
@@ -275,7 +259,7 @@ def tune_severity_model(
     """Severity model with the best settings of a grid: (model, matrix, search results)."""
     model, matrix = severity_matrix(features)
     forest = estimator or RandomForestClassifier(seed=SEED)
-    best, results = search(matrix, forest, grid or severity_grid(forest), folds, parallelism)
+    best, results = search_forests(_train(matrix), forest, grid or severity_grid(forest), folds, parallelism)
     model.stages = [best]
     _score(model, matrix)
     return model, matrix, results

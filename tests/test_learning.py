@@ -1,12 +1,15 @@
 import datetime as dt
 
+import numpy as np
 import pytest
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from kerbwise.learning import encoding, evaluation, models, scoring
+from kerbwise.learning import encoding, evaluation, models, scoring, search
 from kerbwise.learning import features as feat
 from kerbwise.operators import filters, spatial, temporal
-from kerbwise.session import new_path
+from kerbwise.session import new_path, written
 from kerbwise.sources import warehouse as wh
 from tests.rows import make
 
@@ -137,13 +140,79 @@ def test_boosted_model_and_reload(table, spark):
 
 
 def test_search(table):
-    from pyspark.ml.classification import RandomForestClassifier
-
     forest = RandomForestClassifier(seed=1, numTrees=2)
     grid = [{forest.maxDepth: d} for d in (1, 2)]
     model, _, results = models.tune_severity_model(table, grid, forest, folds=2, parallelism=2)
     assert results.count() == 2 and model.metrics["test_accuracy"] > 0
-    assert len(models.severity_grid(forest)) == 24
+    grid = models.severity_grid(forest)
+    plan = search.structures(forest, grid)
+    assert len(grid) == 24 and len(plan) == 4
+    assert all(sorted(one.sizes) == [(t, d) for t in (100, 200) for d in (3, 5, 7)] for one in plan)
+    assert {p.name: v for p, v in plan[0].params.items()}["numTrees"] == 200
+
+
+@pytest.fixture(scope="module")
+def planted(spark):
+    """Four features; the class follows from two of them, with noise."""
+    cols = [F.rand(k).alias(f"x{k}") for k in range(4)]
+    rows = spark.range(0, 1500, 1, 4).select("id", *cols)
+    label = (F.floor(F.col("x1") * 2) + (F.col("x3") > 0.6).cast("int") + (F.rand(9) > 0.9).cast("int")) % 3
+    rows = rows.withColumn("label", label.cast("double"))
+    rows = VectorAssembler(inputCols=["x0", "x1", "x2", "x3"], outputCol="features").transform(rows)
+    return written(rows.select("id", "label", "features"), "planted").repartition(4, "id").sortWithinPartitions("id")
+
+
+def folded(train, seed, folds):
+    return train.withColumn("fold", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(folds)).cast("int"))
+
+
+def test_forests_cut_in_depth_equal_forests_grown_to_that_depth(planted):
+    forest = RandomForestClassifier(seed=5, numTrees=7, featureSubsetStrategy="all")  # no draw of features to differ
+    grid = [{forest.maxDepth: d} for d in (1, 2, 3, 5)]
+    best, results = search.search_forests(planted, forest, grid, folds=3, parallelism=2)
+    got = {int(r.params["maxDepth"]): r.accuracy for r in results.collect()}
+    rows = folded(planted, 5, 3)
+    for params in grid:
+        shares = []
+        for k in range(3):
+            fitted = forest.fit(rows.where(F.col("fold") != k), params)
+            shares.append(evaluation.accuracy(fitted.transform(rows.where(F.col("fold") == k))))
+        assert got[list(params.values())[0]] == pytest.approx(sum(shares) / 3, abs=1e-12)
+    assert best.getMaxDepth() == max(sorted(got), key=lambda d: got[d]) and len(set(got.values())) > 1
+
+
+def test_forests_cut_in_number_vote_with_their_first_trees(spark, planted):
+    forest = RandomForestClassifier(seed=6, numTrees=9, maxDepth=4, featureSubsetStrategy="sqrt", subsamplingRate=0.8)
+    fitted = forest.fit(planted)
+    rows = planted.orderBy("id").limit(300).collect()
+    x = np.array([r.features.toArray() for r in rows])
+    sizes = [(1, 4), (3, 4), (9, 4)]
+    got = search.Nodes.of(fitted, spark).predictions(x, sizes)
+    for (trees, _), classes in zip(sizes, got):
+        votes = [sum(t.predictProbability(r.features).toArray() for t in fitted.trees[:trees]) for r in rows]
+        assert classes.tolist() == [int(v.argmax()) for v in votes]
+    assert got[2].tolist() == [int(r.prediction) for r in fitted.transform(planted).orderBy("id").limit(300).collect()]
+
+
+def test_single_trees_and_missing_folds(spark, planted):
+    forest = RandomForestClassifier(seed=2, maxDepth=2)
+    grid = [{forest.numTrees: n} for n in (1, 4, 2)]
+    assert [sorted(one.sizes) for one in search.structures(forest, grid)] == [[(1, 2)], [(2, 2), (4, 2)]]
+    few = planted.limit(3).repartition(1, "id")
+    _, results = search.search_forests(few, forest, grid[1:], folds=7, parallelism=3)  # most folds hold no row
+    assert results.count() == 2 and all(0 <= r.accuracy <= 1 for r in results.collect())
+    one_class = planted.withColumn("label", F.lit(0.0)).limit(50).repartition(2, "id")
+    _, results = search.search_forests(one_class, forest, grid, folds=2)
+    assert [r.accuracy for r in results.collect()] == [1.0, 1.0, 1.0]
+
+
+def test_top_features_name_what_the_label_follows(table):
+    outcome = table.withColumn("severity", F.when(F.col("hour") >= 12, 3).otherwise(1) + F.lit(0))
+    model, _ = models.train_severity_model(outcome, numTrees=12, maxDepth=3)
+    top = model.top_features().orderBy("position").collect()
+    assert [r.position for r in top] == [1, 2, 3, 4, 5] and top[0].feature == "hour"
+    assert [r.importance for r in top] == sorted((r.importance for r in top), reverse=True)
+    assert {r.feature for r in top} <= set(model.features)
 
 
 def test_hotspot_model_leaves_out_the_label(incidents):

@@ -118,30 +118,41 @@ def deduplicate(
 ) -> tuple[DataFrame, DataFrame]:
     """(kept, surplus): the newest row of each key, and every other row once per content.
 
-    ``surplus.copies`` is the number of rows it stands for. Rows without a key are
-    kept. Repeated keys are found with a hash aggregate on the key alone; rows of
-    all other keys pass through untouched. Winners among the rest come from an
-    aggregate, not a window over all rows of a key, so a hot key is reduced to one
-    row per map task before the shuffle. The lists of keys and of winners are
-    written, so their real size decides how they are joined.
+    ``surplus.copies`` is the number of rows it stands for. Of equally new rows the one
+    with the largest hash is kept; a row without a time is the oldest. Rows without a key are kept.
+    Repeated keys are found with a hash aggregate on the key alone, and rows of all other
+    keys pass through untouched. The rest is reduced to its distinct contents, which are
+    written with a number each; winners are chosen among (key, time, hash, number), so no wide
+    row is compared or sorted, and they are joined back by number. A hot key is one row per map
+    task and distinct content before each shuffle. The lists of keys and of winners
+    are written, so their real size decides how they are joined.
     """
     columns = df.columns
     repeated = written(
         duplicate_keys(df, key, order_by).where(F.col(key).isNotNull()).select(key), "repeated"
     )
-    copies = written(df.join(repeated, key, "left_semi").select(columns), "copies")
-    row = F.struct(F.col(order_by).alias("_at"), *[F.col(c) for c in columns])
+    contents = written(
+        df.join(repeated, key, "left_semi")
+        .groupBy(*columns)
+        .agg(F.count("*").alias("_copies"))
+        .withColumn("_number", F.monotonically_increasing_id()),
+        "contents",
+    )
+    at, number = F.col("_at"), F.col("_number")
     winners = written(
-        copies.groupBy(F.col(key).alias("_key")).agg(F.max(row).alias("_row")), "winners"
+        contents.select(F.col(key).alias("_key"), F.col(order_by).alias("_at"), F.xxhash64(*columns).alias("_hash"), number)
+        .groupBy("_key", "_at")
+        .agg(F.max_by(number, "_hash").alias("_number"))
+        .groupBy("_key")
+        .agg(F.coalesce(F.max_by(number, at), F.max(F.when(at.isNull(), number))).alias("_number"))
+        .select("_number", F.lit(1).alias("_won")),
+        "winners",
     )
-    winner = [F.col("_row")[c].alias(c) for c in columns]
-    kept = df.join(repeated, key, "left_anti").select(columns).unionByName(winners.select(winner))
-    is_winner = F.struct(*[F.col(c) for c in columns]).eqNullSafe(F.struct(*winner))
+    chosen = contents.join(winners, "_number", "left_semi").select(columns)
+    kept = df.join(repeated, key, "left_anti").select(columns).unionByName(chosen)
     surplus = (
-        copies.groupBy(*columns)
-        .agg(F.count("*").alias("_copies"))
-        .join(winners, F.col(key) == F.col("_key"))
-        .withColumn("copies", F.col("_copies") - F.when(is_winner, 1).otherwise(0))
+        contents.join(winners, "_number", "left")
+        .withColumn("copies", F.col("_copies") - F.coalesce("_won", F.lit(0)))
         .where(F.col("copies") > 0)
         .select(*columns, "copies")
     )

@@ -660,7 +660,7 @@ def learning_evidence(spark, sf_dir):
 
     Sound are classes that agree with their probabilities, which sum to 1; casualties inside the range of the
     training rows; predictions of a saved and reloaded model that equal the first ones; scores that follow from their
-    probabilities; and importances that sum to 1.
+    probabilities; importances that sum to 1; and five top features that no other one exceeds.
     """
     facts = stored_incidents(spark, sf_dir)
     past = feat.history(temporal.time_features(filters.model_base(facts)))
@@ -689,7 +689,11 @@ def learning_evidence(spark, sf_dir):
         F.col("risk_level") == risk_level(expected)
     )
     importance = severity.importance().agg(F.sum("importance").alias("total"), F.count("*").alias("n"))
+    ordered = severity.importance().agg(F.sort_array(F.collect_list(F.struct(-F.col("importance"), "feature"))))  # one row per feature
+    top = severity.top_features()
+    named = F.get(ordered.scalar(), F.col("position") - 1)["feature"] == F.col("feature")
     parts = [
+        _tally(top, "top features", F.lit("all"), F.lit(0), named & F.col("feature").isin(severity.features)),
         _tally(first, "severity", side, F.col("label"), agrees),
         _tally(reloaded, "reload", F.lit("all"), F.lit(0), F.col("again") == F.col("prediction")),
         _tally(hotspot.apply(cells), "hotspot", side, F.col("label"), agrees),
@@ -765,6 +769,27 @@ def stream_hotspots(spark, sf_dir):
     ).drop("centroid")
 
 
+@query
+def stream_hotspots_folded(spark, sf_dir):
+    """Hotspots of events that arrive in six files, by time: three batches, folded and removed, then three more."""
+    folder, arrivals = new_path(spark, "hotspots"), new_path(spark, "event-files")
+    events = wh.table(spark, sf_dir, "events")
+    sixths = events.select(F.percentile(F.unix_micros(F.col("ts").cast("timestamp")), [k / 6 for k in range(1, 6)])).first()[0]
+    part = sum((F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")) > F.lit(x), F.lit(False)).cast("int") for x in sixths or []), F.lit(0))
+    parts = written(events.withColumn("_part", part), "event-parts")
+    for half in (range(3), range(3, 6)):
+        for k in half:
+            parts.where(F.col("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(arrivals)
+        rows = streams.event_stream(spark, sf_dir, arrivals, files_per_batch=1)
+        jobs.refresh_hotspots(rows, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+        if half.start == 0:
+            jobs.compact_hotspots(spark, f"{folder}/out")
+            jobs.retire_hotspots(spark, f"{folder}/out", dt.timedelta(0))
+    return jobs.current_hotspots(spark, f"{folder}/out").select(
+        "*", F.col("centroid.lat").alias("centroid_lat"), F.col("centroid.lon").alias("centroid_lon")
+    ).drop("centroid")
+
+
 @query
 def stream_daily_cells(spark, sf_dir):
     rows = streams.event_stream(spark, sf_dir)

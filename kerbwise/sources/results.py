@@ -83,13 +83,28 @@ class ResultStore:
         runs = self._runs(name)
         now = self.spark.range(1).select(F.current_timestamp()).first()[0]
         old = [runs[i]["run"] for i in range(1, len(runs)) if now - runs[i - 1]["at"] > grace]
-        return sum(_removed(self.spark, f"{self.folder}/{name}/run={run}") for run in old)
+        return removed(self.spark, [f"{self.folder}/{name}/run={run}" for run in old])
 
 
-def _removed(spark: SparkSession, folder: str) -> bool:
-    """Remove a folder of the file system its path names; False if it is not there."""
+def _system(spark: SparkSession, folder: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def removed(spark: SparkSession, names: list[str]) -> int:
+    """Remove folders of the file systems their paths name; returns how many were there."""
+    found = 0
+    for name in names:
+        system, path = _system(spark, name)
+        found += system.delete(path, True)
+    return found
+
+
+def folders(spark: SparkSession, folder: str, column: str) -> list[int]:
+    """Numbers of the partition folders ``column=number`` in a folder, in order; none where it does not exist."""
+    system, path = _system(spark, folder)
+    names = [s.getPath().getName() for s in system.listStatus(path)] if system.exists(path) else []
+    return sorted(int(n.split("=")[1]) for n in names if n.startswith(f"{column}="))
 
 
 def save_jdbc(df: DataFrame, url: str, table: str, connections: int = 8, **properties: str) -> None:

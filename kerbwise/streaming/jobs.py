@@ -20,7 +20,7 @@ from kerbwise.functions.geo import MICRO, micro_degrees, point
 from kerbwise.operators.filters import located
 from kerbwise.operators.quality import incident_defaults, parsed, with_reasons
 from kerbwise.session import written
-from kerbwise.sources.results import stored
+from kerbwise.sources.results import folders, removed, stored
 from kerbwise.streaming.sources import EVENT_TIME
 
 PARTIAL_KEYS = ["cell", "city", "state"]
@@ -97,6 +97,7 @@ def write_deduplicated(
 
 
 FINISHED = "number long, newest long"
+FOLDED = "upto long, at timestamp"
 
 
 def deduplicate_timely(
@@ -204,7 +205,7 @@ def _deltas(spark: SparkSession, store: str) -> DataFrame:
 
 def _merged_up_to(spark: SparkSession, store: str) -> int:
     """Last batch of the newest finished base, -1 without one."""
-    newest = stored(spark, f"{store}/finished", "upto long").agg(F.max("upto")).first()[0]
+    newest = stored(spark, f"{store}/finished", FOLDED).agg(F.max("upto")).first()[0]
     return -1 if newest is None else newest
 
 
@@ -235,12 +236,29 @@ def compact_hotspots(spark: SparkSession, store: str) -> int:
     merge_partials(_current_partials(spark, store, last)).write.mode("overwrite").parquet(
         f"{store}/base/upto={last}"
     )
-    spark.range(last, last + 1, 1, 1).withColumnRenamed("id", "upto").write.mode("append").parquet(
-        f"{store}/finished"
-    )
+    row = spark.range(last, last + 1, 1, 1).select(F.col("id").alias("upto"), F.current_timestamp().alias("at"))
+    row.write.mode("append").parquet(f"{store}/finished")
     return last
 
 
+def retire_hotspots(spark: SparkSession, store: str, grace: dt.timedelta) -> tuple[int, int]:
+    """Remove the batches and bases that a base finished more than ``grace`` ago replaces; returns how many of each.
+
+    Readers that chose their base before then must have ended. A batch that its checkpoint runs again writes a
+    folder that the base covers, so it counts for nothing and leaves with the next call.
+    """
+    finished = stored(spark, f"{store}/finished", FOLDED)
+    settled = F.max(F.when(F.col("at") < F.current_timestamp() - F.lit(grace), F.col("upto")))
+    upto = finished.agg(settled).first()[0]
+    if upto is None:
+        return 0, 0
+    # Numbers of folders, of which each call leaves only those after the base.
+    batches = [n for n in folders(spark, f"{store}/delta", "batch") if n <= upto]
+    bases = [n for n in folders(spark, f"{store}/base", "upto") if n < upto]
+    removed(spark, [f"{store}/delta/batch={n}" for n in batches] + [f"{store}/base/upto={n}" for n in bases])
+    return len(batches), len(bases)
+
+
 def current_hotspots(
     spark: SparkSession, store: str | list[str], min_incidents: int = fixed.CLUSTER_MIN_INCIDENTS
 ) -> DataFrame:

@@ -1000,6 +1000,7 @@ FROM at_site JOIN member USING (site) GROUP BY hotspot""",
     out["learning_evidence"] = (
         "SELECT subject, part, label, n, unsound FROM ("
         "SELECT 'importance' AS subject, 'all' AS part, 0::BIGINT AS label, 21::BIGINT AS n, 0::BIGINT AS unsound "
+        "UNION ALL SELECT 'top features', 'all', 0, 5, 0 "
         f"UNION ALL SELECT 'reload', 'all', 0, count(*), 0 FROM ({fact('SELECT * FROM inc')}) "
         + sides.format("severity", "severity - 1", f"({fact('SELECT * FROM inc')})")
         + sides.format("hotspot", "is_hotspot", f"({out['cell_profile']})")
@@ -1038,7 +1039,7 @@ LEFT JOIN by_vehicle USING (vehicle_type)""",
 UNION ALL SELECT accident_id, report_line, 'late' FROM judged WHERE late""",
         TIMELY,
     ).replace("WITH ", "WITH RECURSIVE ", 1)
-    out["stream_hotspots"] = fact(HOTSPOT_VIEW, CLUSTERS)
+    out["stream_hotspots"] = out["stream_hotspots_folded"] = fact(HOTSPOT_VIEW, CLUSTERS)
     out["stream_daily_cells"] = fact(
         f"SELECT CAST(ts AS DATE) AS day, cell, count(*) AS accident_count, {AVG_SEV} AS avg_severity FROM inc "
         "WHERE CAST(ts AS DATE) + 1 <= (SELECT max(ts) - INTERVAL 1 DAY FROM inc) GROUP BY 1, 2"

@@ -1,4 +1,5 @@
 import datetime as dt
+from collections import Counter
 
 import pytest
 from pyspark.sql import Window
@@ -297,6 +298,25 @@ def test_deduplicate_keeps_the_newest_and_accounts_for_every_row(spark):
     assert quality.duplicate_keys(df).where("accident_id = 'X'").first().copies == 4
 
 
+def test_deduplicate_chooses_among_equal_times_and_missing_ones(spark):
+    t = dt.datetime(2022, 1, 1)
+    rows = [("T", t, 1), ("T", t, 2), ("T", t, 2), ("T", None, 9), ("N", None, 1), ("N", None, 1), ("N", None, 3), ("E", t, 5), ("E", t, 5), ("S", None, 4)]
+    df = spark.createDataFrame(rows, "accident_id string, accident_datetime timestamp, payload int")
+    kept, surplus = quality.deduplicate(df.repartition(5))
+    got = [tuple(r) for r in kept.collect()]
+    assert sorted(r[0] for r in got) == ["E", "N", "S", "T"] and next(r for r in got if r[0] == "T")[1] == t
+    assert Counter(rows) == Counter(got) + Counter({tuple(r)[:3]: r.copies for r in surplus.collect()})
+    again = quality.deduplicate(df.repartition(2, "payload"))[0]
+    assert sorted(map(str, got)) == sorted(str(tuple(r)) for r in again.collect())  # whatever the order of the rows
+    assert [x.count() for x in quality.deduplicate(df.where("false"))] == [0, 0]
+
+
+def test_winners_are_chosen_without_sorting_rows(spark):
+    df = make(spark, {"accident_id": "X"}, {"accident_id": "X"}, cell=False)
+    text = quality.deduplicate(df)[1]._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in text and "ObjectHashAggregate" not in text
+
+
 def test_hot_key_dedupe(spark):
     df = spark.range(3000).select(
         F.when(F.col("id") % 3 == 0, "HOT").otherwise(F.col("id").cast("string")).alias("accident_id"),

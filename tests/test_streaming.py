@@ -77,6 +77,31 @@ def test_hotspots_equal_batch_for_any_split_replay_and_compaction(spark, small,
     assert jobs.current_hotspots(spark, store, 1).agg(F.sum("accident_count")).first()[0] == more
 
 
+def test_folded_batches_leave_after_the_grace_period(spark, small, parts):
+    store = new_path(spark, "hot")
+    assert jobs.retire_hotspots(spark, store, dt.timedelta(0)) == (0, 0)
+    rows = batches(spark, small, parts)
+    jobs.refresh_hotspots(rows, store, new_path(spark, "check")).awaitTermination()
+    assert jobs.retire_hotspots(spark, store, dt.timedelta(0)) == (0, 0)  # nothing is folded yet
+    want = hotspot_rows(jobs.current_hotspots(spark, store))
+    spare = new_path(spark, "spare")
+    spark.read.parquet(f"{store}/delta/batch=4").write.parquet(spare)
+    jobs.compact_hotspots(spark, store)
+    before = jobs.current_hotspots(spark, store)
+    assert jobs.retire_hotspots(spark, store, dt.timedelta(hours=1)) == (0, 0)
+    assert jobs.retire_hotspots(spark, store, dt.timedelta(0)) == (5, 0)
+    assert hotspot_rows(before) == want == hotspot_rows(jobs.current_hotspots(spark, store))  # the base alone
+    assert jobs.compact_hotspots(spark, store) == 4
+    # a batch run again after it was folded counts for nothing; a later one counts, and replaces the base when folded
+    spark.read.parquet(spare).write.parquet(f"{store}/delta/batch=4")
+    assert hotspot_rows(jobs.current_hotspots(spark, store)) == want
+    spark.read.parquet(spare).write.parquet(f"{store}/delta/batch=5")
+    more = hotspot_rows(jobs.current_hotspots(spark, store))
+    assert more != want and jobs.compact_hotspots(spark, store) == 5
+    assert jobs.retire_hotspots(spark, store, dt.timedelta(0)) == (2, 1)
+    assert hotspot_rows(jobs.current_hotspots(spark, store)) == more
+
+
 @pytest.mark.parametrize("salts", [1, 8])
 def test_dedupe(spark, small, salts):
     path = new_path(spark, "lines")

@@ -1,7 +1,8 @@
 """The contract shared with the data producers and consumers.
 
-Everything below is data, not logic: category domains, draw weights, thresholds
-and message texts that results must reproduce exactly.
+Everything below is data, not logic: category domains, column rules, feature lists, draw
+weights, thresholds and message texts. Results must reproduce them exactly, but for one
+rule: the ``TRIP_*`` texts are the words alone, without the symbol that a page shows before them.
 """
 
 # --- fixed values: categories ------------------------------------------------
@@ -114,3 +115,30 @@ INSIGHT_WEATHER = (
     "Most accidents occur during %s conditions. Deploy weather-specific safety measures.",
     "Medium",
 )
+
+# --- fixed values: hour ranges, inclusive -------------------------------------
+SPARK_HOURS = {"morning": (7, 10), "evening": (17, 20), "night": (21, 5)}
+WAREHOUSE_HOURS = {"morning": (6, 10), "evening": (17, 21), "night": (22, 5)}
+
+# --- fixed values: column rules ------------------------------------------------
+REQUIRED = ("city", "state", "latitude", "longitude", "accident_datetime", "date", "time")
+RANGES = {"hour": (0, 23), "day_of_week": (0, 6), "month": (1, 12), "year": (2000, 2030)}
+REQUEST_RANGES = {"latitude": (-90, 90), "longitude": (-180, 180), "hour": (0, 23)}
+
+# --- fixed values: features of the models --------------------------------------
+SEVERITY_NUMERIC = [
+    "latitude", "longitude", "hour", "day_of_week", "month",
+    "is_weekend", "is_rush_hour", "is_night", "cell_density", "neighbor_density",
+    "city_avg_severity", "city_severity_std", "city_avg_casualties",
+    "road_type_risk", "vehicle_type_risk",
+]
+SEVERITY_CATEGORIES = ["city", "state", "vehicle_type", "road_type", "weather", "season"]
+CASUALTY_NUMERIC = [
+    "latitude", "longitude", "hour", "day_of_week", "month", "severity",
+    "is_weekend", "is_rush_hour", "is_night", "cell_density", "neighbor_density",
+    "road_type_risk", "vehicle_type_risk",
+]
+CASUALTY_CATEGORIES = ["city", "vehicle_type", "road_type", "weather"]
+HOTSPOT_NUMERIC = ["center_lat", "center_lon", "avg_severity", "common_hour"]
+HOTSPOT_LEAKING = "density_score"  # a function of the label; only on request
+HOTSPOT_CATEGORIES = ["common_vehicle", "common_road"]

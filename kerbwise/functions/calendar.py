@@ -19,8 +19,8 @@ class RushWindows:
     night: tuple[int, int]
 
 
-SPARK_WINDOWS = RushWindows(morning=(7, 10), evening=(17, 20), night=(21, 5))
-WAREHOUSE_WINDOWS = RushWindows(morning=(6, 10), evening=(17, 21), night=(22, 5))
+SPARK_WINDOWS = RushWindows(**fixed.SPARK_HOURS)
+WAREHOUSE_WINDOWS = RushWindows(**fixed.WAREHOUSE_HOURS)
 
 
 def in_hours(hour: Column, window: tuple[int, int]) -> Column:

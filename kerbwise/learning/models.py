@@ -21,22 +21,6 @@ from kerbwise.session import shared_folder, written
 
 SEED = fixed.SAMPLE_SEED
 
-SEVERITY_NUMERIC = [
-    "latitude", "longitude", "hour", "day_of_week", "month",
-    "is_weekend", "is_rush_hour", "is_night", "cell_density", "neighbor_density",
-    "city_avg_severity", "city_severity_std", "city_avg_casualties",
-    "road_type_risk", "vehicle_type_risk",
-]
-SEVERITY_CATEGORIES = ["city", "state", "vehicle_type", "road_type", "weather", "season"]
-CASUALTY_NUMERIC = [
-    "latitude", "longitude", "hour", "day_of_week", "month", "severity",
-    "is_weekend", "is_rush_hour", "is_night", "cell_density", "neighbor_density",
-    "road_type_risk", "vehicle_type_risk",
-]
-CASUALTY_CATEGORIES = ["city", "vehicle_type", "road_type", "weather"]
-HOTSPOT_NUMERIC = ["center_lat", "center_lon", "avg_severity", "common_hour"]
-HOTSPOT_LEAKING = "density_score"  # a function of the label; only on request
-HOTSPOT_CATEGORIES = ["common_vehicle", "common_road"]
 CLASS_NAMES = {code - 1: name for code, name in fixed.SEVERITY_LABELS.items()}
 
 
@@ -204,7 +188,7 @@ def _score(model: FittedModel, matrix: DataFrame) -> None:
 
 def severity_matrix(features: DataFrame) -> tuple[FittedModel, DataFrame]:
     return prepare(
-        features, "severity_prediction", SEVERITY_NUMERIC, SEVERITY_CATEGORIES,
+        features, "severity_prediction", fixed.SEVERITY_NUMERIC, fixed.SEVERITY_CATEGORIES,
         F.col("severity") - 1, "accident_id",
     )
 
@@ -274,9 +258,9 @@ def train_hotspot_model(
     left out unless ``include_density`` asks for it. ``settings`` keeps the least
     number of incidents of a cell that counted as a hotspot.
     """
-    numeric = HOTSPOT_NUMERIC + ([HOTSPOT_LEAKING] if include_density else [])
+    numeric = fixed.HOTSPOT_NUMERIC + ([fixed.HOTSPOT_LEAKING] if include_density else [])
     model, matrix = prepare(
-        profiles, "hotspot_prediction", numeric, HOTSPOT_CATEGORIES, F.col("is_hotspot"), "cell"
+        profiles, "hotspot_prediction", numeric, fixed.HOTSPOT_CATEGORIES, F.col("is_hotspot"), "cell"
     )
     settings = {"maxIter": 200, "stepSize": 0.1, "seed": SEED, **params}
     model.stages = [GBTClassifier(**settings).fit(_train(matrix))]
@@ -290,7 +274,7 @@ def train_hotspot_model(
 def train_casualty_model(features: DataFrame, **params: float) -> tuple[FittedModel, DataFrame]:
     """Casualty regressor; the split is not stratified."""
     model, matrix = prepare(
-        features, "casualty_prediction", CASUALTY_NUMERIC, CASUALTY_CATEGORIES,
+        features, "casualty_prediction", fixed.CASUALTY_NUMERIC, fixed.CASUALTY_CATEGORIES,
         F.col("casualties"), "accident_id", stratified=False,
     )
     settings = {"numTrees": 100, "maxDepth": 10, "seed": SEED, **params}

@@ -5,13 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kerbwise import fixed
 from kerbwise.schema import UNPARSED
 from kerbwise.session import written
 
-REQUIRED = ("city", "state", "latitude", "longitude", "accident_datetime", "date", "time")
-RANGES = {"hour": (0, 23), "day_of_week": (0, 6), "month": (1, 12), "year": (2000, 2030)}
-REQUEST_RANGES = {"latitude": (-90, 90), "longitude": (-180, 180), "hour": (0, 23)}
-
 
 def _range_rules(ranges: dict[str, tuple[int, int]]) -> dict[str, Column]:
     return {
@@ -26,8 +23,8 @@ def _missing_rules(names: tuple[str, ...]) -> dict[str, Column]:
 def incident_rules() -> dict[str, Column]:
     """Reason -> condition of each violation. As in SQL, a null passes a range check."""
     return {
-        **_missing_rules(("accident_id", *REQUIRED)),
-        **_range_rules(RANGES),
+        **_missing_rules(("accident_id", *fixed.REQUIRED)),
+        **_range_rules(fixed.RANGES),
         "severity_value": ~F.col("severity").isin(1, 2, 3),
     }
 
@@ -78,7 +75,7 @@ def violation_counts(df: DataFrame) -> DataFrame:
 
 def request_reasons(df: DataFrame) -> DataFrame:
     """Trip requests with the rules they break; a missing value is a violation here."""
-    rules = {**_missing_rules(tuple(REQUEST_RANGES)), **_range_rules(REQUEST_RANGES)}
+    rules = {**_missing_rules(tuple(fixed.REQUEST_RANGES)), **_range_rules(fixed.REQUEST_RANGES)}
     return df.withColumn("reasons", _reasons(rules))
 
 

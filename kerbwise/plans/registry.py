@@ -774,8 +774,9 @@ def stream_hotspots_folded(spark, sf_dir):
     """Hotspots of events that arrive in six files, by time: three batches, folded and removed, then three more."""
     folder, arrivals = new_path(spark, "hotspots"), new_path(spark, "event-files")
     events = wh.table(spark, sf_dir, "events")
-    sixths = events.select(F.percentile(F.unix_micros(F.col("ts").cast("timestamp")), [k / 6 for k in range(1, 6)])).first()[0]
-    part = sum((F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")) > F.lit(x), F.lit(False)).cast("int") for x in sixths or []), F.lit(0))
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    sixths = events.select(F.percentile_approx(at, [k / 6 for k in range(1, 6)])).first()[0]  # a sketch of fixed size
+    part = sum((F.coalesce(at > F.lit(x), F.lit(False)).cast("int") for x in sixths or []), F.lit(0))
     parts = written(events.withColumn("_part", part), "event-parts")
     for half in (range(3), range(3, 6)):
         for k in half:

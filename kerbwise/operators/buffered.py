@@ -1,20 +1,21 @@
 """Hotspots by buffering: places with enough incidents within a distance, joined where their buffers reach one another.
 
 Incidents are first summed by site, the nearest point of a lattice of 1/``sites_per_degree`` degree (11 m by
-default, about the precision of a reported position). However many incidents lie in one place, a
-site has a bounded number of sites within the buffer, so the pairs below grow with the area covered and not with a
-crowded place. A site is *core* when its buffer holds ``min_incidents`` or more, itself included. Core sites within each other's
-buffers are one hotspot, named by its least site; another site within the buffer of core sites belongs to the
+default, about the precision of a reported position), so a crowded place is one row. Sites are grouped by
+buckets narrower than the buffer, and most work is done by groups. A site is *core* when its buffer holds
+``min_incidents`` or more, itself included. Core sites within each other's buffers are one hotspot, named by its least site; another site within the buffer of core sites belongs to the
 hotspot of the nearest one.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbwise import fixed
-from kerbwise.functions.geo import MICRO, micro_degrees, short_way
+from kerbwise.functions.geo import EARTH_RADIUS_M, METERS_PER_DEGREE, MICRO, bucket_of, haversine_m, micro_degrees, short_way
 from kerbwise.operators.radius import radius_join
 from kerbwise.session import written
 
@@ -89,28 +90,127 @@ def least_labels(pairs: DataFrame) -> DataFrame:
     return labels
 
 
+#: Side of the buckets that sites are grouped by, as a share of the buffer: the diagonal stays below it.
+BUCKET_SHARE = 0.7
+#: Widest group, in degrees, whose extent is bounded by its box.
+WIDEST_GROUP = 10.0
+
+
+def _grouped(placed: DataFrame, buffer_m: float, min_incidents: int) -> DataFrame:
+    """The sites with their ``group`` and whether it is ``dense``.
+
+    Sites of one group are all within the buffer of each other: those of a bucket, if the box around them shows it, else (near
+    the poles) each site by itself. So the sites of a group with ``min_incidents`` are core without a search, and any
+    other group has fewer sites than that, or one. A group is named by its least site.
+    """
+    bucketed = placed.select(
+        "site", "n", "latitude", "longitude",
+        bucket_of(F.col("latitude"), F.col("longitude"), BUCKET_SHARE * buffer_m / METERS_PER_DEGREE).alias("bucket"),
+    )
+    boxes = bucketed.groupBy("bucket").agg(
+        F.sum("n").alias("inside"), F.min("site").alias("least"),
+        *[f(c).alias(f"{name}_{c}") for c in ("latitude", "longitude") for name, f in (("low", F.min), ("high", F.max))],
+    )
+    tall, wide = (F.col(f"high_{c}") - F.col(f"low_{c}") for c in ("latitude", "longitude"))
+    equatorward = F.greatest(F.lit(0.0), F.greatest(F.col("low_latitude"), -F.col("high_latitude")))
+    half_lat, half_lon = F.sin(F.radians(tall) / 2.0), F.sin(F.radians(wide) / 2.0) * F.cos(F.radians(equatorward))
+    most = (1.0 - 1e-9) * math.sin(min(buffer_m / (2.0 * EARTH_RADIUS_M), math.pi / 2.0)) ** 2  # of the squared half chord
+    tight = (half_lat * half_lat + half_lon * half_lon <= most) & (F.greatest(tall, wide) <= WIDEST_GROUP)
+    groups = boxes.select("bucket", "inside", "least", tight.alias("tight"))
+    return bucketed.join(groups, "bucket").select(
+        "site", "n", "latitude", "longitude", F.when(F.col("tight"), F.col("least")).otherwise(F.col("site")).alias("group"),
+        (F.when(F.col("tight"), F.col("inside")).otherwise(F.col("n")) >= min_incidents).alias("dense"),
+    )
+
+
+def _centers(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.select(*columns, F.col("latitude").alias("center_lat"), F.col("longitude").alias("center_lon"))
+
+
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+def _core_groups(core: DataFrame, buffer_m: float) -> DataFrame:
+    """``(group, label)``: the least group that each group of core sites is joined with.
+
+    Core sites of a group are within each other's buffers, so groups are joined, not sites. First by the outermost sites of
+    each alone, which settles crowded places; then all sites are compared, of groups near each
+    other that are still apart. Neither list of pairs grows with the number of sites in a group.
+    """
+    lat, lon = F.struct("latitude", "longitude", "site"), F.struct("longitude", "latitude", "site")
+    boxes = written(
+        core.groupBy("group").agg(
+            F.min(lat).alias("south"), F.max(lat).alias("north"), F.min(lon).alias("west"), F.max(lon).alias("east")
+        ),
+        "core-groups",
+    )
+    outer = written(
+        boxes.select("group", F.explode(F.array(*[
+            F.struct(F.col(f"{side}.latitude").alias("latitude"), F.col(f"{side}.longitude").alias("longitude"))
+            for side in ("south", "north", "west", "east")
+        ])).alias("p")).select("group", "p.latitude", "p.longitude").distinct(),
+        "outer-sites",
+    )
+    touching = radius_join(outer.withColumnRenamed("group", "a"), _centers(outer, F.col("group").alias("b")), buffer_m)
+    first = written(
+        boxes.select("group").join(
+            least_labels(touching.where("a != b").select("a", "b").distinct()).withColumnRenamed("node", "group"), "group", "left"
+        ).select("group", F.coalesce("label", "group").alias("label")),
+        "group-labels",
+    )
+    middles = written(
+        boxes.join(first, "group").select(
+            "group", "label", ((F.col("south.latitude") + F.col("north.latitude")) / 2.0).alias("latitude"),
+            ((F.col("west.longitude") + F.col("east.longitude")) / 2.0).alias("longitude"),
+        ),
+        "group-middles",
+    )
+    # a middle is at most about half the buffer away from its sites
+    apart = radius_join(
+        middles.withColumnsRenamed({"group": "a", "label": "label_a"}),
+        _centers(middles, F.col("group").alias("b"), F.col("label").alias("label_b")), 2.01 * buffer_m,
+    ).where("label_a < label_b").select("a", "b", "label_a", "label_b")
+    one, other = (
+        core.select(F.col("group").alias(g), F.col("latitude").alias(f"lat_{g}"), F.col("longitude").alias(f"lon_{g}")) for g in ("a", "b")
+    )
+    meters = haversine_m(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))
+    met = (
+        written(apart, "groups-apart").join(one, "a").join(other, "b").where(meters <= buffer_m)
+        .select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct()
+    )
+    last = least_labels(_both_ways(written(met, "groups-met")))
+    return first.join(last.select(F.col("node").alias("label"), F.col("label").alias("joined")), "label", "left").select(
+        "group", F.coalesce("joined", "label").alias("label")
+    )
+
+
 def site_hotspots(placed: DataFrame, buffer_m: float, min_incidents: int) -> DataFrame:
-    """``(site, hotspot, is_core)`` of the sites (a written table) that belong to a hotspot."""
-    centers = placed.select(F.col("site").alias("center"), F.col("latitude").alias("center_lat"), F.col("longitude").alias("center_lon"))
-    around = radius_join(placed.select("site", "n", "latitude", "longitude"), centers, buffer_m)
-    core = written(
-        around.groupBy("center").agg(F.sum("n").alias("inside")).where(F.col("inside") >= min_incidents).select("center"), "core-sites"
-    )
-    near = written(
-        radius_join(placed.select("site", "latitude", "longitude"), centers.join(core, "center", "left_semi"), buffer_m)
-        .select("site", "center", "distance_m"),
-        "near-core",
-    )
-    between = near.join(core.withColumnRenamed("center", "site"), "site", "left_semi")
-    labels = least_labels(between.select(F.col("site").alias("a"), F.col("center").alias("b")))
+    """``(site, hotspot, is_core)`` of the sites (a written table) that belong to a hotspot.
+
+    Only sites outside dense groups, few to a bucket, are compared with the sites around them, and no pairs of
+    sites are kept: time and disk grow with the sites, not with the pairs within the buffer.
+    """
+    grouped = written(_grouped(placed, buffer_m, min_incidents), "grouped-sites")
+    loose = written(grouped.where(~F.col("dense")), "loose-sites")
+    around = radius_join(grouped.select("n", "latitude", "longitude"), _centers(loose, "site"), buffer_m)
+    more = around.groupBy("site").agg(F.sum("n").alias("inside")).where(F.col("inside") >= min_incidents).select("site")
+    core = grouped.where("dense").drop("n", "dense").unionByName(
+        loose.drop("n", "dense").join(written(more, "core-sites"), "site", "left_semi")
+    )
+    core = written(core, "core")
+    # a group is named by its least core site from here on
+    least = core.groupBy("group").agg(F.min("site").alias("least"))
+    core = written(core.join(least, "group").drop("group").withColumnRenamed("least", "group"), "named-core")
     named = written(
-        core.join(labels.withColumnRenamed("node", "center"), "center", "left").select("center", F.coalesce("label", "center").alias("hotspot")),
-        "hotspots",
+        core.join(_core_groups(core, buffer_m), "group").select("site", "latitude", "longitude", F.col("label").alias("hotspot")), "hotspots"
+    )
+    outside = loose.join(named.select("site"), "site", "left_anti")
+    border = (
+        radius_join(named.select("hotspot", "latitude", "longitude"), _centers(outside, "site"), buffer_m)
+        .groupBy("site").agg(F.min(F.struct("distance_m", "hotspot"))["hotspot"].alias("hotspot"))
     )
-    own = named.select(F.col("center").alias("site"), "hotspot", F.lit(True).alias("is_core"))
-    outer = near.join(core.withColumnRenamed("center", "site"), "site", "left_anti").join(named, "center")
-    border = outer.groupBy("site").agg(F.min_by("hotspot", F.struct("distance_m", "hotspot")).alias("hotspot"))
-    return own.unionByName(border.withColumn("is_core", F.lit(False)))
+    return named.select("site", "hotspot", F.lit(True).alias("is_core")).unionByName(border.withColumn("is_core", F.lit(False)))
 
 
 def buffered_hotspots(

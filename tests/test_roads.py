@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kerbwise.functions import geo
-from kerbwise.operators import buffered, network, overlay
+from kerbwise.operators import buffered, network, overlay, radius
 from kerbwise.session import written
 
 SEGMENT = "road_id long, lat0 double, lon0 double, lat1 double, lon1 double"
@@ -158,3 +158,31 @@ def test_buffered_hotspots_equal_brute_force(spark, lon):
     chain = max(figures, key=lambda r: r.hotspot)
     assert (chain.accident_count, chain.center_lon) == (90, pytest.approx(lon)) and chain.center_lat == pytest.approx(15.05 + 0.003 * 14.5, abs=1e-4)
     assert buffered.buffered_hotspots(df.where("false")).count() == 0
+
+
+def test_buffered_hotspots_of_a_crowded_place_keep_no_pairs(spark, monkeypatch):
+    kept = []
+
+    def counted(df, label):
+        out = written(df, label)
+        kept.append((out.count(), label))
+        return out
+
+    for module in (buffered, radius):
+        monkeypatch.setattr(module, "written", counted)
+    crowd = [(15 + i * 1e-4, 75 + j * 1e-4) for i in range(40) for j in range(40)]
+    near = [(15.0039 + 0.004, 75.0 + 0.001 * k) for k in range(3)]  # beyond the crowd, reached by its edge
+    df = spark.createDataFrame([(a, b, 1) for a, b in (crowd + near) for _ in range(2)], "latitude double, longitude double, severity int")
+    figures = buffered.buffered_hotspots(df).collect()
+    assert [(r.sites, r.accident_count) for r in figures] == [(1603, 3206)]
+    assert max(kept)[0] <= 20 * 1603, max(kept)
+
+
+@pytest.mark.parametrize("pole", [90, -90])
+def test_buffered_hotspots_at_the_poles_equal_brute_force(spark, pole):
+    rng = random.Random(11)
+    points = [(pole * (1 - abs(rng.gauss(0, 1e-4))), rng.uniform(-180, 179.9)) for _ in range(120)]
+    df = spark.createDataFrame([(a, b, 1) for a, b in points], "latitude double, longitude double, severity int")
+    got = buffered.site_hotspots(written(buffered.sites(df), "sites"), 300.0, 4).collect()
+    want, core = brute_hotspots(points, 300.0, 4)
+    assert {r.site: r.hotspot for r in got} == want and {r.site for r in got if r.is_core} == core and want

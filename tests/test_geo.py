@@ -1,3 +1,4 @@
+import collections
 import math
 import random
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kerbwise.functions import geo
 from kerbwise.operators import radius, spatial
+from kerbwise.session import written
 from tests.rows import make
 
 
@@ -237,3 +239,52 @@ def test_roads_across_the_date_line_and_rows_without_ids(spark):
     assert by_id["c"].road_id == "across" and by_id["c"].distance_meters == 0.0
     assert {by_id["a"].road_id, by_id["b"].road_id} <= {"across", "east"} and 110 < by_id["b"].distance_meters < 112
     assert match_roads(points, roads.where("road_id = 'east'"), 500.0).where("accident_id = 'a'").first().distance_meters > 200
+
+
+@pytest.mark.parametrize("radius_m", [700.0, 9000.0, 60000.0])
+def test_figures_around_centers_equal_those_of_all_pairs_without_making_them(spark, monkeypatch, radius_m):
+    rng = random.Random(5)
+    points = _cloud(1, 40) + [(15 + rng.gauss(0, 0.05), 75 + rng.gauss(0, 0.05)) for _ in range(1500)] + [(15.01, 75.02)] * 300
+    points += [(89.999, -10.0), (0.0, 179.9999), (91.0, 20.0), (None, 1.0), (15.0, None)]
+    places = _cloud(2, 8) + [(15 + rng.gauss(0, 0.05), 75 + rng.gauss(0, 0.05)) for _ in range(25)]
+    places += [(89.9999, 170.0), (0.0, -180.0), (92.0, 20.0), (None, 3.0), (15.0, 75.0), (15.0, 75.0)]
+    p = spark.createDataFrame(
+        [(*x, (None, 1, 2, 3)[i % 4], 1, 0) for i, x in enumerate(points)],
+        "latitude double, longitude double, severity int, casualties int, fatalities int",
+    )
+    keys = [(None if i % 7 == 0 else i // 2, *x) for i, x in enumerate(places)]  # keys repeat and are null
+    c = spark.createDataFrame(keys, "k int, center_lat double, center_lon double")
+    figures = (
+        radius.radius_join(p, c, radius_m).groupBy("k")
+        .agg(F.count("*"), F.avg("severity"), F.count_if(F.col("severity") == 3), F.round(F.min("distance_m"), 2)).collect()
+    )
+    want = sorted((tuple(r) for r in figures), key=str)
+
+    def pairs(*_):
+        raise AssertionError("pairs of all incidents")
+
+    monkeypatch.setattr(radius, "radius_join", pairs)
+    got = sorted((tuple(r) for r in radius.incidents_around(p, c, "k", radius_m).collect()), key=str)
+    assert [r[:2] + r[3:4] for r in got] == [r[:2] + r[3:4] for r in want] and len(want) > 5
+    for mine, theirs in zip(got, want):
+        assert mine[2] == pytest.approx(theirs[2]) and mine[4] == pytest.approx(theirs[4], abs=0.011)
+
+
+def test_incidents_far_from_the_edge_of_a_circle_are_not_compared(spark, monkeypatch):
+    rng = random.Random(3)
+    points = [(15 + rng.uniform(-0.1, 0.1), 75 + rng.uniform(-0.1, 0.1)) for _ in range(20000)]
+    p = spark.createDataFrame([(*x, 1) for x in points], "latitude double, longitude double, severity int")
+    c = spark.createDataFrame([(0, 15.0, 75.0)], "k int, center_lat double, center_lon double")
+    rows, squares = radius._levels(p, 5000.0)
+    labels = collections.Counter()
+
+    def counted(df, label):
+        out = written(df, label)
+        labels[label] += out.count()
+        return out
+
+    monkeypatch.setattr(radius, "written", counted)
+    spread = c.withColumn("_bucket", F.explode(radius.buckets_around(F.col("center_lat"), F.col("center_lon"), F.lit(5000.0), 5000.0 / radius.METERS_PER_DEGREE)))
+    inside = radius._totals_within(spread, rows, squares, 5000.0).first().n
+    assert inside == sum(haversine(15.0, 75.0, *x) <= 5000.0 for x in points)
+    assert len(squares) > 1 and sum(labels.values()) < inside / 10

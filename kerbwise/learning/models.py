@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel, Transformer
@@ -158,9 +159,14 @@ def prepare(
     return model, written(matrix, f"{name}-matrix")
 
 
-#: Partitions of the training rows. Trees draw their samples by partition, so the number is
-#: fixed: the same rows give the same model on any cluster. Raise it with the size of the data.
+#: Least partitions of the training rows, and most rows that a partition gets on average. Trees draw their samples by
+#: partition, so the number follows from the rows alone: the same rows give the same model on any cluster.
 TRAIN_PARTITIONS = 8
+PARTITION_ROWS = 200_000
+
+
+def train_partitions(rows: int) -> int:
+    return max(TRAIN_PARTITIONS, math.ceil(rows / PARTITION_ROWS))
 
 
 def _train(matrix: DataFrame) -> DataFrame:
@@ -172,7 +178,8 @@ def _train(matrix: DataFrame) -> DataFrame:
     context = matrix.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(matrix.sparkSession))
-    return matrix.where("is_train").repartition(TRAIN_PARTITIONS, key).sortWithinPartitions(key)
+    rows = matrix.where("is_train")
+    return rows.repartition(train_partitions(rows.count()), key).sortWithinPartitions(key)
 
 
 def _test(matrix: DataFrame) -> DataFrame:

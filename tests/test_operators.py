@@ -371,3 +371,13 @@ def test_training_rows_have_one_layout(spark):
     layout = lambda df: _train(df).select("id", F.spark_partition_id().alias("p")).collect()
     assert layout(rows.repartition(3)) == layout(rows.repartition(11))
     assert max(r.p for r in layout(rows)) < TRAIN_PARTITIONS
+
+
+def test_partitions_of_training_rows_grow_with_the_rows(spark, monkeypatch):
+    from kerbwise.learning import models
+
+    rows = spark.range(5000).select(F.col("id").cast("string").alias("id"), F.lit(True).alias("is_train"))
+    monkeypatch.setattr(models, "PARTITION_ROWS", 250)
+    sizes = [n for n in models._train(rows).rdd.glom().map(len).collect()]
+    assert len(sizes) == 20 and max(sizes) < 2 * 250
+    assert models.train_partitions(0) == models.TRAIN_PARTITIONS == models.train_partitions(8 * 250)

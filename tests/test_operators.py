@@ -381,3 +381,12 @@ def test_partitions_of_training_rows_grow_with_the_rows(spark, monkeypatch):
     sizes = [n for n in models._train(rows).rdd.glom().map(len).collect()]
     assert len(sizes) == 20 and max(sizes) < 2 * 250
     assert models.train_partitions(0) == models.TRAIN_PARTITIONS == models.train_partitions(8 * 250)
+
+
+def test_jobs_run_together_and_keep_their_order(spark):
+    import threading
+
+    from kerbwise.learning.models import together
+
+    met = threading.Barrier(3, timeout=60)  # no job ends before all have begun
+    assert together(spark, [lambda k=k: (met.wait(), spark.range(k).count())[1] for k in (3, 1, 2)]) == [3, 1, 2]

@@ -288,3 +288,27 @@ def test_incidents_far_from_the_edge_of_a_circle_are_not_compared(spark, monkeyp
     inside = radius._totals_within(spread, rows, squares, 5000.0).first().n
     assert inside == sum(haversine(15.0, 75.0, *x) <= 5000.0 for x in points)
     assert len(squares) > 1 and sum(labels.values()) < inside / 10
+
+
+def test_road_match_sorts_no_pairs(spark, monkeypatch):
+    """Pairs of incidents and roads meet hash aggregates only, and an incident near a road meets few of them."""
+    from kerbwise.operators import radius
+
+    roads = spark.createDataFrame(
+        [(i, 15.0 + i / 1000, 75.0, 15.0 + i / 1000, 75.001) for i in range(40)] + [(90, 15.0, 75.0, 15.0, 75.001)],
+        "road_id long, lat0 double, lon0 double, lat1 double, lon1 double",
+    )
+    spots = [{"accident_id": f"a{k}", "latitude": 15.0 + k / 10000, "longitude": lon} for k in range(60) for lon in (75.0005, 75.004, 75.02)]
+    plans, real = [], radius.written
+    seen = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+
+    def written(df, label):
+        seen(df)
+        return real(df, label)
+
+    monkeypatch.setattr(radius, "written", written)
+    matched = radius.match_roads(make(spark, *spots, cell=False), roads, 500.0)
+    seen(matched)
+    assert any("HashAggregate" in text for text in plans) and not any("SortAggregate" in text for text in plans)
+    got = matched.collect()
+    assert len(got) == 120 and all(r.road_id == (int(r.accident_id[1:]) + 5) // 10 for r in got if int(r.accident_id[1:]) % 10 != 5)

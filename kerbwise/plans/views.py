@@ -87,6 +87,8 @@ _BUCKETS = f"""
                least({_slot(f"center_lon + {_SIDE}")}, {_slot(f"center_lon - {_SIDE}")} + band.slots - 1)),
       s -> shiftleft(band.band, 32) + pmod(s, band.slots))))"""
 
+#: A centre is a row for each of its buckets, which the planner does not count, so neither side is broadcast: the work is
+#: shared out by bucket over all tasks.
 _NEAR_FUNCTION = f"""
 CREATE OR REPLACE TEMPORARY FUNCTION accidents_near(
     center_lat DOUBLE, center_lon DOUBLE, radius_meters INT DEFAULT {fixed.RADIUS_METERS})
@@ -95,7 +97,7 @@ RETURN
   SELECT near.accident_id, near.city, near.severity,
          CAST(round(CAST(near.meters AS DECIMAL(18,8)), 2) AS DOUBLE)
   FROM (
-    SELECT a.accident_id, a.city, a.severity,
+    SELECT /*+ MERGE(reached) */ a.accident_id, a.city, a.severity,
            2 * {EARTH_RADIUS_M} * asin(sqrt(least(1.0D,
              pow(sin(radians(a.latitude - center_lat) / 2), 2)
              + cos(radians(center_lat)) * cos(radians(a.latitude))

@@ -74,3 +74,10 @@ def test_small_sides_are_not_forced_when_broadcast_is_off(spark, incidents, smal
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert rows == incidents.count()
+
+
+def test_rows_around_requests_are_found_by_a_shuffled_join_and_not_shuffled_themselves(spark, small):
+    text = plan(QUERIES["sql_radius_requests"](spark, small))
+    joins = [line for line in text.splitlines() if "Join [" in line]
+    assert "BroadcastHashJoin [knownfloatingpointnormalized" in joins[0] and "latitude" in joins[0]
+    assert any("SortMergeJoin [bucket" in line for line in joins)

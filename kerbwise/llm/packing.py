@@ -12,6 +12,7 @@ packed as often as they occur; an empty table has no pieces; other columns are i
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,7 +31,8 @@ WINDOW = 4096
 END_ID = 2
 #: A letter a-z followed by one of these always ends a token of the tokenizer's own splitting.
 _AFTER_LETTER = b",.;:!?)"
-_SLICE_BYTES = 1 << 20
+#: Text that a worker tokenises at a time: the arrays of a step take some 60 bytes for each of its bytes.
+_SLICE_BYTES = 1 << 18
 #: Byte-level spelling: printable bytes stand for themselves, the others for 256, 257 and so on.
 _PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
@@ -50,6 +52,8 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 @lru_cache(maxsize=2)
 def _loaded(path: str):
+    # Spark runs a worker for each core; threads of its own would only hold memory beside the other workers
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path), KeyedRows()

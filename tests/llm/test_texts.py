@@ -2,7 +2,9 @@
 
 import collections
 import hashlib
+import os
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -140,6 +142,21 @@ def test_word_hashes_and_shingles():
     assert np.diff(at).tolist() == [len(shingle_set(t)) for t in TEXTS]
 
 
+def test_tokenising_holds_little_beside_a_batch(monkeypatch):
+    """What a worker takes for a batch of 4 MB: it is cut into slices, and no threads are started beside the worker."""
+    monkeypatch.delenv("TOKENIZERS_PARALLELISM", raising=False)
+    packing._loaded.cache_clear()
+    task = type("Task", (), {"get": staticmethod(lambda: type("Context", (), {"partitionId": lambda self: 0})())})
+    monkeypatch.setattr(packing, "TaskContext", task)
+    texts = [f"row {i} of some plain words, again and again " * 30 for i in range(3000)]
+    batch = pa.record_batch({"doc_id": list(range(len(texts))), "text": texts})
+    tracemalloc.start()
+    assert sum(out.num_rows for out in packing._tokenised(packing.tokenizer_path())([batch])) == len(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6 and os.environ["TOKENIZERS_PARALLELISM"] == "false"
+
+
 def test_packing(docs):
     from tokenizers import Tokenizer
 

@@ -110,47 +110,53 @@ def duplicate_keys(df: DataFrame, key: str = "accident_id", order_by: str = "acc
     )
 
 
-def deduplicate(
-    df: DataFrame, key: str = "accident_id", order_by: str = "accident_datetime"
-) -> tuple[DataFrame, DataFrame]:
-    """(kept, surplus): the newest row of each key, and every other row once per content.
-
-    ``surplus.copies`` is the number of rows it stands for. Of equally new rows the one
-    with the largest hash is kept; a row without a time is the oldest. Rows without a key are kept.
-    Repeated keys are found with a hash aggregate on the key alone, and rows of all other
-    keys pass through untouched. The rest is reduced to its distinct contents, which are
-    written with a number each; winners are chosen among (key, time, hash, number), so no wide
-    row is compared or sorted, and they are joined back by number. A hot key is one row per map
-    task and distinct content before each shuffle. The lists of keys and of winners
-    are written, so their real size decides how they are joined.
+def marked_contents(df: DataFrame, key: str = "accident_id", order_by: str = "accident_datetime") -> DataFrame:
+    """Rows with a key, once per content: ``copies`` is the number of rows it stands for, ``is_kept`` marks one content of each key.
+
+    That is the newest; of equally new ones the one with the largest hash, and a content without a time is the oldest.
+    One aggregate, combined map-side, reduces the rows to their contents, which are written with a number each. Winners
+    are chosen among (key, time, hash, number), and only keys with several contents are looked at further: the numbers
+    that lost are written, so their real size decides how they are joined. No wide row is compared or sorted, and
+    where contents of a key differ seldom none is shuffled again. A hot key is one row per map task and distinct
+    content before the shuffle.
     """
     columns = df.columns
-    repeated = written(
-        duplicate_keys(df, key, order_by).where(F.col(key).isNotNull()).select(key), "repeated"
-    )
     contents = written(
-        df.join(repeated, key, "left_semi")
+        df.where(F.col(key).isNotNull())
         .groupBy(*columns)
-        .agg(F.count("*").alias("_copies"))
+        .agg(F.count("*").alias("copies"))
         .withColumn("_number", F.monotonically_increasing_id()),
         "contents",
     )
     at, number = F.col("_at"), F.col("_number")
+    numbered = contents.select(F.col(key).alias("_key"), F.col(order_by).alias("_at"), F.xxhash64(*columns).alias("_hash"), number)
     winners = written(
-        contents.select(F.col(key).alias("_key"), F.col(order_by).alias("_at"), F.xxhash64(*columns).alias("_hash"), number)
-        .groupBy("_key", "_at")
-        .agg(F.max_by(number, "_hash").alias("_number"))
+        numbered.groupBy("_key", "_at")
+        .agg(F.max_by(number, "_hash").alias("_number"), F.count("*").alias("_n"))
         .groupBy("_key")
-        .agg(F.coalesce(F.max_by(number, at), F.max(F.when(at.isNull(), number))).alias("_number"))
-        .select("_number", F.lit(1).alias("_won")),
+        .agg(
+            F.coalesce(F.max_by(number, at), F.max(F.when(at.isNull(), number))).alias("_winner"), F.sum("_n").alias("_n")
+        )
+        .where(F.col("_n") > 1)
+        .select("_key", "_winner"),
         "winners",
     )
-    chosen = contents.join(winners, "_number", "left_semi").select(columns)
-    kept = df.join(repeated, key, "left_anti").select(columns).unionByName(chosen)
-    surplus = (
-        contents.join(winners, "_number", "left")
-        .withColumn("copies", F.col("_copies") - F.coalesce("_won", F.lit(0)))
-        .where(F.col("copies") > 0)
-        .select(*columns, "copies")
+    lost = written(
+        numbered.select("_key", "_number").join(winners, "_key").where(number != F.col("_winner")).select("_number", F.lit(False).alias("_kept")),
+        "lost",
     )
-    return kept, surplus
+    return contents.join(lost, "_number", "left").select(*columns, "copies", F.coalesce("_kept", F.lit(True)).alias("is_kept"))
+
+
+def deduplicate(
+    df: DataFrame, key: str = "accident_id", order_by: str = "accident_datetime"
+) -> tuple[DataFrame, DataFrame]:
+    """(kept, surplus): the newest row of each key, and every other row once per content.
+
+    ``surplus.copies`` is the number of rows it stands for. Which row is kept says :func:`marked_contents`.
+    Rows without a key are kept.
+    """
+    contents = marked_contents(df, key, order_by)
+    kept = contents.where("is_kept").select(df.columns).unionByName(df.where(F.col(key).isNull()))
+    left = F.col("copies") - F.col("is_kept").cast("long")
+    return kept, contents.withColumn("copies", left).where(F.col("copies") > 0).drop("is_kept")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kerbwise.functions.geo import with_cell
-from kerbwise.operators.quality import deduplicate, incident_defaults, parsed, stamped, with_reasons
+from kerbwise.operators.quality import incident_defaults, marked_contents, parsed, stamped, with_reasons
 from kerbwise.schema import CHECKED_CSV, INCIDENT_COLUMNS, INCIDENT_CSV, UNPARSED
 from kerbwise.session import written
 from kerbwise.sources.files import checked_csv, write_incident_table
@@ -80,16 +80,19 @@ class FactStore:
         """
         batch, run = len(self.commits()) + 1, f"r{uuid.uuid4().hex}"
         checked = written(with_reasons(incident_defaults(rows)), "checked")
-        kept, surplus = deduplicate(parsed(checked).where(F.size("reasons") == 0).drop("reasons"))
-        kept = written(kept, "kept")
+        contents = marked_contents(parsed(checked).where(F.size("reasons") == 0).drop("reasons"))
+        kept = contents.where("is_kept")
         ids = written(kept.select("accident_id", self._bucket(F.col("accident_id")).alias("bucket")), "batch-ids")
         known = written(self._known(ids), "known-ids")
-        fresh, new_ids = (df.join(known, "accident_id", "left_anti") for df in (kept, ids))
+        new_ids = ids.join(known, "accident_id", "left_anti")
+        seen = known.withColumn("_seen", F.lit(True))
+        told = written(contents.join(seen, "accident_id", "left").withColumn("_seen", F.coalesce("_seen", F.lit(False))), "told")
+        fresh = told.where("is_kept AND NOT _seen")
         one = F.lit(1).cast("long").alias("copies")
-        again = kept.select("*", one).unionByName(surplus).join(known, "accident_id", "left_semi")
+        left = F.when(F.col("_seen"), F.col("copies")).otherwise(F.col("copies") - F.col("is_kept").cast("long"))
+        why = F.when(F.col("_seen"), KNOWN).otherwise(DUPLICATE)
         repeated = (
-            surplus.join(known, "accident_id", "left_anti").withColumn("reasons", F.array(F.lit(DUPLICATE)))
-            .unionByName(again.groupBy(kept.columns).agg(F.sum("copies").alias("copies")).withColumn("reasons", F.array(F.lit(KNOWN))))
+            told.withColumns({"copies": left, "reasons": F.array(why)}).where(F.col("copies") > 0).drop("is_kept", "_seen")
         )
         number = F.lit(batch).cast("long").alias("batch")
         fact = stamped(with_cell(fresh.select(*INCIDENT_COLUMNS))).select("*", number)

@@ -9,6 +9,7 @@ from kerbwise.functions import calendar as cal
 from kerbwise.functions import rules
 from kerbwise.operators import filters, quality, reports, risk, spatial, summary, temporal
 from kerbwise.operators.totals import marginals
+from kerbwise.session import written
 from tests.rows import make
 
 
@@ -317,6 +318,25 @@ def test_winners_are_chosen_without_sorting_rows(spark):
     assert "SortAggregate" not in text and "ObjectHashAggregate" not in text
 
 
+def test_copies_of_one_content_are_only_counted(spark, monkeypatch):
+    """Ids whose rows are equal need no winner, so their rows are not looked up again."""
+    kept_apart = {}
+
+    def counted(df, label):
+        out = written(df, label)
+        kept_apart[label] = out.count()
+        return out
+
+    monkeypatch.setattr(quality, "written", counted)
+    df = spark.range(900).selectExpr("string(id % 300) accident_id", "timestamp_seconds(id % 300) accident_datetime", "id % 300 payload")
+    kept, surplus = quality.deduplicate(df)
+    assert kept.count() == 300 and [tuple(r) for r in surplus.groupBy("copies").count().collect()] == [(2, 300)]
+    assert kept_apart.pop("contents") == 300 and set(kept_apart.values()) == {0}
+    other = spark.createDataFrame([("7", None, -1), (None, None, 1), (None, None, 1)], df.schema)
+    kept, surplus = quality.deduplicate(df.unionByName(other))
+    assert kept.count() == 302 and surplus.where("payload = -1").first().copies == 1 and kept_apart["lost"] == 1
+
+
 def test_hot_key_dedupe(spark):
     df = spark.range(3000).select(
         F.when(F.col("id") % 3 == 0, "HOT").otherwise(F.col("id").cast("string")).alias("accident_id"),

@@ -1,4 +1,5 @@
 import datetime as dt
+import threading
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from kerbwise.learning import encoding, evaluation, models, scoring, search
 from kerbwise.learning import features as feat
 from kerbwise.operators import filters, spatial, temporal
+from kerbwise.plans import registry
 from kerbwise.session import new_path, written
 from kerbwise.sources import warehouse as wh
 from tests.rows import make
@@ -248,6 +250,37 @@ def test_scoring(spark, small, severity, past):
         assert r.risk_score == pytest.approx(p["Minor"] + 2 * p["Serious"] + 3 * p["Fatal"])
 
 
+def test_evidence_boosts_beside_its_forests_and_fills_few_histograms_at_a_time(spark, small, monkeypatch):
+    begun, beside, passes = threading.Event(), [], []
+    forest, boosting, casualty = models.train_severity_model, models.train_hotspot_model, models.train_casualty_model
+
+    def severity_forest(rows, **params):
+        begun.set()
+        out = forest(rows, numTrees=3, maxDepth=2, **params)
+        passes.append(out[0].stages[0].getMaxMemoryInMB())
+        beside.append(ended.wait(120))  # the boosted model needs nothing of the forests
+        return out
+
+    def boosted(rows):
+        assert begun.wait(120)
+        out = boosting(rows, maxIter=2, maxDepth=2)
+        ended.set()
+        return out
+
+    def casualties(rows, **params):
+        out = casualty(rows, numTrees=3, maxDepth=2, **params)
+        passes.append(out[0].stages[0].getMaxMemoryInMB())
+        return out
+
+    ended = threading.Event()
+    monkeypatch.setattr(models, "train_severity_model", severity_forest)
+    monkeypatch.setattr(models, "train_hotspot_model", boosted)
+    monkeypatch.setattr(models, "train_casualty_model", casualties)
+    rows = registry.learning_evidence(spark, small).collect()
+    assert beside == [True] and len(passes) == 2 and max(passes) < 256
+    assert {r.subject for r in rows} >= {"severity", "hotspot", "casualty", "score"} and all(r.unsound == 0 for r in rows)
+
+
 def test_request_defaults_where_nothing_is_known(spark, past):
     request = spark.createDataFrame(
         [(1, -40.0, 10.0, 18, "Hovercraft", "Canal", None)],

@@ -382,6 +382,36 @@ def test_sql_function_around_many_centres_is_a_bucket_join(spark, incidents):
     assert spark.sql("SELECT * FROM centres, LATERAL accidents_near(center_lat, center_lon) a").where("id in (4, 5)").count() == 0
 
 
+def test_places_hold_every_request_in_short_lists(spark, monkeypatch):
+    from kerbwise.operators import radius
+
+    monkeypatch.setattr(radius, "PLACE_IDS", 10)
+    rows = [(i % 40, 1.0, 2.0) for i in range(95)] + [(None, 1.0, 2.0), (7, None, 2.0), (8, 3.0, None), (9, 3.0, float("nan")), (9, 3.0, float("nan"))]
+    df = spark.createDataFrame(rows, "request_id long, latitude double, longitude double").repartition(3)
+    places = radius.places_of(df, "request_id")
+    back = places.select(F.explode("ids").alias("request_id"), "latitude", "longitude")
+    assert back.exceptAll(df).count() == 0 == df.exceptAll(back).count() and places.count() < len(rows) / 2
+    assert max(len(r.ids) for r in places.collect()) <= 20
+
+
+def test_requests_at_one_place_are_searched_for_together(spark, small):
+    from kerbwise.plans import registry
+
+    df = registry.sql_radius_requests(spark, small)
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    spread = next(i for i, line in enumerate(lines) if "Generate explode(ids" in line)
+    assert spread < next(i for i, line in enumerate(lines) if "Join [" in line)  # above all joins
+
+
+def test_distances_of_the_table_functions_round_as_decimals_do(spark):
+    from kerbwise.plans.views import _METERS
+
+    meters = F.when(F.col("id") % 3 == 0, F.col("id") / 1000.0).when(F.col("id") % 3 == 1, F.col("id") * 0.005).otherwise(F.rand(3) * 2e7)
+    spark.range(300_000).select(meters.alias("meters")).createOrReplaceTempView("near")
+    assert spark.sql(f"SELECT count_if(NOT ({_METERS} <=> CAST(round(CAST(meters AS DECIMAL(18,8)), 2) AS DOUBLE))) FROM near").first()[0] == 0
+    assert spark.sql(f"SELECT {_METERS} FROM (SELECT CAST(NULL AS DOUBLE) AS meters) near").first()[0] is None
+
+
 def test_training_rows_have_one_layout(spark):
     from pyspark.sql import functions as F
 

@@ -141,6 +141,38 @@ def test_boosted_model_and_reload(table, spark):
         models.train_severity_model(table, "nearest")
 
 
+def test_fits_run_one_at_a_time_where_one_keeps_every_core_busy(spark, monkeypatch):
+    cores = spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(models, "PARTITION_ROWS", 10)
+    few, busy = 10 * models.TRAIN_PARTITIONS, 10 * (models.TRAIN_PARTITIONS + cores)
+    assert [models.fits_at_once(spark, rows, 3) for rows in (0, few, busy)] == [3, 3, 1]
+    monkeypatch.setattr(models, "TRAIN_PARTITIONS", 0)
+    assert models.fits_at_once(spark, 10, 3) == min(3, cores)  # a fit of one task leaves cores for others
+
+
+@pytest.mark.parametrize("many", [False, True])
+def test_many_rows_are_boosted_class_by_class(table, monkeypatch, many):
+    running, most, lock = set(), [], threading.Lock()
+    fit = models.GBTClassifier.fit
+
+    def watched(self, rows, *args):
+        with lock:
+            running.add(threading.get_ident())
+            most.append(len(running))
+        try:
+            assert "InMemoryTableScan" in rows._jdf.queryExecution().executedPlan().toString()  # the kept layout
+            return fit(self, rows, *args)
+        finally:
+            with lock:
+                running.discard(threading.get_ident())
+
+    monkeypatch.setattr(models.GBTClassifier, "fit", watched)
+    if many:
+        monkeypatch.setattr(models, "PARTITION_ROWS", 20)
+    model, matrix = models.train_severity_model(table, "boosted", maxIter=2, maxDepth=2)
+    assert len(model.stages) == 3 and (max(most) == 1 if many else max(most) > 1)
+
+
 def test_search(table):
     forest = RandomForestClassifier(seed=1, numTrees=2)
     grid = [{forest.maxDepth: d} for d in (1, 2)]

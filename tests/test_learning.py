@@ -173,6 +173,18 @@ def test_many_rows_are_boosted_class_by_class(table, monkeypatch, many):
     assert len(model.stages) == 3 and (max(most) == 1 if many else max(most) > 1)
 
 
+def test_many_rows_are_searched_with_one_forest_at_a_time(table, monkeypatch):
+    pools = []
+    search_ = models.search_forests
+    monkeypatch.setattr(models, "search_forests", lambda *args: pools.append(args[-1]) or search_(*args))
+    forest = RandomForestClassifier(seed=1, numTrees=2, maxDepth=1)
+    grid = [{forest.maxDepth: d} for d in (1, 2)]
+    results = [models.tune_severity_model(table, grid, forest, folds=2, parallelism=2)[2].collect()]
+    monkeypatch.setattr(models, "fits_at_once", lambda *_: 1)
+    results.append(models.tune_severity_model(table, grid, forest, folds=2, parallelism=2)[2].collect())
+    assert pools == [2, 1] and results[0] == results[1]
+
+
 def test_search(table):
     forest = RandomForestClassifier(seed=1, numTrees=2)
     grid = [{forest.maxDepth: d} for d in (1, 2)]
